@@ -17,7 +17,7 @@ from signalspark.llm.shared import written
 #: Tokens in a window, literal ones among them at least, share of an item's tokens to be covered,
 #: share of its slots whose values must fit, the placeholders, and the unit words.
 WINDOW, LITERAL, COVERED, FITTING = 5, 3, 0.8, 0.5
-NUMBER, NAME, UNIT = "", "", ""
+NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mi mg g kg gram grams kilogram kilograms lb lbs pound pounds oz "
     "ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days "

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import chat_format, decontamination, language_id, license_scan, mixing, secret_scan, simhash, token_counts
+from signalspark.llm import chat_format, decontamination, language_id, license_scan, mixing, secret_scan, simhash, token_counts, topk_search
 from signalspark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,13 +56,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op7_language_id, op8_mixing, op10_secret_scan)
+    for f in (op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op7_language_id, op8_mixing, op9_topk_search, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {
@@ -110,5 +114,17 @@ e AS (
 SELECT d.doc_id, d.size, b.source_size, b.target,
        cast(d.size * (b.base + CASE WHEN b.target - b.base * b.source_size > 0 AND d.h < coalesce(e.under, 1152921504606846976) THEN 1 ELSE 0 END) AS bigint) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+""",
+    "op9_topk_search": r"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.v, c.v) AS bigint) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
