@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import chat_format, decontamination, language_id, license_scan, mixing, secret_scan, simhash, token_counts, topk_search
+from signalspark.llm import chat_format, decontamination, language_id, license_scan, lm_scoring, mixing, secret_scan, simhash, token_counts, topk_search
 from signalspark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(messages)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = language_id.remainder(F.col("doc_id"), 7) == 2
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     part = language_id.remainder(F.col("doc_id"), 3)
@@ -66,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op7_language_id, op8_mixing, op9_topk_search, op10_secret_scan)
+    for f in (op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op6_lm_scoring, op7_language_id, op8_mixing, op9_topk_search, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {
