@@ -26,11 +26,14 @@ def hash_of(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """id, source, size in words, and the hash of the id (of the text where that is null)."""
     key = F.coalesce(F.col(id_column).cast("string"), F.col(text), F.lit(""))
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return df.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), hash_of(key).alias("h"))
+    return df.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), hash_of(key).alias("h"))
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
@@ -76,6 +79,17 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(ended, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "base", under.cast("long").alias("under"))
 
 
+def cuts(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """Target and thresholds of every source (column ``s``); broadcast up to 10,000 sources, joined beyond."""
+    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    cut = written(thresholds(sized, written(targets(totals, weights, share, most), "targets")), "cuts").withColumnRenamed("source", "s")
+    return F.broadcast(cut) if cut.count() <= 10_000 else cut
+
+
+def taken() -> Column:
+    return (F.col("size") * (F.col("base") + (F.col("h") < F.col("under")).cast("long"))).cast("long")
+
+
 def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
     """One row per input row: the id, ``size``, ``source_size`` and ``target`` of its source, and ``taken``, the
     words that the mix takes of it: its size times how often it is taken, ``most`` times at most. What a source
@@ -87,9 +101,16 @@ def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text:
     not gathered. The thresholds are broadcast up to 10,000 sources and joined beyond.
     """
     sized = written(sizes(df, id_column, source, text), "sizes")
-    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-    cut = written(thresholds(sized, written(targets(totals, weights, share, most), "targets")), "cuts")
-    cut = cut.withColumnRenamed("source", "s")
-    side = F.broadcast(cut) if cut.count() <= 10_000 else cut
-    taken = F.col("size") * (F.col("base") + (F.col("h") < F.col("under")).cast("long"))
-    return sized.join(side, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("source").alias("__source"), "h").drop("__source", "h")
+    both = sized.join(cuts(sized, weights, share, most), F.col("source").eqNullSafe(F.col("s")))
+    return both.select(F.col("id").alias(id_column), "size", "source_size", "target", taken().alias("taken"))
+
+
+def with_shares(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
+    """The rows of ``df`` with all their columns and those of :func:`mix`; columns of the same names are
+    replaced. The thresholds come from a first pass over the texts, so these are not shuffled."""
+    cut = cuts(written(sizes(df, id_column, source, text), "sizes"), weights, share, most)
+    own = df.drop("size", "source_size", "target", "taken")
+    key = F.coalesce(F.col(id_column).cast("string"), F.col(text), F.lit(""))
+    measured = own.withColumn("size", word_count(F.col(text))).withColumn("h", hash_of(key))
+    both = measured.join(cut.withColumnRenamed("source_size", "__total"), F.col(source).cast("string").eqNullSafe(F.col("s")))
+    return both.select(*own.columns, "size", F.col("__total").alias("source_size"), "target", taken().alias("taken"))

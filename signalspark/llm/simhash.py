@@ -46,15 +46,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
-    """``id``, ``fp`` (the fingerprint's 64 bits as a signed long) of every row."""
+def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``fp`` (the fingerprint's 64 bits as a signed long) of every row, and the long columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *keep)
+    return rows.mapInArrow(run, "id long, fp long" + "".join(f", `{c}` long" for c in keep))
 
 
 def bits_of(fp: Column, low: int, high: int) -> Column:
@@ -137,6 +138,15 @@ def linked(distinct: DataFrame, most: int = 20_000) -> DataFrame:
     return out.where("b is not null").distinct()
 
 
+def component_of(prints: DataFrame) -> DataFrame:
+    """``fp``, ``component_id`` of every fingerprint of ``prints`` (id, fp)."""
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = written(connected(linked(nodes.select("fp"))), "roots")
+    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(grouped.join(component, "root").select("fp", "component_id"), "component-of-fingerprint")
+
+
 def components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that
     is reached over links between fingerprints that differ in at most 4 bits, its own included.
@@ -147,9 +157,16 @@ def components(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows stay repeated; an empty table gives an empty result; other columns are not read.
     """
     prints = written(fingerprints(df, id_column, text_column), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = written(connected(linked(nodes.select("fp"))), "roots")
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(grouped.join(component, "root").select("fp", "component_id"), "component-of-fingerprint")
+    of = component_of(prints)
     return prints.join(of, "fp").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of ``df``, with its columns, for each component: that with the smallest id; of rows equal in it
+    the first by fingerprint, then any one. Rows with a null id come last, so one stays only where a component
+    has no other. The texts stay where they are: rows are numbered, and the numbers to keep are joined back."""
+    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    prints = written(fingerprints(numbered, id_column, text_column, keep=("__row",)), "fingerprints")
+    of = component_of(prints.select("id", "fp"))
+    least = prints.join(of, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "__row"))["__row"].alias("keep"))
+    return numbered.join(written(least.select("keep"), "kept"), F.col("__row") == F.col("keep"), "left_semi").drop("__row")
