@@ -72,10 +72,10 @@ def rendered(value: Column, depth: int = DEPTH) -> Column:
 def attributes_json(attributes: Column, depth: int = DEPTH) -> Column:
     """Attributes as a JSON object with sorted keys. Those without a key or a value are dropped; of equal keys
     the last counts. Null attributes are an empty object."""
-    entries = F.transform(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: F.named_struct(F.lit("k"), a["key"], F.lit("v"), rendered(a["value"], depth)))
-    kept = F.filter(entries, lambda e: (e["k"] != "") & e["v"].isNotNull())
-    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept) + 1), lambda x: x["k"] == e["k"]))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(last), lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    held = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: (a["key"] != "") & (a["value"] != "{}"))
+    last = F.filter(held, lambda a, i: ~F.exists(F.slice(held, i + 2, F.size(held) + 1), lambda x: x["key"] == a["key"]))
+    members = F.transform(F.array_sort(last), lambda a: F.concat(json_string(a["key"]), F.lit(":"), rendered(a["value"], depth)))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
 def hex_id(text: Column, size: int) -> Column:
