@@ -117,7 +117,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sh
     """One row per input row: the id; ``n_words``; ``n_base``, ``first_word``, ``last_word`` and ``base_labels``
     for the plain phrases (all places, smallest and largest start in words from 0); ``labels``, these and those
     of the notices found; ``score``, the largest share of a notice's weight that one offset gathers, at least
-    0.5 where a plain phrase stands, else 0.
+    0.5 where a plain phrase stands, else 0, rounded to 6 places.
 
     A null or empty text has no words (0, 0, null, null, empty labels, score 0). A text of any length is read
     whole. Repeated rows and equal ids are scanned on their own; an empty table gives an empty result; other
@@ -139,5 +139,35 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sh
         F.array_max(F.transform("places", lambda x: x["start"])).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0))).alias("score"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0))), 6).alias("score"),
     )
+
+
+def duckdb_sql(share: float = 0.6) -> str:
+    """What :func:`scan` gives for the table ``documents``, in DuckDB's SQL."""
+    quoted = lambda *x: "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in x) + ")"
+    index = ", ".join(quoted(w, n, NOTICES[n][0], p) for w, n, p in postings())
+    needs = ", ".join(quoted(n, f" {phrase} ") for n, (_, _, phrases) in enumerate(NOTICES) for phrase in phrases)
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{WORD}') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+x AS (SELECT *, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+places AS (SELECT r, i, CASE WHEN w = 'general' THEN 'gpl' ELSE w END AS label FROM x
+  WHERE (w IN ('mit', 'apache') AND w1 = 'license') OR (w = 'general' AND w1 = 'public' AND w2 = 'license')),
+base AS (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, list(DISTINCT label) AS labels FROM places GROUP BY r),
+postings(w, notice, label, p) AS (VALUES {index}),
+needs(notice, phrase) AS (VALUES {needs}),
+df AS (SELECT w, count(DISTINCT r) AS n FROM t WHERE w IN (SELECT w FROM postings) GROUP BY w),
+weighed AS (SELECT p.*, ln(1 + (SELECT count(*) FROM d) / coalesce(df.n, 1)) AS weight FROM postings p LEFT JOIN df ON p.w = df.w),
+whole AS (SELECT notice, sum(weight) AS weight FROM weighed GROUP BY notice),
+votes AS (SELECT t.r, v.notice, v.label, t.i - v.p AS off, sum(v.weight) / any_value(whole.weight) AS share
+  FROM t JOIN weighed v ON t.w = v.w JOIN whole ON whole.notice = v.notice GROUP BY ALL HAVING share >= {share}),
+found AS (SELECT v.r, list(DISTINCT v.label) AS labels, max(v.share) AS share FROM votes v JOIN d ON d.r = v.r
+  WHERE NOT EXISTS (SELECT 1 FROM needs WHERE needs.notice = v.notice AND NOT contains(' ' || array_to_string(d.w, ' ') || ' ', needs.phrase)) GROUP BY v.r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.low AS first_word, base.high AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
+  round(least(1.0, greatest(coalesce(found.share, 0), CASE WHEN base.n > 0 THEN 0.5 ELSE 0 END)), 6) AS score
+FROM d LEFT JOIN base ON d.r = base.r LEFT JOIN found ON d.r = found.r
+"""
