@@ -1,8 +1,8 @@
 """OTLP/JSON export requests as rows.
 
-A request is one JSON text. It is parsed with a schema that keeps 64-bit numbers and attribute values as text,
-then exploded: resource, scope, item. Attribute values are rendered as JSON with built-in expressions; lists and
-maps nested deeper than :data:`DEPTH` keep the protocol's form.
+A request is one JSON text. It is parsed once, with a schema that keeps 64-bit numbers as text, then exploded:
+resource, scope, item. Attribute values are rendered as JSON with built-in expressions; lists and maps nested
+deeper than :data:`DEPTH` keep the protocol's form.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from signalspark.schemas import SPAN_KINDS, STATUS_CODES, TEMPORALITIES
 
 DEPTH = 2
 
-_ATTRIBUTES = "array<struct<key:string,value:string>>"
+#: The union of an attribute value; lists and maps stay text until they are rendered.
+_VALUE = "struct<stringValue:string,boolValue:string,intValue:string,doubleValue:string,bytesValue:string,arrayValue:string,kvlistValue:string>"
+_ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 _RESOURCE = f"resource:struct<attributes:{_ATTRIBUTES}>,schemaUrl:string"
 _SCOPE = f"scope:struct<name:string,version:string,attributes:{_ATTRIBUTES}>,schemaUrl:string"
 _SPAN = (
@@ -26,7 +28,7 @@ _SPAN = (
     f"events:array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>,"
     f"links:array<struct<traceId:string,spanId:string,traceState:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>"
 )
-_LOG = f"timeUnixNano:string,observedTimeUnixNano:string,severityNumber:string,severityText:string,body:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int,flags:int,traceId:string,spanId:string"
+_LOG = f"timeUnixNano:string,observedTimeUnixNano:string,severityNumber:string,severityText:string,body:{_VALUE},attributes:{_ATTRIBUTES},droppedAttributesCount:int,flags:int,traceId:string,spanId:string"
 _EXEMPLAR = f"exemplars:array<struct<filteredAttributes:{_ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string,spanId:string,traceId:string>>"
 _TIMES = f"attributes:{_ATTRIBUTES},startTimeUnixNano:string,timeUnixNano:string,flags:int"
 _NUMBERS = f"dataPoints:array<struct<{_TIMES},asDouble:double,asInt:string,{_EXEMPLAR}>>"
@@ -47,32 +49,38 @@ SIGNALS = {
 }
 
 
+#: Body type of each member of the value union.
+_BODIES = (("stringValue", "STRING"), ("boolValue", "BOOL"), ("intValue", "INT"), ("doubleValue", "DOUBLE"), ("bytesValue", "BYTES"), ("arrayValue", "ARRAY"), ("kvlistValue", "KVLIST"))
+
+
 def json_string(text: Column) -> Column:
     """A text as a JSON string."""
     listed = F.to_json(F.array(text))
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def present(value: Column) -> Column:
+    """Whether a value holds anything."""
+    return F.coalesce(*[value[m] for m, _ in _BODIES]).isNotNull()
+
+
 def rendered(value: Column, depth: int = DEPTH) -> Column:
-    """An attribute value in the protocol's form as plain JSON; null if it holds nothing."""
-    get = lambda name: F.get_json_object(value, f"$.{name}")
-    out = F.when(get("stringValue").isNotNull(), json_string(get("stringValue")))
-    out = out.when(get("boolValue").isNotNull(), F.lower(get("boolValue"))).when(get("intValue").isNotNull(), get("intValue"))
-    out = out.when(get("doubleValue").isNotNull(), get("doubleValue")).when(get("bytesValue").isNotNull(), json_string(get("bytesValue")))
+    """An attribute value (a :data:`_VALUE`) as plain JSON; null if it holds nothing."""
+    quoted = lambda x: F.when(x.isNotNull(), json_string(x))
+    out = [quoted(value["stringValue"]), F.lower(value["boolValue"]), value["intValue"], value["doubleValue"], quoted(value["bytesValue"])]
     if depth == 0:
-        return out.when(get("arrayValue").isNotNull(), get("arrayValue")).when(get("kvlistValue").isNotNull(), get("kvlistValue"))
-    listed = F.from_json(get("arrayValue.values"), "array<string>")
-    items = F.array_compact(F.transform(listed, lambda x: rendered(x, depth - 1)))
-    pairs = F.from_json(get("kvlistValue.values"), _ATTRIBUTES)
-    return out.when(get("arrayValue").isNotNull(), F.concat(F.lit("["), F.array_join(F.coalesce(items, F.array()), ","), F.lit("]"))).when(
-        get("kvlistValue").isNotNull(), attributes_json(F.coalesce(pairs, F.array().cast(_ATTRIBUTES)), depth - 1)
-    )
+        return F.coalesce(*out, value["arrayValue"], value["kvlistValue"])
+    items = F.from_json(value["arrayValue"], f"struct<values:array<{_VALUE}>>")["values"]
+    texts = F.transform(F.filter(F.coalesce(items, F.array().cast(f"array<{_VALUE}>")), present), lambda x: rendered(x, depth - 1))
+    listed = F.when(value["arrayValue"].isNotNull(), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+    pairs = F.from_json(value["kvlistValue"], f"struct<values:{_ATTRIBUTES}>")["values"]
+    return F.coalesce(*out, listed, F.when(value["kvlistValue"].isNotNull(), attributes_json(pairs, depth - 1)))
 
 
 def attributes_json(attributes: Column, depth: int = DEPTH) -> Column:
     """Attributes as a JSON object with sorted keys. Those without a key or a value are dropped; of equal keys
     the last counts. Null attributes are an empty object."""
-    held = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: (a["key"] != "") & (a["value"] != "{}"))
+    held = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: (a["key"] != "") & present(a["value"]))
     last = F.filter(held, lambda a, i: ~F.exists(F.slice(held, i + 2, F.size(held) + 1), lambda x: x["key"] == a["key"]))
     members = F.transform(F.array_sort(last), lambda a: F.concat(json_string(a["key"]), F.lit(":"), rendered(a["value"], depth)))
     return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
@@ -128,8 +136,8 @@ def spans(requests: DataFrame) -> DataFrame:
     with a bad id are dropped; a link without a trace state has ``unknown``."""
     x = lambda name: F.col(f"x.{name}")
     none = F.array().cast
-    events = F.transform(F.coalesce(x("events"), none("array<struct<timeUnixNano:string,name:string,attributes:array<struct<key:string,value:string>>,droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("Name"), e["name"], F.lit("TimeUnixNano"), long(e["timeUnixNano"]), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
-    links = F.transform(F.coalesce(x("links"), none("array<struct<traceId:string,spanId:string,traceState:string,attributes:array<struct<key:string,value:string>>,droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("LinkedTraceId"), hex_id(e["traceId"], 16), F.lit("LinkedSpanId"), hex_id(e["spanId"], 8), F.lit("TraceState"), F.coalesce(F.nullif(e["traceState"], F.lit("")), F.lit("unknown")), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
+    events = F.transform(F.coalesce(x("events"), none(f"array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("Name"), e["name"], F.lit("TimeUnixNano"), long(e["timeUnixNano"]), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
+    links = F.transform(F.coalesce(x("links"), none(f"array<struct<traceId:string,spanId:string,traceState:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("LinkedTraceId"), hex_id(e["traceId"], 16), F.lit("LinkedSpanId"), hex_id(e["spanId"], 8), F.lit("TraceState"), F.coalesce(F.nullif(e["traceState"], F.lit("")), F.lit("unknown")), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
     return unnested(requests, "traces").select(
         "*",
         hex_id(x("traceId"), 16).alias("TraceId"),
@@ -150,16 +158,12 @@ def spans(requests: DataFrame) -> DataFrame:
     ).drop("x")
 
 
-#: Body type of each member of the value union.
-_BODIES = (("stringValue", "STRING"), ("boolValue", "BOOL"), ("intValue", "INT"), ("doubleValue", "DOUBLE"), ("bytesValue", "BYTES"), ("arrayValue", "ARRAY"), ("kvlistValue", "KVLIST"))
-
-
 def log_records(requests: DataFrame) -> DataFrame:
     """Log records; times and severity 0 and empty texts are null. A missing body has the type STRING."""
     x = lambda name: F.col(f"x.{name}")
-    body = lambda name: F.get_json_object(x("body"), f"$.{name}")
-    kind = reduce(lambda w, b: w.when(body(b[0]).isNotNull(), b[1]), _BODIES[1:], F.when(body("stringValue").isNotNull(), "STRING")).otherwise("STRING")
-    value = F.when(kind.isin("STRING", "BYTES"), F.coalesce(body("stringValue"), body("bytesValue"))).otherwise(rendered(x("body")))
+    body = lambda name: F.col(f"x.body.{name}")
+    kind = F.coalesce(*[F.when(body(m).isNotNull(), F.lit(k)) for m, k in _BODIES], F.lit("STRING"))
+    value = F.coalesce(body("stringValue"), body("bytesValue"), rendered(x("body")))
     return unnested(requests, "logs").select(
         "*",
         positive(x("timeUnixNano")).alias("TimeUnixNano"),
