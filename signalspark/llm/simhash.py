@@ -164,9 +164,11 @@ def components(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def first_of_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``df``, with its columns, for each component: that with the smallest id; of rows equal in it
     the first by fingerprint, then any one. Rows with a null id come last, so one stays only where a component
-    has no other. The texts stay where they are: rows are numbered, and the numbers to keep are joined back."""
+    has no other. The numbers of the rows to keep grow with the table, so they are never broadcast: rows and
+    numbers are sorted by number and merged, at any size."""
     numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     prints = written(fingerprints(numbered, id_column, text_column, keep=("__row",)), "fingerprints")
     of = component_of(prints.select("id", "fp"))
     least = prints.join(of, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "__row"))["__row"].alias("keep"))
-    return numbered.join(written(least.select("keep"), "kept"), F.col("__row") == F.col("keep"), "left_semi").drop("__row")
+    kept = written(least.select("keep"), "kept").hint("merge")
+    return numbered.join(kept, F.col("__row") == F.col("keep"), "left_semi").drop("__row")
