@@ -18,6 +18,8 @@ from signalspark.llm.shared import written
 #: Weights of the sources in turn, what they share of all sizes, how often a document may be taken.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 HASH_BITS, STEP = 60, 10
+#: Sources up to which the thresholds are broadcast.
+BROADCAST = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,14 +82,10 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cuts(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """Target and thresholds of every source (column ``s``); broadcast up to 10,000 sources, joined beyond."""
+    """Target and thresholds of every source (column ``s``)."""
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-    cut = written(thresholds(sized, written(targets(totals, weights, share, most), "targets")), "cuts").withColumnRenamed("source", "s")
-    return F.broadcast(cut) if cut.count() <= 10_000 else cut
-
-
-def taken() -> Column:
-    return (F.col("size") * (F.col("base") + (F.col("h") < F.col("under")).cast("long"))).cast("long")
+    wanted = written(targets(totals, weights, share, most), "targets")
+    return written(thresholds(sized, wanted), "cuts").withColumnRenamed("source", "s")
 
 
 def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
@@ -101,8 +99,10 @@ def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text:
     not gathered. The thresholds are broadcast up to 10,000 sources and joined beyond.
     """
     sized = written(sizes(df, id_column, source, text), "sizes")
-    both = sized.join(cuts(sized, weights, share, most), F.col("source").eqNullSafe(F.col("s")))
-    return both.select(F.col("id").alias(id_column), "size", "source_size", "target", taken().alias("taken"))
+    cut = cuts(sized, weights, share, most)
+    both = sized.join(F.broadcast(cut) if cut.count() <= BROADCAST else cut, F.col("source").eqNullSafe(F.col("s")))
+    taken = F.col("size") * (F.col("base") + (F.col("h") < F.col("under")).cast("long"))
+    return both.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def with_shares(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
@@ -111,6 +111,9 @@ def with_shares(df: DataFrame, id_column: str = "doc_id", source: str = "source"
     cut = cuts(written(sizes(df, id_column, source, text), "sizes"), weights, share, most)
     own = df.drop("size", "source_size", "target", "taken")
     key = F.coalesce(F.col(id_column).cast("string"), F.col(text), F.lit(""))
-    measured = own.withColumn("size", word_count(F.col(text))).withColumn("h", hash_of(key))
-    both = measured.join(cut.withColumnRenamed("source_size", "__total"), F.col(source).cast("string").eqNullSafe(F.col("s")))
-    return both.select(*own.columns, "size", F.col("__total").alias("source_size"), "target", taken().alias("taken"))
+    inner = ("source_size", "target", "base", "under", "s")
+    side = cut.select(*[F.col(c).alias(f"__{c}") for c in inner])
+    measured = own.withColumn("__size", word_count(F.col(text))).withColumn("__h", hash_of(key))
+    both = measured.join(F.broadcast(side) if cut.count() <= BROADCAST else side, F.col(source).cast("string").eqNullSafe(F.col("__s")))
+    times = F.col("__base") + (F.col("__h") < F.col("__under")).cast("long")
+    return both.select(*own.columns, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * times).cast("long").alias("taken"))

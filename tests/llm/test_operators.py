@@ -339,7 +339,7 @@ def test_held_out_accuracy(spark):
 def test_mixing(spark, docs, none):
     random = np.random.default_rng(5)
     data = [(i, "w " * int(random.integers(0, 60)), [None, "a", "b", "c", "d"][i % 5] if i % 3 else "a", 1) for i in range(600)]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").withColumn("size", F.lit("clash")).withColumn("taken", F.lit("clash"))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("size", "taken", "h", "s", "base", "under", "id")})
     got = mixing.mix(df).collect()
     totals = {}
     for r, (_, text, source, _) in zip(sorted(got, key=lambda r: r["doc_id"]), data, strict=True):
