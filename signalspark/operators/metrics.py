@@ -175,3 +175,21 @@ def exemplars_with_spans(t: Telemetry) -> DataFrame:
     """Exemplars beside the span they were taken in."""
     spans = t.spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "StatusCode")
     return t.exemplars.join(spans, ["TraceId", "SpanId"]).select("Id", "TraceId", "SpanId", "SpanName", "StatusCode", "ValueDouble", "ValueInt", "TimeUnixNano")
+
+
+def histogram_quantile(t: Telemetry, name: str, q: float, start: Bound = None, end: Bound = None) -> DataFrame:
+    """The q-quantile of each histogram point of a metric, interpolated inside its bucket. A bucket runs from the
+    bound before (its minimum in the first, if known, else 0) to its own bound, the last one to the maximum, or
+    to the last bound where that is unknown; an empty histogram has none."""
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    series = metric_series(t, name, start, end, kinds=("HISTOGRAM",)).where((F.size("BucketCounts") == F.size("BucketBounds") + 1) & (F.col("Count") > 0))
+    upto = F.transform("BucketCounts", lambda _, i: F.aggregate(F.slice("BucketCounts", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    ranked = series.withColumn("__rank", q * F.col("Count")).withColumn("__upto", upto)
+    ranked = ranked.withColumn("__at", F.size(F.filter("__upto", lambda x: x < F.col("__rank"))))
+    get = lambda c, i: F.get(F.col(c), i)
+    low = F.coalesce(get("BucketBounds", F.col("__at") - 1), F.col("Min"), F.lit(0.0))
+    high = F.coalesce(get("BucketBounds", F.col("__at")), F.col("Max"), low)
+    below = F.coalesce(get("__upto", F.col("__at") - 1), F.lit(0))
+    inside = F.when(get("BucketCounts", F.col("__at")) > 0, (F.col("__rank") - below) / get("BucketCounts", F.col("__at"))).otherwise(0.0)
+    return ranked.select("Name", "Timestamp", (low + (high - low) * inside).alias("Value"))

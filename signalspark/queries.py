@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.operators import logs, metrics, retention, traces
-from signalspark.plans import views
+from signalspark.plans import constraints, views
 from signalspark.sources import events
 from signalspark.tables import Telemetry
 
@@ -339,6 +339,21 @@ def _(t: Telemetry) -> DataFrame:
     return metrics.exemplars_with_spans(t)
 
 
+@query("histogram_quantile", f"""SELECT TimeUnixNano // 1000000 AS "Timestamp", round(CASE WHEN c1 >= r THEN lo + (10 - lo) * (CASE WHEN c1 > 0 THEN r / c1 ELSE 0 END)
+  WHEN c1 + c2 >= r THEN 10 + 40 * (r - c1) / c2 ELSE 50 + (Max_Value - 50) * (r - c1 - c2) / c3 END, 6) AS "Value" FROM (
+  SELECT TimeUnixNano, Min_Value lo, Max_Value, 0.5 * Count r, cast(json_extract_string(BucketCounts, '$[0]') AS bigint) c1, cast(json_extract_string(BucketCounts, '$[1]') AS bigint) c2, cast(json_extract_string(BucketCounts, '$[2]') AS bigint) c3
+  FROM histogram_data_points WHERE TimeUnixNano BETWEEN {START} AND {END})""")
+def _(t: Telemetry) -> DataFrame:
+    return metrics.histogram_quantile(t, "app.purchase", 0.5, START, END).select("Timestamp", F.round("Value", 6).alias("Value"))
+
+
+@query("constraint_violations", """SELECT 'spans' TableName, 'unique TraceId, SpanId' Rule, count(*) Violations FROM (SELECT 1 FROM spans GROUP BY TraceId, SpanId HAVING count(*) > 1)
+ UNION ALL SELECT 'spans', 'ResourceId in resources', count(*) FROM spans WHERE ResourceId NOT IN (SELECT Id FROM resources)
+ UNION ALL SELECT 'spans', 'values of Kind', count(*) FROM spans WHERE Kind NOT IN ('UNSPECIFIED', 'INTERNAL', 'SERVER', 'CLIENT', 'PRODUCER', 'CONSUMER')""")
+def _(t: Telemetry) -> DataFrame:
+    return constraints.violations(t).where("TableName = 'spans' AND Rule IN ('unique TraceId, SpanId', 'ResourceId in resources', 'values of Kind')")
+
+
 # Deletes: what is left.
 
 
