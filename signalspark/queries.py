@@ -474,6 +474,49 @@ ORACLES["flatten_spans"] = """SELECT md5(cast(user_id AS varchar)) TraceId, subs
   concat('{"a":true,"b":', event_id, '}') AttributesJson, concat('{"service.name":"svc_', event_type, '"}') ResourceAttributesJson,
   sha256(concat('__{"service.name":"svc_', event_type, '"}')) ResourceHash, sha256('lib__1.0____{}') ScopeHash FROM events"""
 
+#: A log record of every event; some have no time, no severity or a number as their body.
+LOG_REQUEST = """to_json(named_struct('resourceLogs', array(named_struct(
+  'resource', named_struct('attributes', array(named_struct('key', 'service.name', 'value', named_struct('stringValue', concat('svc_', event_type))))),
+  'scopeLogs', array(named_struct('scope', named_struct('name', 'lib'), 'logRecords', array(named_struct(
+    'timeUnixNano', CASE WHEN event_id % 5 = 0 THEN '0' ELSE cast(unix_micros(cast(ts AS timestamp)) * 1000 AS string) END,
+    'severityNumber', cast(event_id % 25 AS int), 'severityText', CASE WHEN event_id % 4 = 0 THEN '' ELSE upper(event_type) END,
+    'body', named_struct('stringValue', CASE WHEN event_id % 3 > 0 THEN event_type END, 'intValue', CASE WHEN event_id % 3 = 0 THEN cast(event_id AS string) END),
+    'traceId', CASE WHEN event_id % 2 = 0 THEN md5(cast(user_id AS string)) ELSE 'short' END))))))))"""
+
+#: A metric of every event with one point: a gauge of a double, or a sum of a whole number.
+METRIC_REQUEST = """to_json(named_struct('resourceMetrics', array(named_struct('scopeMetrics', array(named_struct('metrics', array(named_struct(
+  'name', event_type,
+  'gauge', CASE WHEN event_id % 2 = 0 THEN named_struct('dataPoints', array(named_struct('timeUnixNano', cast(event_id AS string), 'asDouble', event_id / 4))) END,
+  'sum', CASE WHEN event_id % 2 = 1 THEN named_struct('isMonotonic', event_id % 3 = 0, 'aggregationTemporality', 2, 'dataPoints', array(named_struct('timeUnixNano', cast(event_id AS string), 'asInt', cast(event_id AS string)))) END))))))))"""
+
+
+def flatten_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.sources import otlp
+
+    records = otlp.log_records(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(LOG_REQUEST).alias("value")))
+    return records.select("event_id", "TimeUnixNano", "SeverityNumber", "SeverityText", "BodyType", "BodyValue", "TraceId", "ResourceAttributesJson")
+
+
+def flatten_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.sources import otlp
+
+    found = otlp.metrics(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("MetricId"), F.expr(METRIC_REQUEST).alias("value")))
+    names = found.select("MetricId", "Name", "Type")
+    none = {"AggregationTemporality": F.lit(None).cast("string"), "IsMonotonic": F.lit(None).cast("boolean")}
+    both = otlp.points(found, "GAUGE").withColumns(none).unionByName(otlp.points(found, "SUM"))
+    return both.join(names, "MetricId").select("MetricId", "Name", "Type", "TimeUnixNano", "ValueDouble", "ValueInt", "AggregationTemporality", "IsMonotonic")
+
+
+QUERIES["flatten_logs"] = flatten_logs
+ORACLES["flatten_logs"] = """SELECT event_id, CASE WHEN event_id % 5 > 0 THEN epoch_us(ts) * 1000 END TimeUnixNano, cast(nullif(event_id % 25, 0) AS integer) SeverityNumber,
+  CASE WHEN event_id % 4 > 0 THEN upper(event_type) END SeverityText, CASE WHEN event_id % 3 > 0 THEN 'STRING' ELSE 'INT' END BodyType,
+  CASE WHEN event_id % 3 > 0 THEN event_type ELSE cast(event_id AS varchar) END BodyValue, CASE WHEN event_id % 2 = 0 THEN md5(cast(user_id AS varchar)) END TraceId,
+  concat('{"service.name":"svc_', event_type, '"}') ResourceAttributesJson FROM events"""
+QUERIES["flatten_points"] = flatten_points
+ORACLES["flatten_points"] = """SELECT event_id MetricId, event_type AS Name, CASE WHEN event_id % 2 = 0 THEN 'GAUGE' ELSE 'SUM' END AS Type, event_id TimeUnixNano,
+  CASE WHEN event_id % 2 = 0 THEN event_id / 4 END ValueDouble, CASE WHEN event_id % 2 = 1 THEN event_id END ValueInt,
+  CASE WHEN event_id % 2 = 1 THEN 'CUMULATIVE' END AggregationTemporality, CASE WHEN event_id % 2 = 1 THEN event_id % 3 = 0 END IsMonotonic FROM events"""
+
 QUERIES["dedup_resources"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["resources"].select("ResourceHash", "AttributesJson")
 ORACLES["dedup_resources"] = """SELECT DISTINCT sha256(concat('__{"service.name":"svc_', event_type, '"}')) ResourceHash, concat('{"service.name":"svc_', event_type, '"}') AttributesJson FROM events"""
 QUERIES["dedup_scopes"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["instrumentation_scopes"].select("ScopeHash", "Name", "Version")
