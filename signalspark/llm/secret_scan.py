@@ -3,14 +3,15 @@
 A candidate is a long run of letters, digits and a few signs, with both letters and digits, near a word such as
 ``key`` or ``auth``. Its novelty is the number of bytes that it adds to the compressed form of the text around
 it, with a compressor primed by a dictionary of identifiers: names, repeated strings and words of the same text
-cost little, a random string costs nearly its own length. Incompressible candidates are reported.
+cost little, a random string costs nearly its own length. Incompressible candidates are reported. A run is taken
+whole, however long; where the fixed patterns found parts of it, the parts that they leave open are scored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,9 @@ def either_case(word: str) -> str:
 ASSIGN = re.compile(rf"""(?:{"|".join(map(either_case, WORDS_BEFORE_ASSIGNMENT))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run is taken whole, so a shorter one holds no match either
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,200}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: A run that is not novel as a whole is looked at again in pieces of so many characters, so that dull parts hide nothing.
+PIECE = 200
 NEAR = re.compile("|".join(map(either_case, SENSITIVE)))
 
 Span = tuple[int, int, str]
@@ -72,16 +75,44 @@ class Novelty:
         return len(self.press.compress(context + b"\n" + text[start:end].encode())) - len(self.press.compress(context + b"\n"))
 
     def spans(self, text: str, taken: list[Span], share: float, least: int, before: int, after: int) -> Iterator[Span]:
+        at = 0
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            word = m[0]
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-                continue
-            if any(x < b and a < y for x, y, _ in taken) or not (NEAR.search(text, max(0, a - before), a) or NEAR.search(text, b, b + after)):
-                continue
-            cost = self.marginal(text, a, b)
-            if cost >= least and cost >= share * (b - a):
-                yield a, b, "novel"
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            near = any(NEAR.search(text, *x) for x in ((max(0, a - before), a), (b, b + after)))
+            for start, end in left_open(a, b, (taken[i] for i in range(at, len(taken)))):
+                if near and self.novel(text, start, end, share, least):
+                    yield start, end, "novel"
+                elif end - start > PIECE:
+                    for low, high in pieces(start, end):
+                        if (near or NEAR.search(text, max(0, low - before), low) or NEAR.search(text, high, high + after)) and self.novel(text, low, high, share, least):
+                            yield low, high, "novel"
+
+    def novel(self, text: str, start: int, end: int, share: float, least: int) -> bool:
+        word = text[start:end]
+        if end - start < least or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+            return False
+        cost = self.marginal(text, start, end)
+        return cost >= least and cost >= share * (end - start)
+
+
+def left_open(start: int, end: int, taken: Iterable[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no span of ``taken``, in order of their starts, touches."""
+    for a, b, _ in taken:
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """A run cut at every :data:`PIECE` characters; a last piece too short for a candidate goes to the one before."""
+    cuts = [*range(start, end - 15, PIECE), end]
+    return list(zip(cuts, cuts[1:]))
 
 
 def scan_text(text: str, novelty: Novelty, share: float = 0.8, least: int = 12, before: int = 40, after: int = 16) -> tuple[list[Span], list[Span]]:

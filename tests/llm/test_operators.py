@@ -420,3 +420,29 @@ def test_repeated_strings_are_no_secret():
     word = "Zx8Kq2LmN9vRt4YpWs7B"
     assert len(secret_scan.scan_text(f"the key is {word}", novelty)[1]) == 1
     assert len(secret_scan.scan_text(f"{word} {word} the key is {word} {word}", novelty)[1]) == 0
+
+
+def random_string(letters, n, seed=1):
+    return "".join(np.random.default_rng(seed).choice(list(letters), n))
+
+
+def covered_by(text, word):
+    at = text.index(word)
+    found = [(a, b) for a, b, _ in secret_scan.scan_text(text, secret_scan.Novelty())[1]]
+    return sum(any(a <= i < b for a, b in found) for i in range(at, at + len(word)))
+
+
+def test_long_secrets_are_found_whole():
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (210, 400):
+        word = random_string(letters, n)
+        assert covered_by(LONG[:2000] + f"the private one is kept here: {word} " + LONG[:500], word) == n
+    dull = "=" * 400 + random_string(letters, 100)
+    assert covered_by(f"the private one is kept here: {dull} and so on", dull[400:]) == 100
+
+
+def test_parts_beside_pattern_spans_are_found():
+    rest = random_string("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24)
+    text = f"auth sk-{'0123456789abcdef' * 2}-{rest}"
+    assert covered_by(text, rest) == 24
+    assert secret_scan.redacted(text, secret_scan.scan_text(text, secret_scan.Novelty())[1]) == "auth sk-[hex removed][novel removed]"
