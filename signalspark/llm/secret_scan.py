@@ -3,13 +3,16 @@
 A candidate is a long run of letters, digits and a few signs, with both letters and digits, near a word such as
 ``key`` or ``auth``. Its novelty is the number of bytes that it adds to the compressed form of the text around
 it, with a compressor primed by a dictionary of identifiers: names, repeated strings and words of the same text
-cost little, a random string costs nearly its own length. Incompressible candidates are reported. A run is taken
+cost little. A random string costs about what its letters in any other order cost, and no less than the entropy of
+its alphabet (half a byte a letter in hex); candidates that do so, or cost their length, are reported. A run is taken
 whole, however long; where the fixed patterns found parts of it, the parts that they leave open are scored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -94,7 +97,21 @@ class Novelty:
         if end - start < least or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             return False
         cost = self.marginal(text, start, end)
-        return cost >= least and cost >= share * (end - start)
+        if cost < least or cost < share * entropy_bytes(word):
+            return False
+        return cost >= share * len(word) or cost >= share * self.marginal(text[:start] + shuffled(word) + text[end:], start, end)
+
+
+def entropy_bytes(word: str) -> float:
+    """Bytes that a random string of the word's length and letters takes at least; never more than its length."""
+    return len(word) * min(1.0, math.log2(len(set(word))) / 8)
+
+
+def shuffled(word: str) -> str:
+    """The word's letters in another order, the same one each time."""
+    letters = list(word)
+    random.Random(0).shuffle(letters)
+    return "".join(letters)
 
 
 def left_open(start: int, end: int, taken: Iterable[Span]) -> Iterator[tuple[int, int]]:

@@ -446,3 +446,14 @@ def test_parts_beside_pattern_spans_are_found():
     text = f"auth sk-{'0123456789abcdef' * 2}-{rest}"
     assert covered_by(text, rest) == 24
     assert secret_scan.redacted(text, secret_scan.scan_text(text, secret_scan.Novelty())[1]) == "auth sk-[hex removed][novel removed]"
+
+
+def test_random_strings_of_small_alphabets_are_found():
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in ("0123456789ABCDEF", upper + "234567", upper + "0123456789", upper + upper.lower() + "0123456789+/"):
+        for n in (64, 100, 200, 1000, 5000):
+            for prose in ("", LONG[:60], LONG[:2000]):
+                word = random_string(letters, n)
+                assert covered_by(f"{prose} the private one is kept here: {word} ", word) == n, (len(letters), n, len(prose))
+    assert covered_by("the private key is: user_account_email_address_v2 ", "user_account_email_address_v2") == 0
+    assert covered_by("the private key is: " + "x1" * 200, "x1" * 200) == 0
