@@ -2,7 +2,8 @@
 
 Text is made canonical first: numbers, units behind numbers, and names (capitalised words inside a sentence)
 become typed placeholders, other words are lower-cased. Windows of five such tokens are matched by hash between
-documents and benchmark items, so that a question with other numbers or names is found as well. A document holds
+documents and benchmark items, so that a question with other numbers or names is found as well. Windows with few
+words say too little without their values and are matched with them, as are items shorter than a window. A document holds
 an item if the matched windows cover at least 0.8 of the item's tokens, and if the values in the slots fit: one
 value of the item stands for one value of the document throughout an alignment.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from signalspark.llm.shared import written
 
-#: Tokens in a window, literal ones among them at least, share of an item's tokens to be covered,
+#: Tokens in a window, literal ones among them from which on values are left open, share of an item's tokens to be covered,
 #: share of its slots whose values must fit, the placeholders, and the unit words.
 WINDOW, LITERAL, COVERED, FITTING = 5, 3, 0.8, 0.5
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
@@ -57,13 +58,49 @@ def window_hashes(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width))))
 
 
+def spoken(text: Column) -> Column:
+    """The tokens of a text as they stand there, lower-cased: those of :func:`tokens` with the values in the slots."""
+    found = F.regexp_extract_all(marked(F.coalesce(text, F.lit(""))), F.lit(rf"[{NUMBER}{NAME}{UNIT}]\S*|[\p{{L}}\p{{M}}]+"), F.lit(0))
+    return F.transform(found, lambda x: F.lower(F.translate(x, f"{NUMBER}{NAME}{UNIT}", "")))
+
+
+def exact_hash(words: Column, at: Column, width: Column | int) -> Column:
+    """The hash of a window with its values; no hash of :func:`window_hashes` is meant to be equal."""
+    return F.xxhash64(F.slice(words, at + 1, width), F.lit(width) if isinstance(width, int) else width)
+
+
 def benchmark_windows(items: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """item, key (of item and text), size in tokens, and hash and position of its windows; windows with fewer
-    than :data:`LITERAL` words are left out, so an item that has only such ones can't be matched."""
-    rows = items.select(F.col(item_column).alias("item"), F.xxhash64(item_column, text_column).alias("item_key"), tokens(F.col(text_column)).alias("words")).dropDuplicates(["item_key"])
-    literal = lambda i: F.size(F.filter(F.slice("words", i + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT))) >= LITERAL
-    placed = F.filter(F.transform(window_hashes(F.col("words")), lambda h, i: F.struct(h.alias("h"), i.alias("p"), literal(i).alias("use"))), lambda x: x["use"])
-    return rows.select("item", "item_key", F.size("words").alias("size"), F.explode(placed).alias("x")).select("item", "item_key", "size", "x.h", "x.p")
+    """item, key (of item and text), size in tokens, and hash, position, width and kind of its windows. Windows with
+    fewer than :data:`LITERAL` words are ``exact``, and so is the one window of an item of two to four tokens; an
+    item without any word has none."""
+    text = F.col(text_column)
+    rows = items.select(F.col(item_column).alias("item"), F.xxhash64(item_column, text_column).alias("item_key"), tokens(text).alias("words"), spoken(text).alias("own")).dropDuplicates(["item_key"])
+    literal = lambda words: F.size(F.filter(words, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
+    rows = rows.where(literal(F.col("words")) > 0).withColumn("size", F.size("words"))
+
+    def window(h: Column, i: Column) -> Column:
+        exact = literal(F.slice("words", i + 1, WINDOW)) < LITERAL
+        return F.struct(F.when(exact, exact_hash(F.col("own"), i, WINDOW)).otherwise(h).alias("h"), i.alias("p"), F.lit(WINDOW).alias("width"), exact.alias("exact"))
+
+    whole = F.array(F.struct(exact_hash(F.col("own"), F.lit(0), F.col("size")).alias("h"), F.lit(0).alias("p"), F.col("size").alias("width"), F.lit(True).alias("exact")))
+    placed = F.when(F.col("size") >= WINDOW, F.transform(window_hashes(F.col("words")), window)).when(F.col("size") >= 2, whole)
+    return rows.select("item", "item_key", "size", F.explode(placed).alias("x")).select("item", "item_key", "size", "x.h", "x.p", "x.width", "x.exact")
+
+
+def exact_windows(width: int) -> Column:
+    """(pos, h) of a document's windows of some width with their values, from its ``words`` and ``own`` tokens; of
+    full windows only those with so many slots that they are matched with values."""
+    size = F.size("words")
+    if width < WINDOW:
+        starts = F.when(size >= width, F.sequence(F.lit(0), size - width))
+    else:
+        few = WINDOW - LITERAL  # a window with more slots than this, so one that holds few + 1 slots in a row
+        at = lambda j: F.get(F.col("slot_at"), j)
+        close = F.filter(F.sequence(F.lit(0), F.size("slot_at") - (few + 1)), lambda j: at(j + few) - at(j) < WINDOW)
+        around = F.transform(close, lambda j: F.sequence(F.greatest(F.lit(0), at(j + few) - (WINDOW - 1)), F.least(at(j), size - WINDOW)))
+        starts = F.when((size >= WINDOW) & (F.size("slot_at") > few), F.array_distinct(F.flatten(around)))
+    placed = F.transform(starts, lambda i: F.struct(i.alias("pos"), exact_hash(F.col("own"), i, width).alias("h")))
+    return F.coalesce(placed, F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
 def key_of(id_column: str, text_column: str) -> Column:
@@ -73,8 +110,16 @@ def key_of(id_column: str, text_column: str) -> Column:
 
 def matches(documents: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, broadcast_windows: int) -> DataFrame:
     index = written(benchmark_windows(items, item_column, item_text), "benchmark-windows")
-    words = documents.select(F.col(id_column).alias("id"), key_of(id_column, text_column).alias("doc_key"), tokens(F.col(text_column)).alias("words"))
-    windows = words.select("id", "doc_key", F.posexplode(window_hashes(F.col("words"))).alias("pos", "h"))
+    widths = sorted(r["width"] for r in index.where("exact").select("width").distinct().collect())  # four at most
+    text = F.col(text_column)
+    words = documents.select(F.col(id_column).alias("id"), key_of(id_column, text_column).alias("doc_key"), tokens(text).alias("words"), *[spoken(text).alias("own")] * bool(widths))
+    if widths:
+        slot_at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(NUMBER, NAME, UNIT), i)))
+        open_ones = F.coalesce(F.transform(window_hashes(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), F.array().cast("array<struct<pos:int,h:bigint>>"))
+        words = words.withColumn("slot_at", slot_at)
+        windows = words.select("id", "doc_key", F.explode(F.concat(open_ones, *map(exact_windows, widths))).alias("x")).select("id", "doc_key", "x.pos", "x.h")
+    else:
+        windows = words.select("id", "doc_key", F.posexplode(window_hashes(F.col("words"))).alias("pos", "h"))
     return windows.join(F.broadcast(index) if index.count() <= broadcast_windows else index, "h")
 
 
@@ -84,7 +129,7 @@ def fitting(found: DataFrame, near: DataFrame, documents: DataFrame, items: Data
     item_slots = items.select(F.xxhash64(item_column, item_text).alias("item_key"), F.explode(slots(F.col(item_text))).alias("s")).select("item_key", F.col("s.at").alias("p"), F.col("s.value").alias("theirs")).distinct()
     held = documents.withColumn("doc_key", key_of(id_column, text_column)).join(near.select("doc_key").distinct(), "doc_key", "left_semi")
     doc_slots = held.select("doc_key", F.explode(slots(F.col(text_column))).alias("s")).select("doc_key", F.col("s.at").alias("pos"), F.col("s.value").alias("own")).distinct()
-    pairs = found.join(near.select("doc_key", "item_key"), ["doc_key", "item_key"], "left_semi").select("doc_key", "item_key", (F.col("pos") - F.col("p")).alias("offset"), F.explode(F.sequence("p", F.col("p") + (WINDOW - 1))).alias("p")).distinct()
+    pairs = found.join(near.select("doc_key", "item_key"), ["doc_key", "item_key"], "left_semi").select("doc_key", "item_key", (F.col("pos") - F.col("p")).alias("offset"), F.explode(F.sequence("p", F.col("p") + F.col("width") - 1)).alias("p")).distinct()
     seen = pairs.join(item_slots, ["item_key", "p"]).withColumn("pos", F.col("p") + F.col("offset")).join(doc_slots, ["doc_key", "pos"])
     by_value = seen.groupBy("doc_key", "item_key", "offset", "theirs").agg(F.count("*").alias("n"), F.countDistinct("own").alias("values"), F.sum((F.col("own") == F.col("theirs")).cast("long")).alias("equal"))
     by_offset = by_value.groupBy("doc_key", "item_key", "offset").agg(F.sum("n").alias("n_slots"), (F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("fit"), (F.sum("equal") / F.sum("n")).alias("equal"))
@@ -98,7 +143,8 @@ def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     cover), ``n_slots`` (aligned slots), ``slot_fit`` (share of them with one value for one value) and
     ``same_values`` (share with equal values; below 1 in a re-parameterised copy; both null without slots).
 
-    A null, empty or short text (fewer than five tokens) holds nothing, and an item that short is not found.
+    A null or empty text holds nothing. An item of fewer than five tokens is found with its own values only; one of
+    a single token, or without any word, is not found.
     Texts of any length are read whole. Rows equal in id and text are one document; a null id stays null.
     An empty table on either side gives an empty result; other columns are not read. The benchmark's windows are
     broadcast up to ``broadcast_windows`` rows, counted first, and joined by hash beyond; a document's windows
@@ -106,8 +152,8 @@ def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     """
     names = (id_column, text_column, item_column, item_text)
     found = written(matches(documents, items, *names, broadcast_windows), "window-matches")
-    spans = F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1))))
-    pairs = found.groupBy("doc_key", "item_key").agg(F.min("id").alias("id"), F.min("item").alias("item"), F.min("size").alias("size"), F.collect_set("p").alias("at"))
+    spans = F.flatten(F.transform("at", lambda x: F.sequence(x["p"], x["p"] + x["width"] - 1)))
+    pairs = found.groupBy("doc_key", "item_key").agg(F.min("id").alias("id"), F.min("item").alias("item"), F.min("size").alias("size"), F.collect_set(F.struct("p", "width")).alias("at"))
     covered = pairs.withColumn("coverage", F.size(F.array_distinct(spans)) / F.col("size")).where(F.col("coverage") >= COVERED)
     near = written(covered.select("doc_key", "item_key", "id", "item", F.size("at").cast("long").alias("n_windows"), "coverage"), "near-items")
     fit = fitting(found, near, documents, items, *names)

@@ -101,6 +101,23 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert rows(decontamination.contaminated(docs, items), "doc_id") == [(1,)]
 
 
+NUMBER_HEAVY = [
+    "Sort the list 8, 3, 15, 42, 7, 19, 23 and 4 in ascending order", "Find the sum of 12, 7, 31, 5, 88, 19, 4, 63, 27 and 50", "What is 12 + 7 + 31 + 5 + 88?",
+    "What is 2 + 2?", "Table 3: 10 20 30 40 rows 50 60 70 80", "Compute 17 * 23",
+]
+
+
+def test_copies_of_number_heavy_items_are_found(spark):
+    items = spark.createDataFrame(list(enumerate(NUMBER_HEAVY)), "item_id long, text string")
+    other = lambda x: re.sub(r"\d+", lambda m: str(int(m[0]) * 3 + 1), x)
+    texts = [x for item in NUMBER_HEAVY for x in (f"Some words first. {item} Then some more words.", f"and now {item} {LONG[:200]}")]
+    docs = spark.createDataFrame(list(enumerate(texts + [other(x) for x in NUMBER_HEAVY[1:]] + ["What is it? Find the sum of all.", "12 7 31 5 88 19 4 63"])), "doc_id long, text string")
+    found = decontamination.contaminated(docs, items)
+    assert rows(found, "doc_id", "item_id") == [(i, i // 2) for i in range(len(texts))]
+    assert all(r["same_values"] == 1.0 for r in found.collect() if r["doc_id"] % 2 == 0)
+    assert rows(decontamination.contaminated(docs, items, broadcast_windows=0), "doc_id", "item_id") == rows(found, "doc_id", "item_id")
+
+
 # Licences.
 
 
