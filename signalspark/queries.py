@@ -354,6 +354,30 @@ def _(t: Telemetry) -> DataFrame:
     return constraints.violations(t).where("TableName = 'spans' AND Rule IN ('unique TraceId, SpanId', 'ResourceId in resources', 'values of Kind')")
 
 
+def all_violations_sql() -> str:
+    """Every rule written out here again, so that one the operator drops shows."""
+    unique = {"resources": "Id", "instrumentation_scopes": "Id", "metrics": "Id", "log_records": "Id", "exemplars": "Id", "spans": "TraceId, SpanId"}
+    points = ("gauge_data_points", "sum_data_points", "histogram_data_points", "exponential_histogram_data_points", "summary_data_points")
+    references = [
+        ("spans", "ResourceId", "resources"), ("spans", "ScopeId", "instrumentation_scopes"), ("span_events", "SpanId", "spans"), ("span_links", "SpanId", "spans"),
+        ("metrics", "ResourceId", "resources"), ("log_records", "ResourceId", "resources"), ("log_records", "ScopeId", "instrumentation_scopes"), *((x, "MetricId", "metrics") for x in points),
+    ]
+    temporality = ("AggregationTemporality", "'UNSPECIFIED', 'DELTA', 'CUMULATIVE'")
+    values = [
+        ("spans", "Kind", "'UNSPECIFIED', 'INTERNAL', 'SERVER', 'CLIENT', 'PRODUCER', 'CONSUMER'"), ("spans", "StatusCode", "'UNSET', 'OK', 'ERROR'"),
+        ("metrics", "Type", "'GAUGE', 'SUM', 'HISTOGRAM', 'EXPONENTIAL_HISTOGRAM', 'SUMMARY'"), *((x, *temporality) for x in points[1:4]),
+        ("log_records", "BodyType", "'STRING', 'BOOL', 'INT', 'DOUBLE', 'BYTES', 'ARRAY', 'KVLIST'"),
+    ]
+    parts = [f"SELECT '{t}' TableName, 'unique {c}' Rule, count(*) Violations FROM (SELECT 1 FROM {t} GROUP BY {c} HAVING count(*) > 1)" for t, c in unique.items()]
+    parts += [f"SELECT '{t}', '{c} in {parent}', count(*) FROM {t} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.Id = x.{c})" for t, c, parent in references]
+    return " UNION ALL ".join(parts + [f"SELECT '{t}', 'values of {c}', count(*) FROM {t} WHERE {c} NOT IN ({v})" for t, c, v in values])
+
+
+@query("all_constraint_violations", all_violations_sql())
+def _(t: Telemetry) -> DataFrame:
+    return constraints.violations(t)
+
+
 # Deletes: what is left.
 
 

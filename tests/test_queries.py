@@ -27,3 +27,12 @@ def test_entry_imports_and_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_all_constraints_are_registered(spark):
+    from signalspark.plans.constraints import REFERENCES, UNIQUE
+    from signalspark.schemas import ENUMS
+
+    got = {(r["TableName"], r["Rule"]) for r in QUERIES["all_constraint_violations"](spark, SF).collect()}
+    assert len(got) == len(UNIQUE) + len(REFERENCES) + len(ENUMS)
+    assert {t for t, _ in got} >= {"metrics", "log_records", "span_events", "span_links", "exemplars", "resources", "instrumentation_scopes"}
