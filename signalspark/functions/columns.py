@@ -1,4 +1,4 @@
-"""Column functions over the telemetry tables. All are built-in Spark expressions."""
+"""Column functions over the signal tables. All are built-in Spark expressions."""
 
 from __future__ import annotations
 
@@ -67,11 +67,6 @@ def required(value: str | None, what: str) -> str:
     return value
 
 
-def valid_id(raw: Column, size: int) -> Column:
-    """Lower-case hex of an id of ``size`` bytes; null for another length."""
-    return F.when(F.octet_length(raw) == size, F.lower(F.hex(raw)))
-
-
 def label_value(value: Column) -> Column:
     """The text of a label's value: a missing one is empty."""
     return F.coalesce(value, F.lit(""))

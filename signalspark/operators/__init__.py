@@ -1 +1 @@
-"""Queries over traces, logs and metrics, as functions from :class:`signalspark.tables.Telemetry` to DataFrames."""
+"""Queries over traces, logs and metrics, as functions from :class:`signalspark.tables.SignalTables` to DataFrames."""

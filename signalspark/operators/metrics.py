@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.columns import Bound, in_range, label_value, required, service_name, to_time
 from signalspark.schemas import METRIC_TYPES
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 TOP = 100
 
 
-def _infos(t: Telemetry, metrics: DataFrame) -> DataFrame:
+def _infos(t: SignalTables, metrics: DataFrame) -> DataFrame:
     """Catalogue entries: a metric is seen first and last when its row was stored; without attributes the
     service's name is empty."""
     own = t.resources.select(F.col("Id").alias("ResourceId"), F.when(F.col("AttributesJson").isNull(), "").otherwise(service_name(F.col("AttributesJson"))).alias("ServiceName"))
@@ -23,7 +23,7 @@ def _infos(t: Telemetry, metrics: DataFrame) -> DataFrame:
     return joined.select("Id", "Name", *optional, "Type", "ServiceName", F.col("CreatedAt").alias("FirstSeen"), F.col("CreatedAt").alias("LastSeen"))
 
 
-def metric_by_id(t: Telemetry, metric_id: int) -> DataFrame:
+def metric_by_id(t: SignalTables, metric_id: int) -> DataFrame:
     """One metric with resource, scope and its gauge points (an empty array for other types), or no row."""
     points = t.gauge_data_points.where(F.col("MetricId") == metric_id).groupBy(F.col("MetricId").alias("Id"))
     points = points.agg(F.array_sort(F.collect_list(F.struct("TimeUnixNano", F.col("Id").alias("PointId"), "ValueDouble", "ValueInt"))).alias("GaugePoints"))
@@ -31,41 +31,41 @@ def metric_by_id(t: Telemetry, metric_id: int) -> DataFrame:
     return joined.withColumn("GaugePoints", F.coalesce("GaugePoints", F.array()))
 
 
-def metrics_by_name(t: Telemetry, name: str) -> DataFrame:
+def metrics_by_name(t: SignalTables, name: str) -> DataFrame:
     return _infos(t, t.metrics.where(F.col("Name") == required(name, "metric name")))
 
 
-def metrics_by_type(t: Telemetry, kind: str) -> DataFrame:
+def metrics_by_type(t: SignalTables, kind: str) -> DataFrame:
     if kind not in METRIC_TYPES:
         raise ValueError(f"{kind} is no metric type")
     return _infos(t, t.metrics.where(F.col("Type") == kind))
 
 
-def of_service(t: Telemetry, service: str | None) -> DataFrame:
+def of_service(t: SignalTables, service: str | None) -> DataFrame:
     """The metrics of a service; all if it is None."""
     if service is None:
         return t.metrics
     return t.metrics.join(t.services().where(F.col("ServiceName") == required(service, "service name")).select("ResourceId"), "ResourceId", "left_semi")
 
 
-def metrics_by_service(t: Telemetry, service: str) -> DataFrame:
+def metrics_by_service(t: SignalTables, service: str) -> DataFrame:
     return _infos(t, of_service(t, required(service, "service name")))
 
 
-def all_metrics(t: Telemetry, limit: int = TOP) -> DataFrame:
+def all_metrics(t: SignalTables, limit: int = TOP) -> DataFrame:
     """The metrics stored last."""
-    return _infos(t, t.metrics).orderBy(F.desc("FirstSeen"), "Id").limit(limit)
+    return _infos(t, t.metrics.orderBy(F.desc("CreatedAt"), "Id").limit(limit)).orderBy(F.desc("FirstSeen"), "Id")
 
 
-def metric_counts_by_type(t: Telemetry, service: str | None = None) -> DataFrame:
+def metric_counts_by_type(t: SignalTables, service: str | None = None) -> DataFrame:
     return of_service(t, service).groupBy("Type").agg(F.count("*").alias("MetricCount"))
 
 
-def unique_metric_names(t: Telemetry, service: str | None = None) -> DataFrame:
+def unique_metric_names(t: SignalTables, service: str | None = None) -> DataFrame:
     return of_service(t, service).select("Name").distinct().orderBy("Name")
 
 
-def service_metric_summaries(t: Telemetry) -> DataFrame:
+def service_metric_summaries(t: SignalTables) -> DataFrame:
     """Metrics of each service by type; exponential histograms count as histograms. A resource without attributes
     has the empty name, one without a service name is ``unknown``."""
     name = F.when(F.col("AttributesJson").isNull(), "").otherwise(F.coalesce(service_name(F.col("AttributesJson")), F.lit("unknown")))
@@ -86,7 +86,7 @@ def number() -> Column:
     return F.coalesce("ValueDouble", F.col("ValueInt").cast("double"), F.lit(0.0))
 
 
-def latest_metric_values(t: Telemetry, service: str) -> DataFrame:
+def latest_metric_values(t: SignalTables, service: str) -> DataFrame:
     """The latest value of each gauge and sum of a service by name; where both kinds have a name the sum counts.
     Of points at one time the one with the highest id counts."""
     metrics = of_service(t, service).select(F.col("Id").alias("MetricId"), "Name")
@@ -98,36 +98,39 @@ def latest_metric_values(t: Telemetry, service: str) -> DataFrame:
     return both.groupBy("Name").agg(F.max_by("Value", F.struct("Rank", "TimeUnixNano", "Id")).alias("Value"))
 
 
-def latest_gauge_values(t: Telemetry, limit: int = TOP) -> DataFrame:
-    joined = t.gauge_data_points.join(t.metrics.select(F.col("Id").alias("MetricId"), "Name"), "MetricId")
-    return joined.orderBy(F.desc("TimeUnixNano"), F.desc("Id")).limit(limit).select("Name", "ValueDouble", "TimeUnixNano")
+def latest_gauge_values(t: SignalTables, limit: int = TOP) -> DataFrame:
+    """The latest gauge points, the latest first, with their metric's name."""
+    latest = t.gauge_data_points.select("MetricId", "Id", "ValueDouble", "TimeUnixNano").orderBy(F.desc("TimeUnixNano"), F.desc("Id")).limit(limit)
+    joined = latest.join(t.metrics.select(F.col("Id").alias("MetricId"), "Name"), "MetricId")
+    return joined.orderBy(F.desc("TimeUnixNano"), F.desc("Id")).select("Name", "ValueDouble", "TimeUnixNano")
 
 
-def first_metrics(t: Telemetry, names: list[str]) -> DataFrame:
+def first_metrics(t: SignalTables, names: list[str]) -> DataFrame:
     """For each name the row that was stored first (the smallest id)."""
     mine = t.metrics.where(F.col("Name").isin(*names))
     return mine.groupBy("Name").agg(F.min_by(F.struct("Id", "Type"), "Id").alias("m")).select("Name", "m.Id", "m.Type")
 
 
-def labels(t: Telemetry, points: DataFrame) -> DataFrame:
+def types_of(first: DataFrame, among: tuple[str, ...] = METRIC_TYPES) -> list[str]:
+    """The types in rows of :func:`first_metrics`: only these types' points need to be read."""
+    found = {r["Type"] for r in first.select("Type").distinct().collect()}  # five at most
+    return [kind for kind in among if kind in found] or list(among[:1])
+
+
+def labels(t: SignalTables, points: DataFrame) -> DataFrame:
     """Distinct keys and values of the points' attributes; a JSON null is the empty text."""
     parsed = points.select(F.explode(F.from_json("AttributesJson", "map<string,string>")).alias("LabelKey", "v"))
     return parsed.select("LabelKey", label_value(F.col("v")).alias("LabelValue")).distinct()
 
 
-def metric_labels(t: Telemetry, name: str) -> DataFrame:
+def metric_labels(t: SignalTables, name: str) -> DataFrame:
     """Keys and values of the points of a metric, over all its rows of the first row's type."""
     first = first_metrics(t, [required(name, "metric name")]).select("Name", "Type")
     mine = t.metrics.join(first, ["Name", "Type"], "left_semi").select(F.col("Id").alias("MetricId"))
-    every = [t.points(kind).select("MetricId", "AttributesJson") for kind in METRIC_TYPES]
+    every = [t.points(kind).select("MetricId", "AttributesJson") for kind in types_of(first)]
     return labels(t, reduce(DataFrame.union, every).join(mine, "MetricId", "left_semi")).orderBy("LabelKey", "LabelValue")
 
 
-def labels_by_key(found: DataFrame) -> DataFrame:
-    """Keys with the sorted array of their values."""
-    return found.groupBy("LabelKey").agg(F.sort_array(F.collect_set("LabelValue")).alias("Values"))
-
-
 #: What a point of each type shows; the other columns of a series are null.
 SERIES = {
     "DoubleValue": ("double", {"GAUGE": "ValueDouble", "SUM": "ValueDouble"}),
@@ -148,7 +151,7 @@ def _shown(points: DataFrame, kind: str) -> DataFrame:
     return points.select("Name", "Type", to_time(F.col("TimeUnixNano")).alias("Timestamp"), "TimeUnixNano", "Id", *columns)
 
 
-def multiple_metric_series(t: Telemetry, names: list[str], start: Bound = None, end: Bound = None, all_rows: bool = True, where: dict[str, str] | None = None, kinds: tuple[str, ...] = METRIC_TYPES) -> DataFrame:
+def multiple_metric_series(t: SignalTables, names: list[str], start: Bound = None, end: Bound = None, all_rows: bool = True, where: dict[str, str] | None = None, kinds: tuple[str, ...] = METRIC_TYPES) -> DataFrame:
     """The points of some metrics by name and time, both ends of the range included; unknown names have no rows.
 
     A metric has a row for every export. With ``all_rows`` the points of all rows of a name that have the type
@@ -158,7 +161,7 @@ def multiple_metric_series(t: Telemetry, names: list[str], start: Bound = None,
     rows = t.metrics.join(first.select("Name", "Type"), ["Name", "Type"], "left_semi").select("Id", "Name", "Type") if all_rows else first
     rows = rows.select(F.col("Id").alias("MetricId"), "Name", "Type")
     parts = []
-    for kind in kinds:
+    for kind in types_of(first, kinds):
         points = t.points(kind).where(in_range(F.col("TimeUnixNano"), start, end))
         for key, value in (where or {}).items():
             points = points.where(F.get_json_object("AttributesJson", f"$['{key}']") == value)
@@ -166,18 +169,18 @@ def multiple_metric_series(t: Telemetry, names: list[str], start: Bound = None,
     return reduce(DataFrame.union, parts).orderBy("Name", "TimeUnixNano", "Id").drop("TimeUnixNano", "Id")
 
 
-def metric_series(t: Telemetry, name: str, start: Bound = None, end: Bound = None, all_rows: bool = True, where: dict[str, str] | None = None, kinds: tuple[str, ...] = METRIC_TYPES) -> DataFrame:
+def metric_series(t: SignalTables, name: str, start: Bound = None, end: Bound = None, all_rows: bool = True, where: dict[str, str] | None = None, kinds: tuple[str, ...] = METRIC_TYPES) -> DataFrame:
     """The series of one metric; empty if there is none."""
     return multiple_metric_series(t, [required(name, "metric name")], start, end, all_rows, where, kinds)
 
 
-def exemplars_with_spans(t: Telemetry) -> DataFrame:
+def exemplars_with_spans(t: SignalTables) -> DataFrame:
     """Exemplars beside the span they were taken in."""
     spans = t.spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "StatusCode")
     return t.exemplars.join(spans, ["TraceId", "SpanId"]).select("Id", "TraceId", "SpanId", "SpanName", "StatusCode", "ValueDouble", "ValueInt", "TimeUnixNano")
 
 
-def histogram_quantile(t: Telemetry, name: str, q: float, start: Bound = None, end: Bound = None) -> DataFrame:
+def histogram_quantile(t: SignalTables, name: str, q: float, start: Bound = None, end: Bound = None) -> DataFrame:
     """The q-quantile of each histogram point of a metric, interpolated inside its bucket. A bucket runs from the
     bound before (its minimum in the first, if known, else 0) to its own bound, the last one to the maximum, or
     to the last bound where that is unknown; an empty histogram has none."""

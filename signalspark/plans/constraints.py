@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.schemas import ENUMS, POINT_TABLES
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 #: Columns that are unique together.
 UNIQUE = {name: ("Id",) for name in ("resources", "instrumentation_scopes", "metrics", "log_records", "exemplars")} | {"spans": ("TraceId", "SpanId")}
@@ -20,7 +20,7 @@ REFERENCES = {
 } | {(table, "MetricId"): "metrics" for table in POINT_TABLES.values()}
 
 
-def violations(t: Telemetry) -> DataFrame:
+def violations(t: SignalTables) -> DataFrame:
     """``TableName``, ``Rule`` and ``Violations`` (rows, or keys that occur more than once) for every rule."""
 
     def row(table: str, rule: str, bad: DataFrame) -> DataFrame:

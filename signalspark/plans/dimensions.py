@@ -22,7 +22,7 @@ def id_of(*parts: Column) -> Column:
 
 
 def with_resource_hash(df: DataFrame) -> DataFrame:
-    """Adds ``ResourceHash`` over ``ResourceSchemaUrl`` and ``ResourceAttributesJson``, a missing resource being
+    """Sets ``ResourceHash`` over ``ResourceSchemaUrl`` and ``ResourceAttributesJson``, a missing resource being
     the unknown one."""
     df = df.withColumn("ResourceAttributesJson", F.coalesce("ResourceAttributesJson", F.lit(UNKNOWN_RESOURCE)))
     return df.withColumn("ResourceHash", content_hash(F.col("ResourceSchemaUrl"), F.col("ResourceAttributesJson")))

@@ -1,36 +1,62 @@
 """Ingest: rows of export requests against what a store has.
 
-Each function gives the rows to append, by table, and a report of what was accepted and rejected. Ids are hashes
-of natural keys, so running a batch again changes nothing.
+Every item is known by its place: the request's key and the item's ordinals inside the request. Ids follow from
+that (those of spans from trace and span id), so equal log records stay as many rows as came, every export makes
+metrics of its own, and running a batch again gives the same ids. Of spans with the same ids the first in the
+order of places stays.
+
+``stage`` may write a table and read it again: requests are then parsed once and all tables come from what was
+written. Without it each table is computed from the requests, with the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from signalspark.plans.dimensions import id_of, new_rows, resources_of, scopes_of
+from signalspark.plans.dimensions import id_of, new_rows, resources_of, scopes_of, with_resource_hash, with_scope_hash
 from signalspark.schemas import POINT_TABLES
 from signalspark.sources import otlp
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
+
+Stage = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Batch:
-    """Rows to append by table, and ``report`` (Signal, Accepted, Rejected)."""
+    """Rows to append by table, and ``report`` (Signal, Accepted, Duplicate, Rejected): one row."""
 
     tables: dict[str, DataFrame]
     report: DataFrame
 
 
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def keyed(requests: DataFrame, export: str = "") -> DataFrame:
+    """Requests with a ``Key`` each. Where they have none (a file and a line, a topic's offset) it is ``export``, the
+    text's hash, and a number among equal texts; equal texts are alike, so any numbering gives the same keys."""
+    if "Key" in requests.columns:
+        return requests
+    text = requests.withColumn("__hash", F.sha2("value", 256))
+    copies = Window.partitionBy("__hash").orderBy("__hash")
+    return text.select("*", F.concat_ws(":", F.lit(export), "__hash", F.row_number().over(copies).cast("string")).alias("Key")).drop("__hash")
+
+
+_PLACE = ("Key", "At.ri", "At.si", "At.ii")
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return df.withColumn("ResourceId", id_of(F.col("ResourceHash"))).withColumn("ScopeId", id_of(F.col("ScopeHash"))).withColumn("CreatedAt", F.current_timestamp())
 
 
-def _dimensions(df: DataFrame, known: Telemetry | None) -> dict[str, DataFrame]:
+def _dimensions(df: DataFrame, known: SignalTables | None) -> dict[str, DataFrame]:
     now = F.current_timestamp()
     resources = new_rows(resources_of(df), known and known.resources, "ResourceHash")
     scopes = new_rows(scopes_of(df), known and known.instrumentation_scopes, "ScopeHash")
@@ -38,47 +64,78 @@ def _dimensions(df: DataFrame, known: Telemetry | None) -> dict[str, DataFrame]:
 
 
 def _report(signal: str, rows: DataFrame, weight: str = "1") -> DataFrame:
-    bad = "Rejected IS NOT NULL" if "Rejected" in rows.columns else "false"
-    return rows.selectExpr(f"'{signal}' AS Signal", f"CASE WHEN {bad} THEN 0 ELSE {weight} END AS a", f"CASE WHEN {bad} THEN {weight} ELSE 0 END AS r").groupBy("Signal").agg(F.sum("a").alias("Accepted"), F.sum("r").alias("Rejected"))
+    """Sums ``weight`` by what became of the rows."""
+    rejected = "Rejected IS NOT NULL" if "Rejected" in rows.columns else "false"
+    again = "Duplicate" if "Duplicate" in rows.columns else "false"
+    fate = {"Rejected": rejected, "Duplicate": f"NOT ({rejected}) AND {again}", "Accepted": f"NOT ({rejected}) AND NOT {again}"}
+    sums = [F.coalesce(F.sum(F.expr(f"CASE WHEN {fate[n]} THEN {weight} ELSE 0 END")), F.lit(0)).cast("bigint").alias(n) for n in ("Accepted", "Duplicate", "Rejected")]
+    return rows.agg(*sums).select(F.lit(signal).alias("Signal"), "Accepted", "Duplicate", "Rejected")
+
+
+_OF_RESOURCE = ("ResourceSchemaUrl", "ResourceAttributesJson")
+_OF_SCOPE = ("ScopeName", "ScopeVersion", "ScopeSchemaUrl", "ScopeAttributesJson")
+
 
+def with_trace_defaults(spans: DataFrame) -> DataFrame:
+    """A span whose request gives it no resource or no scope has those of the first span of its trace in that request
+    (which may lack them too, and then are the unknown ones)."""
+    lacking = spans.where("ResourceMissing OR ScopeMissing").select("Key", "TraceId").distinct()
+    first = spans.join(lacking, ["Key", "TraceId"], "left_semi").groupBy("Key", "TraceId").agg(F.min_by(F.struct(*_OF_RESOURCE, *_OF_SCOPE), "At").alias("__first"))
+    joined = spans.join(first, ["Key", "TraceId"], "left")
+    filled = {c: F.when(F.col(missing) & F.col("__first").isNotNull(), F.col(f"__first.{c}")).otherwise(F.col(c)) for missing, group in (("ResourceMissing", _OF_RESOURCE), ("ScopeMissing", _OF_SCOPE)) for c in group}
+    return with_scope_hash(with_resource_hash(joined.withColumns(filled).drop("__first")))
 
-def ingest_traces(requests: DataFrame, known: Telemetry | None = None, strict: bool = False) -> Batch:
+
+def told_apart(spans: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Spans with ``Duplicate``: all but the first of those with the same trace and span id, and those that ``known``
+    (TraceId, SpanId) has. Only the batch's ids are looked up there."""
+    pair = ["TraceId", "SpanId"]
+    order = Window.partitionBy(*pair).orderBy("Key", "At")
+    ranked = spans.withColumn("Duplicate", F.col("Rejected").isNull() & (F.row_number().over(order) > 1))
+    if known is None:
+        return ranked
+    there = known.select(*pair).join(spans.where("Rejected IS NULL").select(*pair).distinct(), pair, "left_semi").distinct()
+    return ranked.join(there.withColumn("__there", F.lit(True)), pair, "left").withColumn("Duplicate", F.col("Duplicate") | F.coalesce("__there", F.lit(False))).drop("__there")
+
+
+def ingest_traces(requests: DataFrame, known: SignalTables | None = None, strict: bool = False, stage: Stage = as_it_is, export: str = "") -> Batch:
     """Spans with their events and links. Spans with a bad id are rejected and the rest stored. A span that is
-    there already, in the batch or in the store, is left out; with ``strict`` it is an error when the rows run."""
-    every = otlp.spans(requests)
-    good = _ids(every.where("Rejected IS NULL")).withColumn("Id", id_of(F.col("TraceId"), F.col("SpanId")))
-    if strict:
-        again = good.groupBy("TraceId", "SpanId").agg(F.count("*").alias("n"))
-        again = again if known is None else again.unionByName(known.spans.select("TraceId", "SpanId", F.lit(1).cast("long").alias("n")).join(good.select("TraceId", "SpanId"), ["TraceId", "SpanId"], "left_semi"))
-        twice = again.groupBy("TraceId", "SpanId").agg(F.sum("n").alias("n")).where("n > 1").limit(1).collect()
-        if twice:
-            raise ValueError(f"span {twice[0]['SpanId']} of trace {twice[0]['TraceId']} is there already")
-    fresh = new_rows(good, known and known.spans, ["TraceId", "SpanId"])
-    events = fresh.select(F.col("Id").alias("SpanId"), F.posexplode("Events").alias("At", "e")).select(id_of(F.col("SpanId"), F.col("At")).alias("Id"), "SpanId", "e.*")
-    links = fresh.select(F.col("Id").alias("SpanId"), F.posexplode("Links").alias("At", "e")).select(id_of(F.col("SpanId"), F.col("At")).alias("Id"), "SpanId", "e.*")
-    return Batch(_dimensions(good, known) | {"spans": fresh, "span_events": events, "span_links": links}, _report("traces", every))
-
-
-def ingest_logs(requests: DataFrame, known: Telemetry | None = None) -> Batch:
-    """Log records; a record's id is a hash of all it says, so equal records are one."""
-    every = _ids(otlp.log_records(requests))
-    content = ("ResourceHash", "ScopeHash", "TimeUnixNano", "ObservedTimeUnixNano", "SeverityNumber", "SeverityText", "BodyType", "BodyValue", "TraceId", "SpanId", "AttributesJson")
-    rows = every.withColumn("Id", id_of(F.to_json(F.struct(*content))))
-    return Batch(_dimensions(every, known) | {"log_records": new_rows(rows, known and known.log_records, "Id")}, _report("logs", every))
-
-
-def ingest_metrics(requests: DataFrame, export: str, known: Telemetry | None = None) -> Batch:
-    """Metrics, points and exemplars. Every export stores its metrics anew: ``export`` names it, and its ids
-    follow from that. The report counts points."""
-    every = _ids(otlp.metrics(requests))
-    good = every.where("Rejected IS NULL").withColumn("MetricId", id_of(F.lit(export), F.col("ResourceHash"), F.col("ScopeHash"), F.col("Name"), F.col("Type")))
-    tables = _dimensions(good, known) | {"metrics": good.withColumn("Id", F.col("MetricId")).dropDuplicates(["Id"])}
+    there already, in the batch or in the store, is left out and counted; with ``strict`` it is an error."""
+    parsed = stage(otlp.spans(keyed(requests, export)))
+    every = stage(_ids(told_apart(with_trace_defaults(parsed), known and known.spans)).withColumn("Id", id_of(F.col("TraceId"), F.col("SpanId"))))
+    good = every.where("Rejected IS NULL")
+    if strict and (twice := good.where("Duplicate").limit(1).collect()):
+        raise ValueError(f"span {twice[0]['SpanId']} of trace {twice[0]['TraceId']} is there already")
+    fresh = good.where("NOT Duplicate")
+
+    def children(name: str) -> DataFrame:
+        rows = fresh.select(F.col("Id").alias("SpanId"), F.col("StartTimeUnixNano").alias("ParentTime"), F.posexplode(name).alias("Place", "e"))
+        return rows.select(id_of(F.col("SpanId"), F.col("Place")).alias("Id"), "SpanId", "ParentTime", "e.*")
+
+    return Batch(_dimensions(good, known) | {"span_events": children("Events"), "span_links": children("Links"), "spans": fresh}, _report("traces", every))
+
+
+def ingest_logs(requests: DataFrame, known: SignalTables | None = None, stage: Stage = as_it_is, export: str = "") -> Batch:
+    """Log records, every one a row."""
+    every = stage(_ids(otlp.log_records(keyed(requests, export))).withColumn("Id", id_of(*map(F.col, _PLACE))))
+    return Batch(_dimensions(every, known) | {"log_records": every}, _report("logs", every))
+
+
+def ingest_metrics(requests: DataFrame, export: str = "", known: SignalTables | None = None, stage: Stage = as_it_is) -> Batch:
+    """Metrics, points and exemplars. Every export stores its metrics anew; ``export`` names it where the requests have no
+    keys. The report counts points."""
+    every = stage(_ids(otlp.metrics(keyed(requests, export))).withColumn("MetricId", id_of(*map(F.col, _PLACE))))
+    good = every.where("Rejected IS NULL")
+    tables = _dimensions(good, known) | {"metrics": good.withColumn("Id", F.col("MetricId"))}
     exemplars = []
     for kind, table in POINT_TABLES.items():
-        rows = otlp.points(good, kind).withColumn("Id", id_of(F.col("MetricId"), F.col("TimeUnixNano"), F.col("AttributesJson"), F.col("At")))
+        rows = otlp.points(good, kind).withColumn("Id", id_of(F.col("MetricId"), F.lit(table), F.col("Place")))
         if kind != "SUMMARY":
             rows = rows.withColumn("ExemplarId", F.when(F.col("Exemplar").isNotNull(), id_of(F.col("Id"), F.lit("exemplar"))))
             exemplars.append(rows.where("Exemplar IS NOT NULL").select(F.col("ExemplarId").alias("Id"), "Exemplar.*"))
         tables[table] = rows
     tables["exemplars"] = reduce(DataFrame.union, exemplars)
     return Batch(tables, _report("metrics", every, "greatest(Points, 1)"))
+
+
+INGEST = {"traces": ingest_traces, "logs": ingest_logs, "metrics": ingest_metrics}

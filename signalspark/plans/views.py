@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from signalspark.operators import logs, traces
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 VIEWS = {
     "trace_summary": traces.trace_summary,
@@ -15,7 +15,7 @@ VIEWS = {
 }
 
 
-def register(spark: SparkSession, t: Telemetry) -> list[str]:
+def register(spark: SparkSession, t: SignalTables) -> list[str]:
     """Makes every table and view known to ``spark.sql`` under its name and gives the names."""
     for name in t.names():
         t.table(name).createOrReplaceTempView(name)

@@ -1,4 +1,4 @@
-"""The queries of the telemetry operators for ``__spark_entry__.py``, each beside its DuckDB form. The tables are
+"""The queries of the signal operators for ``__spark_entry__.py``, each beside its DuckDB form. The tables are
 derived from ``events`` by :mod:`signalspark.sources.events`; times are shown as epoch milliseconds."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from signalspark.operators import logs, metrics, retention, traces
 from signalspark.plans import constraints, views
 from signalspark.sources import events
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
-    return events.telemetry(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+def signal_tables(spark: SparkSession, sf_dir: str) -> SignalTables:
+    return events.signal_tables(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.unix_millis(F.col(f.name).cast("timestamp")).alias(f.name) if f.dataType.typeName().startswith("timestamp") else f.name for f in df.schema.fields])
 
 
-def query(name: str, sql: str | None) -> Callable[[Callable[[Telemetry], DataFrame]], Callable[[Telemetry], DataFrame]]:
+def query(name: str, sql: str | None) -> Callable[[Callable[[SignalTables], DataFrame]], Callable[[SignalTables], DataFrame]]:
     """Registers a function of the tables, with its DuckDB form over the derived tables."""
 
-    def register(f: Callable[[Telemetry], DataFrame]) -> Callable[[Telemetry], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: plain(f(telemetry(spark, sf_dir)))
+    def register(f: Callable[[SignalTables], DataFrame]) -> Callable[[SignalTables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: plain(f(signal_tables(spark, sf_dir)))
         if sql:
             ORACLES[name] = events.duckdb_sql(sql)
         return f
@@ -75,94 +75,94 @@ def spans(df: DataFrame) -> DataFrame:
 
 
 @query("trace_by_id", f"{SPANS} WHERE s.TraceId = (SELECT min(TraceId) FROM spans)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return spans(traces.trace_by_id(t, one(t.spans, "TraceId")))
 
 
 @query("span_by_id", f"{SPANS} WHERE s.SpanId = (SELECT min(SpanId) FROM spans)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     row = t.spans.where(F.col("SpanId") == one(t.spans, "SpanId")).first()
     return spans(traces.span_by_id(t, row["TraceId"], row["SpanId"]))
 
 
 @query("spans_by_parent", f"{SPANS} WHERE s.ParentSpanId = (SELECT min(ParentSpanId) FROM spans)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     row = t.spans.where(F.col("ParentSpanId") == one(t.spans, "ParentSpanId")).first()
     return spans(traces.spans_by_parent(t, row["TraceId"], row["ParentSpanId"]))
 
 
 @query("traces_by_time_range", f"SELECT TraceId, SpanCount, HasErrors, {SHOWN} FROM (SELECT TraceId, {INFO} FROM spans WHERE StartTimeUnixNano BETWEEN {START} AND {END} GROUP BY TraceId ORDER BY s DESC, TraceId LIMIT 100)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.traces_by_time_range(t, START, END)
 
 
 @query("traces_by_service", f"SELECT TraceId, SpanCount, HasErrors, '{SERVICE}' ServiceName, {SHOWN} FROM (SELECT TraceId, {INFO} FROM spans s JOIN {SVC} r ON s.ResourceId = r.Id WHERE svc = '{SERVICE}' GROUP BY TraceId ORDER BY s DESC, TraceId LIMIT 100)".replace("min(StartTimeUnixNano) s,", "min(StartTimeUnixNano) AS s,").replace("FROM spans s JOIN", "FROM spans x JOIN").replace("s.ResourceId", "x.ResourceId"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.traces_by_service(t, SERVICE)
 
 
 @query("error_traces", f"SELECT TraceId, SpanCount, HasErrors, {SHOWN} FROM (SELECT TraceId, {INFO} FROM spans WHERE StatusCode = 'ERROR' GROUP BY TraceId ORDER BY s DESC, TraceId LIMIT 100)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.error_traces(t)
 
 
 @query("slow_traces", f"SELECT TraceId, SpanCount, HasErrors, {SHOWN} FROM (SELECT TraceId, {INFO} FROM spans GROUP BY TraceId HAVING max(EndTimeUnixNano) - min(StartTimeUnixNano) >= 3600000000000 ORDER BY f - s DESC, TraceId LIMIT 100)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.slow_traces(t, timedelta(hours=1))
 
 
 @query("trace_summary", "SELECT hex(TraceId) TraceIdHex, TraceId, ResourceId, count(*) SpanCount, min(StartTimeUnixNano) TraceStartTime, max(EndTimeUnixNano) TraceEndTime, max(EndTimeUnixNano) - min(StartTimeUnixNano) TraceDurationNs FROM spans GROUP BY TraceId, ResourceId")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.trace_summary(t)
 
 
 @query("trace_summary_by_hex", "SELECT hex(TraceId) TraceIdHex, TraceId, ResourceId, count(*) SpanCount, min(StartTimeUnixNano) TraceStartTime, max(EndTimeUnixNano) TraceEndTime, max(EndTimeUnixNano) - min(StartTimeUnixNano) TraceDurationNs FROM spans WHERE TraceId = (SELECT max(TraceId) FROM spans) GROUP BY TraceId, ResourceId")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.trace_summary(t, t.spans.agg(F.hex(F.max("TraceId"))).first()[0])
 
 
 @query("service_map", f"SELECT pr.svc ParentService, cr.svc ChildService, c.Kind SpanKind, count(*) CallCount {EDGES} GROUP BY ALL")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.service_map(t)
 
 
 @query("service_map_detailed", f"{CALLS} GROUP BY ALL")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.service_map_detailed(t)
 
 
 @query("service_dependencies", f"{CALLS} AND c.StartTimeUnixNano BETWEEN {START} AND {END} GROUP BY ALL")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.service_dependencies(t, START, END)
 
 
 @query("service_map_by_calls", f"SELECT ParentService, ChildService, SpanKind, CallCount, AvgDurationMs, ErrorRate FROM ({CALLS} GROUP BY ALL)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.service_map_by_calls(t)
 
 
 @query("operation_counts", f"SELECT x.Name, count(*) SpanCount FROM spans x JOIN {SVC} r ON x.ResourceId = r.Id WHERE svc = '{SERVICE}' GROUP BY x.Name")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.operation_counts(t, SERVICE)
 
 
 @query("average_latencies", f"SELECT x.Name, round(avg(EndTimeUnixNano - StartTimeUnixNano) / 1000000, 6) AvgDurationMs FROM spans x JOIN {SVC} r ON x.ResourceId = r.Id WHERE svc = '{SERVICE}' GROUP BY x.Name")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.average_latencies(t, SERVICE).withColumn("AvgDurationMs", F.round("AvgDurationMs", 6))
 
 
 @query("slow_operations", "SELECT Name, avg(EndTimeUnixNano - StartTimeUnixNano) / 1000000 AvgDurationMs FROM spans GROUP BY Name HAVING AvgDurationMs > 49")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.slow_operations(t, 49)
 
 
 @query("root_spans", f"SELECT TraceId, x.Name RootOperationName, svc RootService FROM spans x LEFT JOIN {SVC} r ON x.ResourceId = r.Id WHERE ParentSpanId IS NULL QUALIFY row_number() OVER (PARTITION BY TraceId ORDER BY StartTimeUnixNano, SpanId) = 1")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.root_spans(t)
 
 
 @query("linked_spans", "SELECT l.Id, a.TraceId, a.Name FromName, l.LinkedTraceId, l.LinkedSpanId, b.Name ToName FROM span_links l JOIN spans a ON a.Id = l.SpanId LEFT JOIN spans b ON b.TraceId = l.LinkedTraceId AND b.SpanId = l.LinkedSpanId")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return traces.linked_spans(t)
 
 
@@ -173,54 +173,54 @@ LOGS = f"SELECT l.Id, TimeUnixNano, SeverityNumber, SeverityText, BodyValue, Tra
 
 
 @query("log_by_id", f"{LOGS} WHERE l.Id = (SELECT min(Id) FROM log_records)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.log_by_id(t, one(t.log_records, "Id")).select(*LOG)
 
 
 @query("logs_by_trace", f"{LOGS} WHERE TraceId = (SELECT min(TraceId) FROM log_records)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.logs_by_trace(t, one(t.log_records, "TraceId")).select(*LOG)
 
 
 @query("logs_by_time_range", f"{LOGS} WHERE TimeUnixNano BETWEEN {START} AND {END}")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.logs_by_time_range(t, START, END).select(*LOG)
 
 
 @query("logs_by_severity", f"{LOGS} WHERE SeverityNumber >= 17")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.logs_by_severity(t, 17).select(*LOG)
 
 
 @query("error_logs_with_trace", "SELECT BodyValue, TraceId, SpanId, TimeUnixNano FROM log_records WHERE SeverityText = 'ERROR' AND TraceId IS NOT NULL")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.error_logs_with_trace(t)
 
 
 @query("log_severity_stats", "SELECT SeverityText, SeverityNumber, strftime(make_timestamp(TimeUnixNano // 1000), '%Y-%m-%d') LogDate, count(*) Count FROM log_records WHERE TimeUnixNano IS NOT NULL GROUP BY ALL")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.log_severity_stats(t).withColumn("LogDate", F.col("LogDate").cast("string"))
 
 
 @query("log_fulltext_search", "SELECT Id, BodyValue FROM log_records WHERE list_has_any(regexp_split_to_array(lower(BodyValue), '[^a-z0-9_]+'), ['error', 'purchase'])")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.log_fulltext_search(t, "error purchase").select("Id", "BodyValue")
 
 
 @query("log_fulltext_relevance", """SELECT Id, BodyValue, round(len(list_filter(w, lambda x: x = 'error')) * power(log10(n / ne), 2) + len(list_filter(w, lambda x: x = 'purchase')) * power(log10(n / np), 2), 9) Score
  FROM (SELECT *, count(*) OVER () n, count(CASE WHEN list_contains(w, 'error') THEN 1 END) OVER () ne, count(CASE WHEN list_contains(w, 'purchase') THEN 1 END) OVER () np
        FROM (SELECT Id, BodyValue, regexp_split_to_array(lower(BodyValue), '[^a-z0-9_]+') w FROM log_records)) WHERE list_has_any(w, ['error', 'purchase'])""")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.log_fulltext_search(t, "error purchase", relevance=True).select("Id", "BodyValue", F.round("Score", 9).alias("Score"))
 
 
 @query("logs_with_prefix", "SELECT Id, BodyValue FROM log_records WHERE starts_with(BodyValue, 'error by')")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.logs_with_prefix(t, "error by").select("Id", "BodyValue")
 
 
 @query("logs_with_spans", "SELECT l.Id, l.TraceId, l.SpanId, s.Name SpanName, Kind, StatusCode, SeverityText, BodyValue FROM log_records l JOIN spans s ON l.TraceId = s.TraceId AND l.SpanId = s.SpanId")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return logs.logs_with_spans(t)
 
 
@@ -232,61 +232,61 @@ DAY_MS = 86_400_000
 
 
 @query("metric_by_id", f"SELECT m.Id, m.Name, m.Type, svc ServiceName, (SELECT count(*) FROM gauge_data_points g WHERE g.MetricId = m.Id) GaugePoints FROM metrics m JOIN {SVC} r ON m.ResourceId = r.Id WHERE m.Id = (SELECT min(Id) FROM metrics)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_by_id(t, one(t.metrics, "Id")).select("Id", "Name", "Type", "ServiceName", F.size("GaugePoints").cast("long").alias("GaugePoints"))
 
 
 @query("metrics_by_name", f"{METRICS} WHERE m.Name = 'app.click'")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metrics_by_name(t, "app.click")
 
 
 @query("metrics_by_service", f"{METRICS} WHERE svc = '{SERVICE}'")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metrics_by_service(t, SERVICE)
 
 
 @query("metrics_by_type", f"{METRICS} WHERE m.Type = 'HISTOGRAM'")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metrics_by_type(t, "HISTOGRAM")
 
 
 @query("all_metrics", f"{METRICS} ORDER BY CreatedAt DESC, m.Id LIMIT 10")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.all_metrics(t, 10)
 
 
 @query("metric_counts_by_type", "SELECT Type, count(*) MetricCount FROM metrics GROUP BY Type")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_counts_by_type(t)
 
 
 @query("unique_metric_names", f"SELECT DISTINCT m.Name FROM metrics m JOIN {SVC} r ON m.ResourceId = r.Id WHERE svc = '{SERVICE}'")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.unique_metric_names(t, SERVICE)
 
 
 @query("service_metric_summaries", f"""SELECT coalesce(svc, 'unknown') ServiceName, count(*) TotalMetrics, count(CASE WHEN Type = 'GAUGE' THEN 1 END) GaugeCount,
  count(CASE WHEN Type = 'SUM' THEN 1 END) SumCount, count(CASE WHEN Type IN ('HISTOGRAM', 'EXPONENTIAL_HISTOGRAM') THEN 1 END) HistogramCount,
  count(CASE WHEN Type = 'SUMMARY' THEN 1 END) SummaryCount, epoch_us(max(CreatedAt)) // 1000 LastUpdated FROM metrics m JOIN {SVC} r ON m.ResourceId = r.Id GROUP BY 1""")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.service_metric_summaries(t)
 
 
 @query("latest_metric_values", f"""SELECT Name, arg_max(Value, (k, TimeUnixNano, Id)) AS Value FROM (
   SELECT m.Name, 0 k, TimeUnixNano, g.Id, coalesce(ValueDouble, cast(ValueInt as double), 0) AS Value FROM gauge_data_points g JOIN metrics m ON g.MetricId = m.Id JOIN {SVC} r ON m.ResourceId = r.Id WHERE svc = 'svc_error'
   UNION ALL SELECT m.Name, 1, TimeUnixNano, g.Id, coalesce(ValueDouble, cast(ValueInt as double), 0) FROM sum_data_points g JOIN metrics m ON g.MetricId = m.Id JOIN {SVC} r ON m.ResourceId = r.Id WHERE svc = 'svc_error') GROUP BY Name""")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.latest_metric_values(t, "svc_error")
 
 
 @query("latest_gauge_values", "SELECT m.Name, g.ValueDouble, g.TimeUnixNano FROM gauge_data_points g JOIN metrics m ON g.MetricId = m.Id ORDER BY g.TimeUnixNano DESC, g.Id DESC LIMIT 100")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.latest_gauge_values(t)
 
 
 @query("metric_labels", "SELECT DISTINCT k LabelKey, json_extract_string(AttributesJson, '$.' || k) LabelValue FROM (SELECT AttributesJson, unnest(json_keys(AttributesJson)) k FROM gauge_data_points)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_labels(t, "app.click")
 
 
@@ -297,45 +297,45 @@ def series(name: str, sql_columns: str, table: str, metric: str, first: bool, wh
 
 
 @query("metric_series_gauge", series("gauge", "ValueDouble DoubleValue, ValueInt IntValue", "gauge_data_points", "app.click", True))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_series(t, "app.click", START, END, all_rows=False, kinds=("GAUGE",)).select("Timestamp", "DoubleValue", "IntValue")
 
 
 @query("metric_series_sum", series("sum", "ValueDouble DoubleValue, ValueInt IntValue", "sum_data_points", "app.view", True))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_series(t, "app.view", START, END, all_rows=False, kinds=("SUM",)).select("Timestamp", "DoubleValue", "IntValue")
 
 
 @query("metric_series_histogram", series("histogram", "Count, SumValue AS \"Sum\", Min_Value AS \"Min\", Max_Value AS \"Max\", BucketCounts, replace(ExplicitBounds, '.0', '') BucketBounds", "histogram_data_points", "app.purchase", False))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     found = metrics.metric_series(t, "app.purchase", START, END, kinds=("HISTOGRAM",))
     return found.select("Timestamp", "Count", "Sum", "Min", "Max", F.to_json("BucketCounts").alias("BucketCounts"), F.replace(F.to_json("BucketBounds"), F.lit(".0"), F.lit("")).alias("BucketBounds"))
 
 
 @query("metric_series_exphistogram", series("exphistogram", "Count, SumValue AS \"Sum\", Min_Value AS \"Min\", Max_Value AS \"Max\"", "exponential_histogram_data_points", "app.error", False))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_series(t, "app.error", START, END, kinds=("EXPONENTIAL_HISTOGRAM",)).select("Timestamp", "Count", "Sum", "Min", "Max")
 
 
 @query("metric_series_summary", series("summary", "Count, SumValue AS \"Sum\", cast(json_extract_string(QuantileValues, '$[0].Value') AS double) Lowest, cast(json_extract_string(QuantileValues, '$[1].Value') AS double) Highest, json_array_length(QuantileValues)::int QuantileCount", "summary_data_points", "app.signup", False))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     found = metrics.metric_series(t, "app.signup", START, END, kinds=("SUMMARY",))
     return found.select("Timestamp", "Count", "Sum", F.get("QuantileValues", F.lit(0)).alias("Lowest"), F.get("QuantileValues", F.lit(1)).alias("Highest"), F.size("Quantiles").alias("QuantileCount"))
 
 
 @query("metric_series_labelled", series("gauge", "ValueDouble DoubleValue, ValueInt IntValue", "gauge_data_points", "app.click", False, " AND json_extract_string(AttributesJson, '$.host') = 'h1'"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.metric_series(t, "app.click", START, END, where={"host": "h1"}, kinds=("GAUGE",)).select("Timestamp", "DoubleValue", "IntValue")
 
 
 @query("multiple_metric_series", f"""SELECT m.Name, TimeUnixNano // 1000000 AS "Timestamp", ValueInt IntValue, cast(null as bigint) Count FROM sum_data_points g JOIN metrics m ON g.MetricId = m.Id WHERE m.Name = 'app.view' AND TimeUnixNano BETWEEN {START} AND {END}
  UNION ALL SELECT m.Name, TimeUnixNano // 1000000, null, Count FROM histogram_data_points g JOIN metrics m ON g.MetricId = m.Id WHERE m.Name = 'app.purchase' AND TimeUnixNano BETWEEN {START} AND {END}""")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.multiple_metric_series(t, ["app.view", "app.purchase", "app.unknown"], START, END).select("Name", "Timestamp", "IntValue", "Count")
 
 
 @query("exemplars_with_spans", "SELECT e.Id, e.TraceId, e.SpanId, s.Name SpanName, StatusCode, ValueDouble, ValueInt, TimeUnixNano FROM exemplars e JOIN spans s ON e.TraceId = s.TraceId AND e.SpanId = s.SpanId")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.exemplars_with_spans(t)
 
 
@@ -343,17 +343,10 @@ def _(t: Telemetry) -> DataFrame:
   WHEN c1 + c2 >= r THEN 10 + 40 * (r - c1) / c2 ELSE 50 + (Max_Value - 50) * (r - c1 - c2) / c3 END, 6) AS "Value" FROM (
   SELECT TimeUnixNano, Min_Value lo, Max_Value, 0.5 * Count r, cast(json_extract_string(BucketCounts, '$[0]') AS bigint) c1, cast(json_extract_string(BucketCounts, '$[1]') AS bigint) c2, cast(json_extract_string(BucketCounts, '$[2]') AS bigint) c3
   FROM histogram_data_points WHERE TimeUnixNano BETWEEN {START} AND {END})""")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return metrics.histogram_quantile(t, "app.purchase", 0.5, START, END).select("Timestamp", F.round("Value", 6).alias("Value"))
 
 
-@query("constraint_violations", """SELECT 'spans' TableName, 'unique TraceId, SpanId' Rule, count(*) Violations FROM (SELECT 1 FROM spans GROUP BY TraceId, SpanId HAVING count(*) > 1)
- UNION ALL SELECT 'spans', 'ResourceId in resources', count(*) FROM spans WHERE ResourceId NOT IN (SELECT Id FROM resources)
- UNION ALL SELECT 'spans', 'values of Kind', count(*) FROM spans WHERE Kind NOT IN ('UNSPECIFIED', 'INTERNAL', 'SERVER', 'CLIENT', 'PRODUCER', 'CONSUMER')""")
-def _(t: Telemetry) -> DataFrame:
-    return constraints.violations(t).where("TableName = 'spans' AND Rule IN ('unique TraceId, SpanId', 'ResourceId in resources', 'values of Kind')")
-
-
 def all_violations_sql() -> str:
     """Every rule written out here again, so that one the operator drops shows."""
     unique = {"resources": "Id", "instrumentation_scopes": "Id", "metrics": "Id", "log_records": "Id", "exemplars": "Id", "spans": "TraceId, SpanId"}
@@ -373,15 +366,16 @@ def all_violations_sql() -> str:
     return " UNION ALL ".join(parts + [f"SELECT '{t}', 'values of {c}', count(*) FROM {t} WHERE {c} NOT IN ({v})" for t, c, v in values])
 
 
+@query("constraint_violations", all_violations_sql())
 @query("all_constraint_violations", all_violations_sql())
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return constraints.violations(t)
 
 
 # Deletes: what is left.
 
 
-def left(t: Telemetry) -> DataFrame:
+def left(t: SignalTables) -> DataFrame:
     """Ids that are left of spans, events and links."""
     return t.spans.select(F.lit("spans").alias("TableName"), "Id").union(t.span_events.select(F.lit("span_events"), "Id")).union(t.span_links.select(F.lit("span_links"), "Id"))
 
@@ -392,42 +386,42 @@ def left_sql(gone: str) -> str:
 
 
 @query("delete_trace", left_sql("TraceId = (SELECT min(TraceId) FROM spans)"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left(retention.delete_trace(t, one(t.spans, "TraceId")))
 
 
 @query("delete_span", left_sql("SpanId = (SELECT min(SpanId) FROM spans)"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     row = t.spans.where(F.col("SpanId") == one(t.spans, "SpanId")).first()
     return left(retention.delete_span(t, row["TraceId"], row["SpanId"]))
 
 
 @query("delete_traces_by_time_range", left_sql(f"StartTimeUnixNano BETWEEN {START} AND {END}"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left(retention.delete_traces_by_time_range(t, START, END))
 
 
 @query("deleted_traces", f"SELECT count(DISTINCT TraceId) Deleted FROM spans WHERE StartTimeUnixNano BETWEEN {START} AND {END}")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return retention.traces_in_range(t, START, END)
 
 
 @query("span_retention", left_sql(f"StartTimeUnixNano < {int((NOW - timedelta(days=30)).timestamp()) * 10**9}"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left(retention.span_retention(t, NOW))
 
 
 @query("delete_log", "SELECT Id FROM log_records WHERE Id <> (SELECT min(Id) FROM log_records)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return retention.delete_log(t, one(t.log_records, "Id")).log_records.select("Id")
 
 
 @query("delete_logs_by_time_range", f"SELECT Id FROM log_records WHERE NOT coalesce(TimeUnixNano BETWEEN {START} AND {END}, false)")
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return retention.delete_logs_by_time_range(t, START, END).log_records.select("Id")
 
 
-def left_metrics(t: Telemetry) -> DataFrame:
+def left_metrics(t: SignalTables) -> DataFrame:
     out = t.metrics.select(F.lit("metrics").alias("TableName"), "Id")
     for name in metrics.METRIC_TYPES:
         out = out.union(t.points(name).select(F.lit(name), "Id"))
@@ -447,22 +441,22 @@ def metrics_tables() -> dict[str, str]:
 
 
 @query("delete_metric", left_metrics_sql("Id = (SELECT min(Id) FROM metrics)"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left_metrics(retention.delete_metric(t, one(t.metrics, "Id")))
 
 
 @query("delete_metrics_by_name", left_metrics_sql("Name = 'app.view'"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left_metrics(retention.delete_metrics_by_name(t, "app.view"))
 
 
 @query("delete_metrics_by_time_range", left_metrics_sql(f"epoch_us(CreatedAt) // 1000 BETWEEN {int(START_TIME.timestamp()) * 1000} AND {int(END_TIME.timestamp()) * 1000}"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left_metrics(retention.delete_metrics_by_time_range(t, START_TIME, END_TIME))
 
 
 @query("delete_old_metrics", left_metrics_sql(f"epoch_us(CreatedAt) // 1000 < {int(END_TIME.timestamp()) * 1000}"))
-def _(t: Telemetry) -> DataFrame:
+def _(t: SignalTables) -> DataFrame:
     return left_metrics(retention.delete_old_metrics(t, END_TIME + timedelta(days=7), timedelta(days=7)))
 
 
@@ -547,13 +541,162 @@ QUERIES["dedup_scopes"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["
 ORACLES["dedup_scopes"] = "SELECT sha256('lib__1.0____{}') ScopeHash, 'lib' AS Name, '1.0' AS Version"
 QUERIES["unique_spans"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["spans"].select("TraceId", "SpanId")
 ORACLES["unique_spans"] = "SELECT DISTINCT md5(cast(user_id AS varchar)) TraceId, substr(md5(cast(event_id - event_id % 3 AS varchar)), 1, 16) SpanId FROM events"
-QUERIES["ingest_report"] = lambda spark, sf_dir: ingested(spark, sf_dir).report.selectExpr("Signal", "cast(Accepted AS bigint) Accepted", "cast(Rejected AS bigint) Rejected")
-ORACLES["ingest_report"] = "SELECT 'traces' AS Signal, count(*) Accepted, cast(0 AS bigint) Rejected FROM events"
+
+# Ingest of requests with events, links, bad ids, and spans that come twice.
+
+#: Every event as a span; three events of a user share a span id, and the first of them counts. Some trace ids are bad.
+FULL_REQUEST = """to_json(named_struct('resourceSpans', array(named_struct('scopeSpans', array(named_struct('spans', array(named_struct(
+    'traceId', CASE WHEN event_id % 97 = 0 THEN 'short' ELSE md5(cast(user_id AS string)) END, 'spanId', substr(md5(cast(event_id - event_id % 3 AS string)), 1, 16), 'name', event_type,
+    'startTimeUnixNano', cast(unix_micros(cast(ts AS timestamp)) * 1000 AS string),
+    'events', array(named_struct('name', concat('first ', cast(event_id AS string)), 'timeUnixNano', cast(event_id AS string)), named_struct('name', 'second', 'timeUnixNano', '5')),
+    'links', array(named_struct('traceId', md5(cast(event_id AS string)), 'spanId', substr(md5(event_type), 1, 16), 'traceState', CASE WHEN event_id % 2 = 0 THEN 'on' ELSE '' END),
+                   named_struct('traceId', 'short', 'spanId', '', 'traceState', ''))))))))))"""
+#: The events whose spans are stored.
+FIRSTS = "(SELECT * FROM events WHERE event_id % 97 > 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_id - event_id % 3 ORDER BY event_id) = 1)"
+
+
+def full_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("Key"), F.expr(FULL_REQUEST).alias("value"))
+
+
+def ingest_events_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.plans.ingest import ingest_traces
+
+    tables = ingest_traces(full_requests(spark, sf_dir)).tables
+    spans = tables["spans"].select(F.col("Id").alias("SpanId"), F.col("Name").alias("SpanName"))
+    none = F.lit(None).cast("string")
+    events_ = tables["span_events"].select("SpanId", "Name", F.col("TimeUnixNano"), none.alias("LinkedTraceId"), none.alias("LinkedSpanId"), none.alias("TraceState"))
+    links = tables["span_links"].select("SpanId", none.alias("Name"), F.lit(None).cast("bigint").alias("TimeUnixNano"), "LinkedTraceId", "LinkedSpanId", "TraceState")
+    return events_.union(links).join(spans, "SpanId").drop("SpanId")
+
+
+QUERIES["ingest_events_links"] = ingest_events_links
+ORACLES["ingest_events_links"] = f"""SELECT event_type SpanName, concat('first ', event_id) AS Name, event_id TimeUnixNano, cast(null AS varchar) LinkedTraceId, cast(null AS varchar) LinkedSpanId, cast(null AS varchar) TraceState FROM {FIRSTS}
+  UNION ALL SELECT event_type, 'second', 5, null, null, null FROM {FIRSTS}
+  UNION ALL SELECT event_type, null, null, md5(cast(event_id AS varchar)), substr(md5(event_type), 1, 16), CASE WHEN event_id % 2 = 0 THEN 'on' ELSE 'unknown' END FROM {FIRSTS}"""
+
+
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.plans.ingest import ingest_traces
+
+    return ingest_traces(full_requests(spark, sf_dir)).report
+
+
+QUERIES["ingest_report"] = ingest_report
+ORACLES["ingest_report"] = f"SELECT 'traces' AS Signal, (SELECT count(*) FROM {FIRSTS}) Accepted, count(*) - (SELECT count(*) FROM {FIRSTS}) - count(CASE WHEN event_id % 97 = 0 THEN 1 END) Duplicate, count(CASE WHEN event_id % 97 = 0 THEN 1 END) Rejected FROM events"
+
+
+def twice(df: DataFrame) -> DataFrame:
+    return df.union(df)
+
+
+def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal records of equal requests stay as many rows, with an id each."""
+    from signalspark.plans.ingest import ingest_logs
+
+    requests = twice(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(LOG_REQUEST).alias("value")))
+    batch = ingest_logs(requests)
+    return batch.tables["log_records"].groupBy("BodyType", "BodyValue", "SeverityText").agg(F.count("*").alias("n"), F.countDistinct("Id").alias("ids"))
+
+
+QUERIES["ingest_logs"] = ingest_logs
+ORACLES["ingest_logs"] = """SELECT CASE WHEN event_id % 3 > 0 THEN 'STRING' ELSE 'INT' END BodyType, CASE WHEN event_id % 3 > 0 THEN event_type ELSE cast(event_id AS varchar) END BodyValue,
+  CASE WHEN event_id % 4 > 0 THEN upper(event_type) END SeverityText, 2 * count(*) n, 2 * count(*) ids FROM events GROUP BY ALL"""
+
+
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every export makes a row of its own in ``metrics``; points have ids of their own."""
+    from signalspark.plans.ingest import ingest_metrics
+
+    requests = twice(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(METRIC_REQUEST).alias("value")))
+    tables = ingest_metrics(requests).tables
+    points = tables["gauge_data_points"].select("MetricId", "Id").union(tables["sum_data_points"].select("MetricId", "Id"))
+    joined = tables["metrics"].select(F.col("Id").alias("MetricId"), "Name", "Type").join(points, "MetricId")
+    return joined.groupBy("Name", "Type").agg(F.count("*").alias("n"), F.countDistinct("MetricId").alias("metric_ids"), F.countDistinct("Id").alias("point_ids"))
+
+
+QUERIES["ingest_metrics"] = ingest_metrics
+ORACLES["ingest_metrics"] = "SELECT event_type AS Name, CASE WHEN event_id % 2 = 0 THEN 'GAUGE' ELSE 'SUM' END AS Type, 2 * count(*) n, 2 * count(*) metric_ids, 2 * count(*) point_ids FROM events GROUP BY ALL"
+
+#: A metric of every event whose point is a histogram, an exponential histogram or a summary.
+SHAPE_REQUEST = """to_json(named_struct('resourceMetrics', array(named_struct('scopeMetrics', array(named_struct('metrics', array(named_struct(
+  'name', event_type,
+  'histogram', CASE WHEN event_id % 3 = 0 THEN named_struct('aggregationTemporality', 1, 'dataPoints', array(named_struct('timeUnixNano', cast(event_id AS string), 'startTimeUnixNano', '0', 'count', '3', 'sum', event_id / 4, 'min', 0.5D,
+      'bucketCounts', array('1', cast(event_id AS string)), 'explicitBounds', array(1.5D), 'exemplars', array(named_struct('asInt', cast(event_id AS string), 'timeUnixNano', '7', 'traceId', md5(event_type), 'spanId', 'bad'), named_struct('asInt', '1', 'timeUnixNano', '8', 'traceId', '', 'spanId', ''))))) END,
+  'exponentialHistogram', CASE WHEN event_id % 3 = 1 THEN named_struct('aggregationTemporality', 'AGGREGATION_TEMPORALITY_CUMULATIVE', 'dataPoints', array(named_struct('timeUnixNano', cast(event_id AS string), 'count', '9', 'scale', -2, 'zeroCount', cast(event_id AS string),
+      'positive', named_struct('offset', cast(event_id % 7 AS int), 'bucketCounts', array('4', '5'))))) END,
+  'summary', CASE WHEN event_id % 3 = 2 THEN named_struct('dataPoints', array(named_struct('timeUnixNano', cast(event_id AS string), 'count', '2', 'sum', event_id / 2, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', event_id / 8))))) END))))))))"""
+
+
+def shaped(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    from signalspark.sources import otlp
+
+    return otlp.points(otlp.metrics(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("MetricId"), F.expr(SHAPE_REQUEST).alias("value"))), kind)
+
+
+def whole_text(name: str):
+    """An array as text in which whole numbers have no fraction, as both engines write them alike."""
+    return F.replace(F.to_json(name), F.lit(".0"), F.lit("")).alias(name)
+
+
+QUERIES["flatten_histogram_points"] = lambda spark, sf_dir: shaped(spark, sf_dir, "HISTOGRAM").select("MetricId", "TimeUnixNano", "StartTimeUnixNano", "Count", "SumValue", "Min_Value", "Max_Value", whole_text("BucketCounts"), whole_text("ExplicitBounds"), "AggregationTemporality", "Flags")
+ORACLES["flatten_histogram_points"] = """SELECT event_id MetricId, event_id TimeUnixNano, cast(null AS bigint) StartTimeUnixNano, cast(3 AS bigint) Count, event_id / 4 SumValue, 0.5::double Min_Value, cast(null AS double) Max_Value,
+  concat('[1,', event_id, ']') BucketCounts, '[1.5]' ExplicitBounds, 'DELTA' AggregationTemporality, 0 Flags FROM events WHERE event_id % 3 = 0"""
+QUERIES["flatten_exponential_points"] = lambda spark, sf_dir: shaped(spark, sf_dir, "EXPONENTIAL_HISTOGRAM").select(
+    "MetricId", "TimeUnixNano", "Count", "SumValue", "Scale", "ZeroCount", "PositiveOffset", whole_text("PositiveBucketCounts"), "NegativeOffset", whole_text("NegativeBucketCounts"), "AggregationTemporality"
+)
+ORACLES["flatten_exponential_points"] = """SELECT event_id MetricId, event_id TimeUnixNano, cast(9 AS bigint) Count, cast(null AS double) SumValue, -2 AS Scale, event_id ZeroCount, cast(event_id % 7 AS integer) PositiveOffset,
+  '[4,5]' PositiveBucketCounts, cast(null AS integer) NegativeOffset, '[]' NegativeBucketCounts, 'CUMULATIVE' AggregationTemporality FROM events WHERE event_id % 3 = 1"""
+QUERIES["flatten_summary_points"] = lambda spark, sf_dir: shaped(spark, sf_dir, "SUMMARY").select("MetricId", "TimeUnixNano", "Count", "SumValue", F.size("QuantileValues").alias("Quantiles"), F.get("QuantileValues", F.lit(0))["Quantile"].alias("Quantile"), F.get("QuantileValues", F.lit(0))["Value"].alias("QuantileValue"))
+ORACLES["flatten_summary_points"] = "SELECT event_id MetricId, event_id TimeUnixNano, cast(2 AS bigint) Count, event_id / 2 SumValue, 1 Quantiles, 0.5::double Quantile, event_id / 8 QuantileValue FROM events WHERE event_id % 3 = 2"
+QUERIES["flatten_exemplars"] = lambda spark, sf_dir: shaped(spark, sf_dir, "HISTOGRAM").select("MetricId", "Exemplar.*").drop("FilteredAttributes")
+ORACLES["flatten_exemplars"] = "SELECT event_id MetricId, cast(7 AS bigint) TimeUnixNano, cast(null AS double) ValueDouble, event_id ValueInt, cast(null AS varchar) SpanId, md5(event_type) TraceId FROM events WHERE event_id % 3 = 0"
+
+#: A span of every event with an attribute of maps in lists in maps, and a log record with such a body.
+NESTED = """concat('{"kvlistValue":{"values":[{"key":"b","value":{"boolValue":true}},{"key":"a","value":{"arrayValue":{"values":[{},{"kvlistValue":{"values":[{"key":"z","value":{"arrayValue":{"values":[{"intValue":"', event_id,
+  '"},{"stringValue":"', event_type, '"},{"doubleValue":0.5}]}}}]}}]}}},{"key":"b","value":{"boolValue":false}}]}}')"""
+
+
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.sources import otlp
+
+    nested = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(NESTED).alias("v"))
+    requests = nested.select("event_id", F.expr("""concat('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":', v, ',"attributes":[{"key":"m","value":', v, '}]}]}]}]}')""").alias("value"))
+    return otlp.log_records(requests).select("event_id", "BodyType", "BodyValue", "AttributesJson")
+
+
+QUERIES["flatten_nested"] = flatten_nested
+ORACLES["flatten_nested"] = """SELECT event_id, 'KVLIST' BodyType, v BodyValue, concat('{"m":', v, '}') AttributesJson
+  FROM (SELECT event_id, concat('{"a":[{"z":[', event_id, ',"', event_type, '",0.5]}],"b":false}') v FROM events)"""
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after two appends of the same spans, one delete and a compaction: rows and ids of each table."""
+    from signalspark.functions.shared import new_folder
+    from signalspark.plans.ingest import ingest_traces
+    from signalspark.sources.store import Store
+
+    store = Store(spark, new_folder(spark, "store"))
+    for name in ("first", "again"):
+        store.append(ingest_traces(full_requests(spark, sf_dir), store.read(), stage=store.staged), name)
+    store.delete(retention.delete_traces_by_time_range(store.read(), START, END))
+    store.compact("span_events")
+    store.clear()
+    t = store.read()
+    rows = [t.table(name).agg(F.count("*").alias("n"), F.countDistinct("Id").alias("ids")).select(F.lit(name).alias("TableName"), "n", "ids") for name in ("spans", "span_events", "span_links", "resources", "instrumentation_scopes")]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).union(rows[4])
+
+
+QUERIES["stored_spans"] = stored
+ORACLES["stored_spans"] = f"""SELECT 'spans' TableName, count(*) n, count(*) ids FROM {FIRSTS} WHERE NOT epoch_us(ts) * 1000 BETWEEN {START} AND {END}
+  UNION ALL SELECT 'span_events', 2 * count(*), 2 * count(*) FROM {FIRSTS} WHERE NOT epoch_us(ts) * 1000 BETWEEN {START} AND {END}
+  UNION ALL SELECT 'span_links', count(*), count(*) FROM {FIRSTS} WHERE NOT epoch_us(ts) * 1000 BETWEEN {START} AND {END}
+  UNION ALL SELECT 'resources', cast(1 AS bigint), cast(1 AS bigint) UNION ALL SELECT 'instrumentation_scopes', cast(1 AS bigint), cast(1 AS bigint)"""
 
 
 def view_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detailed service map by its view's name."""
-    views.register(spark, telemetry(spark, sf_dir))
+    views.register(spark, signal_tables(spark, sf_dir))
     return spark.sql("SELECT ParentService, ChildService, CallCount, ErrorCount FROM service_map_detailed WHERE SpanKind = 'SERVER'")
 
 

@@ -1 +1 @@
-"""Where telemetry comes from and goes to."""
+"""Where signals come from and go to."""

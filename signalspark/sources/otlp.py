@@ -1,23 +1,25 @@
 """OTLP/JSON export requests as rows.
 
 A request is one JSON text. It is parsed once, with a schema that keeps 64-bit numbers as text, then exploded:
-resource, scope, item. Attribute values are rendered as JSON with built-in expressions; lists and maps nested
-deeper than :data:`DEPTH` keep the protocol's form.
+resource, scope, item, each with its place in the request (``At``). Attribute values are rendered as JSON with
+built-in expressions; only requests that hold a list or a map, which may be nested to any depth, pass through an
+Arrow function first (:func:`plain_lists`).
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.plans.dimensions import with_resource_hash, with_scope_hash
 from signalspark.schemas import SPAN_KINDS, STATUS_CODES, TEMPORALITIES
 
-DEPTH = 2
-
-#: The union of an attribute value; lists and maps stay text until they are rendered.
+#: The union of an attribute value; lists and maps are JSON text (see :func:`plain_lists`).
 _VALUE = "struct<stringValue:string,boolValue:string,intValue:string,doubleValue:string,bytesValue:string,arrayValue:string,kvlistValue:string>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 _RESOURCE = f"resource:struct<attributes:{_ATTRIBUTES}>,schemaUrl:string"
@@ -49,14 +51,71 @@ SIGNALS = {
 }
 
 
+_NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?$")
 #: Body type of each member of the value union.
 _BODIES = (("stringValue", "STRING"), ("boolValue", "BOOL"), ("intValue", "INT"), ("doubleValue", "DOUBLE"), ("bytesValue", "BYTES"), ("arrayValue", "ARRAY"), ("kvlistValue", "KVLIST"))
 
 
+def plain_value(value: object) -> str | None:
+    """An attribute value of a parsed request as plain JSON; None if it holds nothing. Lists and maps inside it are
+    text already."""
+    if not isinstance(value, dict):
+        return None
+    for member, _ in _BODIES:
+        x = value.get(member)
+        if x is None:
+            continue
+        if member in ("arrayValue", "kvlistValue"):
+            return plain_list(member, x)
+        if member == "boolValue":
+            return str(x).lower()
+        return str(x) if member in ("intValue", "doubleValue") and _NUMBER.match(str(x)) else json.dumps(str(x), ensure_ascii=False)
+    return None
+
+
+def plain_list(member: str, x: object) -> str:
+    if not isinstance(x, dict):
+        return x
+    values = x.get("values") or []
+    return plain_object(values) if member == "kvlistValue" else "[" + ",".join(filter(None, map(plain_value, values))) + "]"
+
+
+def plain_object(pairs: list) -> str:
+    """Keys and values as a JSON object: without a key or a value they are dropped, of equal keys the last counts."""
+    last = {p["key"]: v for p in pairs if isinstance(p, dict) and p.get("key") and (v := plain_value(p.get("value"))) is not None}
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{last[k]}" for k in sorted(last)) + "}"
+
+
+def with_plain_lists(text: str) -> str | None:
+    """A request whose lists and maps are JSON text; None if it is no JSON. The innermost come first."""
+
+    def inner(node: dict) -> dict:
+        return {k: plain_list(k, v) if k in ("arrayValue", "kvlistValue") else v for k, v in node.items()}
+
+    try:
+        return json.dumps(json.loads(text, object_hook=inner), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def plain_lists(requests: DataFrame) -> DataFrame:
+    """Requests in which every list or map among the attribute values is text, its plain JSON form. Only requests that hold one
+    go to the function."""
+
+    @F.arrow_udf("string")
+    def written(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else with_plain_lists(x) for x in texts.to_pylist()], pa.string())
+
+    value = F.col("value")
+    some = value.contains('"arrayValue"') | value.contains('"kvlistValue"')
+    return requests.withColumn("value", F.coalesce(written(F.when(some, value)), value))
+
+
 def json_string(text: Column) -> Column:
     """A text as a JSON string."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    odd = text.rlike(r'["\\\x00-\x1f\x7f-\x9f\u2028\u2029]')
+    return F.when(~odd, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def present(value: Column) -> Column:
@@ -64,26 +123,31 @@ def present(value: Column) -> Column:
     return F.coalesce(*[value[m] for m, _ in _BODIES]).isNotNull()
 
 
-def rendered(value: Column, depth: int = DEPTH) -> Column:
-    """An attribute value (a :data:`_VALUE`) as plain JSON; null if it holds nothing."""
+def rendered(value: Column) -> Column:
+    """An attribute value (a :data:`_VALUE`) as plain JSON; null if it holds nothing. What should be a number and
+    isn't (such as NaN) is a string."""
     quoted = lambda x: F.when(x.isNotNull(), json_string(x))
-    out = [quoted(value["stringValue"]), F.lower(value["boolValue"]), value["intValue"], value["doubleValue"], quoted(value["bytesValue"])]
-    if depth == 0:
-        return F.coalesce(*out, value["arrayValue"], value["kvlistValue"])
-    items = F.from_json(value["arrayValue"], f"struct<values:array<{_VALUE}>>")["values"]
-    texts = F.transform(F.filter(F.coalesce(items, F.array().cast(f"array<{_VALUE}>")), present), lambda x: rendered(x, depth - 1))
-    listed = F.when(value["arrayValue"].isNotNull(), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
-    pairs = F.from_json(value["kvlistValue"], f"struct<values:{_ATTRIBUTES}>")["values"]
-    return F.coalesce(*out, listed, F.when(value["kvlistValue"].isNotNull(), attributes_json(pairs, depth - 1)))
+    number = lambda x: F.when(x.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), x).otherwise(quoted(x))
+    return F.coalesce(quoted(value["stringValue"]), F.lower(value["boolValue"]), number(value["intValue"]), number(value["doubleValue"]), quoted(value["bytesValue"]), value["arrayValue"], value["kvlistValue"])
+
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def attributes_json(attributes: Column, depth: int = DEPTH) -> Column:
+
+def attributes_json(attributes: Column) -> Column:
     """Attributes as a JSON object with sorted keys. Those without a key or a value are dropped; of equal keys
     the last counts. Null attributes are an empty object."""
-    held = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: (a["key"] != "") & present(a["value"]))
-    last = F.filter(held, lambda a, i: ~F.exists(F.slice(held, i + 2, F.size(held) + 1), lambda x: x["key"] == a["key"]))
-    members = F.transform(F.array_sort(last), lambda a: F.concat(json_string(a["key"]), F.lit(":"), rendered(a["value"], depth)))
-    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    held = F.filter(attributes, lambda a: (a["key"] != "") & present(a["value"]))
+
+    def last(held: Column) -> Column:
+        keys = F.transform(held, lambda a: a["key"])
+        later = lambda a, i: ~F.exists(F.slice(held, i + 2, F.size(held) + 1), lambda x: x["key"] == a["key"])
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), held).otherwise(F.filter(held, later))
+
+    members = F.transform(F.array_sort(bound(held, last)), lambda a: F.concat(json_string(a["key"]), F.lit(":"), rendered(a["value"])))
+    return F.when(F.size(attributes) > 0, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).otherwise("{}")
 
 
 def hex_id(text: Column, size: int) -> Column:
@@ -108,27 +172,30 @@ def positive(value: Column) -> Column:
 
 
 def unnested(requests: DataFrame, signal: str) -> DataFrame:
-    """One row per item (column ``x``) with the hashes and contents of its resource and scope. ``requests`` has
-    the JSON text in ``value``; its other columns are kept. A text that isn't JSON has no items."""
+    """One row per item (column ``x``) with its place in the request (``At``), the hashes and contents of its
+    resource and scope, and whether the request gives none (``ResourceMissing``, ``ScopeMissing``). ``requests``
+    has the JSON text in ``value``; its other columns are kept. A text that isn't JSON has no items."""
     outer, inner, items, schema = SIGNALS[signal]
     parsed = F.from_json("value", f"struct<{outer}:array<struct<{_RESOURCE},{inner}:array<struct<{_SCOPE},{items}:array<struct<{schema}>>>>>>>")
     kept = [c for c in requests.columns if c != "value"]
-    a = requests.select(*kept, F.explode(parsed[outer]).alias("r"))
-    b = a.select(*kept, F.col("r.resource").alias("res"), F.col("r.schemaUrl").alias("ResourceSchemaUrl"), F.explode(f"r.{inner}").alias("s"))
+    a = plain_lists(requests).select(*kept, F.posexplode(parsed[outer]).alias("ri", "r"))
+    b = a.select(*kept, "ri", F.col("r.resource").alias("res"), F.col("r.schemaUrl").alias("ResourceSchemaUrl"), F.posexplode(f"r.{inner}").alias("si", "s"))
     c = b.select(
         *kept,
+        F.col("res").isNull().alias("ResourceMissing"),
         F.when(F.col("res").isNotNull(), attributes_json(F.col("res.attributes"))).alias("ResourceAttributesJson"),
         F.nullif("ResourceSchemaUrl", F.lit("")).alias("ResourceSchemaUrl"),
-        F.col("s.scope.name").alias("ScopeName"),
+        F.col("s.scope").isNull().alias("ScopeMissing"),
+        F.when(F.col("s.scope").isNotNull(), F.coalesce("s.scope.name", F.lit(""))).alias("ScopeName"),
         F.nullif("s.scope.version", F.lit("")).alias("ScopeVersion"),
         F.nullif("s.schemaUrl", F.lit("")).alias("ScopeSchemaUrl"),
         F.when(F.col("s.scope").isNotNull(), attributes_json(F.col("s.scope.attributes"))).alias("ScopeAttributesJson"),
-        F.explode(f"s.{items}").alias("x"),
+        "ri",
+        "si",
+        F.posexplode(f"s.{items}").alias("ii", "x"),
     )
-    return with_scope_hash(with_resource_hash(c))
-
-
-_DIMENSIONS = ("ResourceHash", "ResourceSchemaUrl", "ResourceAttributesJson", "ScopeHash", "ScopeName", "ScopeVersion", "ScopeSchemaUrl", "ScopeAttributesJson")
+    placed = c.withColumn("At", F.struct("ri", "si", "ii")).drop("ri", "si", "ii")
+    return with_scope_hash(with_resource_hash(placed))
 
 
 def spans(requests: DataFrame) -> DataFrame:
@@ -136,7 +203,7 @@ def spans(requests: DataFrame) -> DataFrame:
     with a bad id are dropped; a link without a trace state has ``unknown``."""
     x = lambda name: F.col(f"x.{name}")
     none = F.array().cast
-    events = F.transform(F.coalesce(x("events"), none(f"array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("Name"), e["name"], F.lit("TimeUnixNano"), long(e["timeUnixNano"]), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
+    events = F.transform(F.coalesce(x("events"), none(f"array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("Name"), e["name"], F.lit("TimeUnixNano"), F.coalesce(long(e["timeUnixNano"]), F.lit(0)), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
     links = F.transform(F.coalesce(x("links"), none(f"array<struct<traceId:string,spanId:string,traceState:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("LinkedTraceId"), hex_id(e["traceId"], 16), F.lit("LinkedSpanId"), hex_id(e["spanId"], 8), F.lit("TraceState"), F.coalesce(F.nullif(e["traceState"], F.lit("")), F.lit("unknown")), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
     return unnested(requests, "traces").select(
         "*",
@@ -188,7 +255,7 @@ def metrics(requests: DataFrame) -> DataFrame:
     """Metrics with their ``Type`` and the item ``x``; ``Rejected`` for one without data. ``Points`` counts."""
     kind = F.coalesce(*[F.when(F.col(f"x.{m}").isNotNull(), F.lit(k)) for k, m in MEMBERS.items()])
     points = F.coalesce(*[F.size(f"x.{m}.dataPoints") for m in MEMBERS.values()], F.lit(0))
-    return unnested(requests, "metrics").select("*", F.col("x.name").alias("Name"), F.nullif("x.description", F.lit("")).alias("Description"), F.nullif("x.unit", F.lit("")).alias("Unit"), kind.alias("Type"), F.greatest(points, F.lit(0)).alias("Points"), F.when(kind.isNull(), "no data").alias("Rejected"))
+    return unnested(requests, "metrics").select("*", F.coalesce("x.name", F.lit("")).alias("Name"), F.nullif("x.description", F.lit("")).alias("Description"), F.nullif("x.unit", F.lit("")).alias("Unit"), kind.alias("Type"), F.greatest(points, F.lit(0)).alias("Points"), F.when(kind.isNull(), "no data").alias("Rejected"))
 
 
 def points(metric_rows: DataFrame, kind: str) -> DataFrame:
@@ -196,10 +263,10 @@ def points(metric_rows: DataFrame, kind: str) -> DataFrame:
     member = MEMBERS[kind]
     temporality = {} if kind in ("GAUGE", "SUMMARY") else {"AggregationTemporality": enumerated(F.col(f"x.{member}.aggregationTemporality"), TEMPORALITIES, "AGGREGATION_TEMPORALITY_")}
     monotonic = {"IsMonotonic": F.coalesce(F.col("x.sum.isMonotonic"), F.lit(False))} if kind == "SUM" else {}
-    rows = metric_rows.where(F.col("Type") == kind).select("MetricId", *[c.alias(n) for n, c in (temporality | monotonic).items()], F.posexplode(f"x.{member}.dataPoints").alias("At", "p"))
+    rows = metric_rows.where(F.col("Type") == kind).select("MetricId", *[c.alias(n) for n, c in (temporality | monotonic).items()], F.posexplode(f"x.{member}.dataPoints").alias("Place", "p"))
     p = lambda name: F.col(f"p.{name}")
     longs = lambda name: F.coalesce(F.transform(p(name), long), F.array().cast("array<bigint>"))
-    own = {"TimeUnixNano": long(p("timeUnixNano")), "StartTimeUnixNano": positive(p("startTimeUnixNano")), "Flags": F.coalesce(p("flags"), F.lit(0)), "AttributesJson": attributes_json(p("attributes"))}
+    own = {"TimeUnixNano": F.coalesce(long(p("timeUnixNano")), F.lit(0)), "StartTimeUnixNano": positive(p("startTimeUnixNano")), "Flags": F.coalesce(p("flags"), F.lit(0)), "AttributesJson": attributes_json(p("attributes"))}
     if kind in ("GAUGE", "SUM"):
         own |= {"ValueDouble": p("asDouble"), "ValueInt": long(p("asInt"))}
     else:
@@ -216,5 +283,5 @@ def points(metric_rows: DataFrame, kind: str) -> DataFrame:
         own |= {"SumValue": F.coalesce(p("sum"), F.lit(0.0)), "QuantileValues": F.coalesce(F.transform(p("quantileValues"), lambda q: F.named_struct(F.lit("Quantile"), q["quantile"], F.lit("Value"), q["value"])), F.array().cast("array<struct<Quantile:double,Value:double>>"))}
     else:
         e = F.get(p("exemplars"), F.lit(0))
-        own |= {"Exemplar": F.when(e.isNotNull(), F.named_struct(F.lit("FilteredAttributes"), attributes_json(e["filteredAttributes"]), F.lit("TimeUnixNano"), long(e["timeUnixNano"]), F.lit("ValueDouble"), e["asDouble"], F.lit("ValueInt"), long(e["asInt"]), F.lit("SpanId"), hex_id(e["spanId"], 8), F.lit("TraceId"), hex_id(e["traceId"], 16)))}
-    return rows.select("MetricId", "At", *[c for c in temporality | monotonic], *[c.alias(n) for n, c in own.items()])
+        own |= {"Exemplar": F.when(e.isNotNull(), F.named_struct(F.lit("FilteredAttributes"), attributes_json(e["filteredAttributes"]), F.lit("TimeUnixNano"), F.coalesce(long(e["timeUnixNano"]), F.lit(0)), F.lit("ValueDouble"), e["asDouble"], F.lit("ValueInt"), long(e["asInt"]), F.lit("SpanId"), hex_id(e["spanId"], 8), F.lit("TraceId"), hex_id(e["traceId"], 16)))}
+    return rows.select("MetricId", "Place", *[c for c in temporality | monotonic], *[c.alias(n) for n, c in own.items()])

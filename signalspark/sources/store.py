@@ -1,103 +1,122 @@
-"""A telemetry store: a folder of Parquet snapshots.
+"""A signal store: a folder of Parquet tables, each partitioned by the day of its time (UTC) and by the batch that
+wrote it.
 
-A snapshot is a folder per table; large tables are kept by the day of their time (UTC), which :meth:`Store.read`
-turns a time range into. A commit writes the new files first and then the manifest that names them, so
-readers see all of it or nothing, and a writer that dies leaves only files that no manifest names.
+Writing a batch again replaces its own partitions and no others (Spark's dynamic partition overwrite), so an
+ingest that failed half-way is simply run again. A delete rewrites the days that hold something to delete.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.functions.columns import Bound, nanos_of
 from signalspark.plans.ingest import Batch
 from signalspark.schemas import DAYS, schema
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 DAY_NANOS = 86_400 * 10**9
+#: Children are kept with the day of their span, so that a delete finds both in the same days.
+PARENT_TIME = {"span_events": "ParentTime", "span_links": "ParentTime"}
+#: Columns that rows are looked up by; files are sorted by them.
+NEAR = {"spans": ("TraceId",), "log_records": ("TraceId",), "span_events": ("SpanId",), "span_links": ("SpanId",)}
+
+
+def day_of(nanos: Column) -> Column:
+    return F.to_date(F.timestamp_seconds(F.call_function("div", F.coalesce(nanos, F.lit(0)), F.lit(10**9))))
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self, name: str):
+    def _place(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        fs, path = self._file("manifests")
-        return sorted(int(x.getPath().getName()) for x in fs.listStatus(path)) if fs.exists(path) else []
-
-    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
-        """Folders of each table in a version, the newest by default."""
-        found = self.versions()
-        if not found:
-            return {}
-        fs, path = self._file(f"manifests/{found[-1] if version is None else version:012d}")
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, tables: dict[str, list[str]]) -> int:
-        """Adds the next manifest; of two writers at once one fails here, and nothing of it is seen."""
-        version = (self.versions() or [0])[-1] + 1
-        fs, path = self._file(f"manifests/{version:012d}")
-        stream = fs.create(path, False)
-        try:
-            stream.write(bytearray(json.dumps(tables).encode()))
-        finally:
-            stream.close()
-        return version
-
-    def _write(self, name: str, df: DataFrame) -> str:
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name).fields]
-        rows = df.select(*columns)
-        if name not in DAYS:
-            rows.write.parquet(f"{self.path}/{folder}")
-            return folder
-        day = F.to_date(F.timestamp_seconds(F.call_function("div", F.coalesce(DAYS[name], F.lit(0)), F.lit(10**9))))
-        near = [c for c in ("TraceId", "MetricId") if c in df.columns][:1]
-        rows.withColumn("Day", day).repartition("Day", F.pmod(F.col("Id"), F.lit(16))).sortWithinPartitions("Day", *near, DAYS[name]).write.partitionBy("Day").parquet(f"{self.path}/{folder}")
-        return folder
-
-    def append(self, batch: Batch | dict[str, DataFrame]) -> int:
-        """Adds rows to tables and gives the new version."""
-        tables = batch.tables if isinstance(batch, Batch) else batch
-        added = {name: self._write(name, df) for name, df in tables.items()}
-        now = self.manifest()
-        return self._publish({name: now.get(name, []) + ([added[name]] if name in added else []) for name in {*now, *added}})
-
-    def replace(self, t: Telemetry, tables: list[str]) -> int:
-        """Rewrites tables, as after a delete, and gives the new version; older versions stay readable."""
-        new = {name: [self._write(name, t.table(name))] for name in tables}
-        return self._publish(self.manifest() | new)
-
-    def table(self, name: str, start: Bound = None, end: Bound = None, version: int | None = None) -> DataFrame:
-        """A table; a range of its time also prunes the days that can't hold it."""
-        folders = self.manifest(version).get(name, [])
-        if not folders:
-            return self.spark.createDataFrame([], schema(name))
-        parts = [self.spark.read.schema(schema(name).add("Day", "date") if name in DAYS else schema(name)).parquet(f"{self.path}/{f}") for f in folders]
-        df = parts[0]
-        for more in parts[1:]:
-            df = df.unionByName(more)
-        if name not in DAYS:
-            return df
-        for bound, after in ((start, True), (end, False)):
-            if (nanos := nanos_of(bound)) is not None:
-                day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(nanos // DAY_NANOS).cast("int"))
-                df = df.where((F.col("Day") >= day) & (F.col(DAYS[name]) >= nanos) if after else (F.col("Day") <= day) & (F.col(DAYS[name]) <= nanos))
-        return df.drop("Day")
-
-    def read(self, start: Bound = None, end: Bound = None, version: int | None = None) -> Telemetry:
+    def _write(self, name: str, rows: DataFrame) -> None:
+        near = NEAR.get(name, ("MetricId",) if "MetricId" in rows.columns else ())
+        spread = rows.repartition("Day", "Batch", F.pmod(F.col("Id"), F.lit(16))).sortWithinPartitions("Day", "Batch", *near, "Id")
+        spread.write.partitionBy("Day", "Batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """Writes a table beside the store's and reads it again; :meth:`clear` takes it away."""
+        path = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes what was staged; not while another ingest runs."""
+        fs, path = self._place("_staged")
+        fs.delete(path, True)
+
+    def append(self, batch: Batch | dict[str, DataFrame], name: str | None = None) -> str:
+        """Adds rows to tables under the name of the batch (a new one by default). A batch of the same name that is
+        written again replaces what it wrote before."""
+        name = name or uuid.uuid4().hex
+        for table, df in (batch.tables if isinstance(batch, Batch) else batch).items():
+            columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields]
+            time = PARENT_TIME.get(table, DAYS.get(table))
+            day = day_of(F.col(time) if time in df.columns else F.lit(0)) if time else F.lit("1970-01-01").cast("date")
+            self._write(table, df.select(*columns, day.alias("Day"), F.lit(name).alias("Batch")))
+        return name
+
+    def delete(self, left: SignalTables) -> dict[str, int]:
+        """Makes a delete (see ``signalspark.operators.retention``) lasting; gives the number of partitions rewritten in each
+        table. The ids to remove are staged first, as the tables that they were found in change."""
+        removed, touched = {}, {}
+        for table, (column, keys) in left.removed.items():
+            removed[table] = column, self.staged(keys.toDF(column).distinct())
+        for table, (column, keys) in removed.items():
+            rows = self._read(table)
+            hit = [(r["Day"], r["Batch"]) for r in rows.join(keys, column, "left_semi").select("Day", "Batch").distinct().collect()]  # partitions, not rows
+            touched[table] = len(hit)
+            if not hit:
+                continue
+            days = F.col("Day").isin(sorted({d for d, _ in hit})) & F.struct("Day", "Batch").isin([F.struct(F.lit(d).alias("Day"), F.lit(b).alias("Batch")) for d, b in hit])
+            kept = self.staged(rows.where(days).join(keys, column, "left_anti").select(*rows.columns))
+            full = {(r["Day"], r["Batch"]) for r in kept.select("Day", "Batch").distinct().collect()}
+            if full:
+                self._write(table, kept)
+            for day, batch in set(hit) - full:
+                fs, path = self._place(f"{table}/Day={day}/Batch={batch}")
+                fs.delete(path, True)
+        return touched
+
+    def compact(self, table: str) -> None:
+        """Makes one batch of all batches of each day of a table, for a time when nothing else reads or writes it. If it dies
+        half-way rows stand twice, in the old batches and the new one, until it is run again: ids are unique."""
+        rows = self._read(table)
+        old = [(r["Day"], r["Batch"]) for r in rows.select("Day", "Batch").distinct().collect()]
+        if not old:
+            return
+        whole = rows.dropDuplicates(["Id"]).withColumn("Batch", F.lit(f"days-{uuid.uuid4().hex}"))
+        self._write(table, self.staged(whole))
+        for day, batch in old:
+            fs, path = self._place(f"{table}/Day={day}/Batch={batch}")
+            fs.delete(path, True)
+
+    def _read(self, name: str) -> DataFrame:
+        """A table with the columns of its partitions, in one scan."""
+        full = schema(name).add("Day", "date").add("Batch", "string")
+        fs, path = self._place(name)
+        return self.spark.read.schema(full).parquet(f"{self.path}/{name}") if fs.exists(path) else self.spark.createDataFrame([], full)
+
+    def table(self, name: str, start: Bound = None, end: Bound = None, without: str | None = None) -> DataFrame:
+        """A table; a range of its time also prunes the days that can't hold it. ``without`` leaves out a batch."""
+        df = self._read(name)
+        if without is not None:
+            df = df.where(F.col("Batch") != without)
+        if name in DAYS:
+            for bound, after in ((start, True), (end, False)):
+                if (nanos := nanos_of(bound)) is not None:
+                    day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(nanos // DAY_NANOS).cast("int"))
+                    df = df.where((F.col("Day") >= day) & (F.col(DAYS[name]) >= nanos) if after else (F.col("Day") <= day) & (F.col(DAYS[name]) <= nanos))
+        return df.drop("Day", "Batch")
+
+    def read(self, start: Bound = None, end: Bound = None, without: str | None = None) -> SignalTables:
         """All tables, those with a time narrowed to a range."""
-        return Telemetry(**{name: partial(self.table, name, start, end, version) for name in Telemetry.names()})
+        return SignalTables(**{name: partial(self.table, name, start, end, without) for name in SignalTables.names()})

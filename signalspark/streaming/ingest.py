@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from signalspark.functions.columns import to_time
-from signalspark.plans.ingest import ingest_logs, ingest_metrics, ingest_traces
+from signalspark.plans.ingest import INGEST
 from signalspark.sources import otlp
 from signalspark.sources.store import Store
 
 
+def lines(files: DataFrame) -> DataFrame:
+    """``Key`` (file and line) and ``value`` of the lines of whole files. A file is read by one task."""
+    return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("value <> ''").select(F.concat_ws(":", "file", F.col("line").cast("string")).alias("Key"), "value")
+
+
 def requests(spark: SparkSession, path: str) -> DataFrame:
     """Files of export requests, one JSON text per line, as they arrive."""
-    return spark.readStream.schema("value string").text(path)
+    return lines(spark.readStream.option("wholetext", True).schema("value string").text(path))
+
+
+def stored_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The same files as one batch, with the same keys."""
+    return lines(spark.read.option("wholetext", True).text(path))
+
 
+def into_store(source: DataFrame, store: Store, signal: str, checkpoint: str, within: timedelta | None = None) -> DataStreamWriter:
+    """A stream that stores each micro-batch with the functions of batch ingest, under the batch's number; one that is
+    run again after a failure replaces what it wrote. Requests are parsed once for each batch.
 
-def into_store(source: DataFrame, store: Store, signal: str, checkpoint: str) -> DataStreamWriter:
-    """A stream that stores each micro-batch with the functions of batch ingest. What is stored already is left
-    out, so a batch that is run again after a failure adds nothing."""
+    Spans are told apart from all stored ones; only their two ids are read, against those of the batch. ``within``
+    narrows that to the days of the batch's spans, give or take so much, where copies are known to come with
+    their own start time."""
 
     def each(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        try:
-            known = store.read()
-            done = {"traces": lambda: ingest_traces(held, known), "logs": lambda: ingest_logs(held, known), "metrics": lambda: ingest_metrics(held, f"{signal}-{number}", known)}[signal]()
-            store.append(done)
-        finally:
-            held.unpersist()
+        name = f"{signal}-{number}"
+        known = store.read(without=name)
+        held = store.staged(batch)
+        if within is not None and signal == "traces":
+            low, high = otlp.spans(held).agg(F.min("StartTimeUnixNano"), F.max("StartTimeUnixNano")).first()
+            if low is not None:
+                slack = int(within.total_seconds()) * 10**9
+                known = known.with_tables(spans=store.table("spans", low - slack, high + slack, name))
+        store.append(INGEST[signal](held, known=known, stage=store.staged, export=name), name)
+        store.clear()
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 

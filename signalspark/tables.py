@@ -1,4 +1,4 @@
-"""The tables of a telemetry store as DataFrames."""
+"""The tables of a signal store as DataFrames."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ from signalspark.functions.columns import service_name
 from signalspark.schemas import DDL, POINT_TABLES
 
 
-class Telemetry:
+class SignalTables:
     """One DataFrame per table, as an attribute with the table's name. A table may be given as a function that
-    makes it, which is called when a query first asks for it."""
+    makes it, which is called when a query first asks for it. After a delete, ``removed`` has for each table that
+    lost rows a column and the values of it that went."""
+
+    removed: dict[str, tuple[str, DataFrame]]
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         unknown = set(tables) - set(self.names())
         if unknown:
             raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
         self._tables = dict(tables)
+        self.removed = {}
 
     @staticmethod
     def names() -> list[str]:
@@ -40,8 +44,8 @@ class Telemetry:
         """The points of a metric type."""
         return self.table(POINT_TABLES[kind])
 
-    def with_tables(self, **changed: DataFrame) -> Telemetry:
-        return Telemetry(**(self._tables | changed))
+    def with_tables(self, **changed: DataFrame) -> SignalTables:
+        return SignalTables(**(self._tables | changed))
 
     def services(self) -> DataFrame:
         """ResourceId and ServiceName: the JSON is parsed once per resource, not once per span."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalspark.functions.columns import in_range, nanos_of, service_name
 from signalspark.operators import logs, metrics, retention, traces
 from signalspark.schemas import schema
-from signalspark.tables import Telemetry
+from signalspark.tables import SignalTables
 
 MS = 1_000_000
 
@@ -57,7 +57,7 @@ def t(spark):
             {"Id": 2, "ResourceId": 1, "ScopeId": 1, "TraceId": "t1", "SeverityNumber": None, "TimeUnixNano": None, "BodyValue": "error"},
         ],
     }
-    return Telemetry(**{name: table(spark, name, *data.get(name, [])) for name in Telemetry.names()})
+    return SignalTables(**{name: table(spark, name, *data.get(name, [])) for name in SignalTables.names()})
 
 
 def test_service_map_ignores_orphans_own_service_and_other_traces(t):

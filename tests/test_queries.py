@@ -1,4 +1,4 @@
-"""Every telemetry query against its DuckDB form on the smallest tables."""
+"""Every signal query against its DuckDB form on the smallest tables."""
 
 import pytest
 
