@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalspark.functions.shared import drop_written, shared_folder, written
+
+__all__ = ["LOWER_TABLE", "drop_written", "free_names", "lower_ascii", "shared_folder", "table", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z in UTF-8 bytes and nothing else.
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -23,32 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is
-    unset, as in tests on one machine, a temporary folder takes its place."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_folder, "local", None)
-        if folder is None:
-            keep = tempfile.TemporaryDirectory(prefix="signalspark-")
-            atexit.register(keep.cleanup)
-            folder = shared_folder.local = "file://" + keep.name
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage, and a lost executor costs
-    no more than the tasks it ran, since the files are not its own."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/signalspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table from :func:`written` that nothing will read any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of ``df`` has, made of the wanted ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -246,65 +246,127 @@ def test_parts_become_placeholders(spark):
 # Language model.
 
 
-def test_gradient_is_that_of_the_loss():
-    random = np.random.default_rng(0)
-    numbers, bias = random.integers(0, 900, 100), attention.biases(random.integers(0, 50, 900))
-    first = np.where(np.arange(100) < 40, 0, 40)
+def some_words(n=100, seed=0):
+    random = np.random.default_rng(seed)
     flat = attention.start()
     attention.views(flat)["out"][:] = random.normal(0, 0.3, attention.SHAPES["out"])
-    (_, _, own), *_ = attention.runs(numbers, first, 5, 96)
+    attention.views(flat)["place"][:] = random.normal(0, 0.3, attention.SHAPES["place"])
+    vectors = random.normal(0, 0.5, (n, attention.WIDTH)).astype(np.float32)
+    return flat, attention.prior(random.integers(0, 50, attention.CLASSES)), vectors, random.integers(0, attention.CLASSES, n)
+
+
+def naive_scores(flat, bias, vectors, classes, first):
+    """The model word by word, in plain loops."""
+    p, out = {k: v.astype(float) for k, v in attention.views(flat).items()}, []
+    x = np.array([vectors[i - 1] if i > first[i] else np.zeros(attention.WIDTH) for i in range(len(classes))])
+    for i in range(len(classes)):
+        block = i // attention.BLOCK * attention.BLOCK
+        weight = {}
+        for j in range(max(block - attention.BLOCK, first[i]), i + 1):
+            weight[j] = math.exp((x[i] @ p["query"]) @ (x[j] @ p["key"]) + p["place"][i - block, j - block + attention.BLOCK])
+        seen = sum(w * (x[j] @ p["value"]) for j, w in weight.items()) / sum(weight.values())
+        z = np.maximum(x[i] @ p["own"] + seen @ p["seen"] + p["shift"], 0) @ p["out"] + bias
+        out.append(z[classes[i]] - math.log(np.exp(z).sum()))
+    return out
+
+
+def test_gradient_is_that_of_the_loss():
+    flat, bias, vectors, classes = some_words()
+    first = np.where(np.arange(100) < 40, 0, 40)
+    (_, _, own), *_ = attention.runs(vectors, classes, first, 96)
     gradient = attention.Pass(flat, bias, *own).gradient(np.ones(96, bool))
     at = 0
     for name, shape in attention.SHAPES.items():
         size = int(np.prod(shape))
         j = at + int(np.argmax(np.abs(gradient[at : at + size])))
-        change = [(-attention.Pass(f, bias, *own).logs.astype(float)).mean() for d in (0.01, -0.01) for f in [flat + np.float32(d) * (np.arange(len(flat)) == j)]]
-        assert gradient[j] == pytest.approx((change[0] - change[1]) / 0.02, rel=0.05, abs=1e-5), name
+        change = [(-attention.Pass(f, bias, *own).logs.astype(float)).mean() for d in (0.002, -0.002) for f in [flat + np.float32(d) * (np.arange(len(flat)) == j)]]
+        assert gradient[j] == pytest.approx((change[0] - change[1]) / 0.004, rel=0.05, abs=1e-5), name
         at += size
 
 
-def test_windows_score_each_token_once_and_the_same_in_any_run():
-    random = np.random.default_rng(1)
-    numbers, bias, flat = random.integers(0, 900, 1000), attention.biases(np.ones(900)), attention.start()
-    attention.views(flat)["out"][:] = random.normal(0, 0.3, attention.SHAPES["out"])
-    first = (np.arange(1000) // 130) * 130
-    whole = attention.score(flat, bias, numbers, first, 5)
-    assert np.allclose(whole, attention.score(flat, bias, numbers, first, 5, run=160), atol=1e-4)
-    alone = attention.score(flat, bias, numbers[:130], first[:130], 5)
-    assert np.allclose(whole[:130], alone, atol=1e-4) and (whole < 0).all()
+@pytest.mark.parametrize("run", [32, 160, 8192])
+def test_batched_windows_score_each_word_once_as_plain_loops_do(run):
+    flat, bias, vectors, classes = some_words(330, 1)
+    first = np.repeat([0, 7, 130, 131, 260], [7, 123, 1, 129, 70])
+    assert np.allclose(attention.score(flat, bias, vectors, classes, first, run), naive_scores(flat, bias, vectors, classes, first), atol=1e-4)
 
 
 def test_training_learns():
-    numbers = np.tile(np.arange(20), 400)
-    bias, flat, first = attention.biases(np.ones(20)), attention.start(), np.zeros(8000, np.int64)
-    before = attention.score(flat, bias, numbers, first, 0).mean()
-    adam = attention.Adam(5e-3)
-    for _ in range(10):
-        attention.train(flat, bias, numbers, first, 0, adam, run=256)
-    assert attention.score(flat, bias, numbers, first, 0).mean() > before + 0.5
+    random = np.random.default_rng(2)
+    kinds = random.normal(0, 1, (4, attention.WIDTH)).astype(np.float32)
+    own = np.repeat(random.integers(0, 4, 200), 40)  # texts of 40 words of one kind
+    classes, vectors, first = own * 3 + random.integers(0, 3, 8000), kinds[own], np.arange(8000) // 40 * 40
+    bias, flat, adam = attention.prior(np.bincount(classes, minlength=attention.CLASSES)), attention.start(), attention.Adam(1e-2)
+    before = attention.score(flat, bias, vectors, classes, first).mean()
+    for _ in range(5):
+        attention.train(flat, bias, vectors, classes, first, adam, run=256)
+    assert attention.score(flat, bias, vectors, classes, first).mean() > before + 1.0  # ln 4 at most
 
 
-def test_encoder_and_tree():
+def test_encoder_gives_the_ids_of_each_word():
     encoder = lm_scoring.Encoder(WORDS)
-    found = ["hello", "wörld", "a b", "　x", "don't", "日本語"]
+    found = ["hello", "wörld", "a\u00a0b", "\u3000x", "don't", "日本語"]
     ids, sizes = encoder.ids([w.encode() for w in found[:3]] + [lm_scoring.END] + [w.encode() for w in found[3:]])
     want = [encoder.encode(" " + w) for w in found]
     want.insert(3, [encoder.end])
     assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
-    tree = lm_scoring.Tree({b"hello": 3, b"help": 2, lm_scoring.END: 1}, encoder)
-    vocabulary = lm_scoring.Vocabulary(WORDS, np.arange(encoder.end + 1), {}, tree)
-    places = vocabulary.places([[b"hello", b"unseen"]])
-    _, sizes, at = vocabulary.subwords(places)
-    logs = vocabulary.mixed(np.full(sizes.sum(), -5.0), places, at, sizes)
-    weight, before = 0.9, 0.9 * 6 / (6 + lm_scoring.HALF)
-    opening = weight * 0 + (1 - weight) * math.exp(-5)
-    assert len(places) == 3 and np.isfinite(logs).all() and logs[0] > math.log(opening) and before < weight
+
+
+def test_spellings_are_a_distribution_and_classes_split_directions():
+    counts = np.array([[3, 0, 1, 2], [0, 0, 0, 0], [5, 1, 0, 0]])
+    assert np.allclose(np.exp(lm_scoring.spelling_of(counts)).sum(axis=1), 1, atol=1e-5)
+    directions = np.eye(4)[[0, 0, 1, 1, 2]] * 2.0 + 0.01
+    centers = lm_scoring.clustered(directions, np.ones(5), 3)
+    assert len({*(directions @ centers.T).argmax(axis=1)}) == 3 and lm_scoring.clustered(np.zeros((3, 2)), np.ones(3), 2).sum() == 0
+
+
+def brute_model_score(text, model, encoder, counts):
+    """A text's log10 probability, word by word."""
+    found = [w.encode() for w in words(text)]
+    vectors, classes, logs = [], [], []
+    for w in found:
+        ids = encoder.encode(" " + w.decode())
+        total = sum(model.subwords.vectors[i] for i in ids)
+        vectors.append((total / max(1.0, np.linalg.norm(total))).astype(np.float32))
+        classes.append(int(np.argmax(model.subwords.centers @ total)))
+        spelled = model.subwords.spelling[lm_scoring.SPELLERS, ids[0]] + sum(model.subwords.spelling[model.subwords.group[a], b] for a, b in zip(ids, ids[1:])) + model.subwords.spelling[model.subwords.group[ids[-1]], -1]
+        logs.append((math.log(counts[w]) + float(model.in_class[classes[-1]]) + model.known, 0.0) if counts.get(w) else (None, model.new + float(spelled)))
+    vectors, classes = np.array([*vectors, np.zeros(attention.WIDTH)], np.float32), np.array([*classes, lm_scoring.ENDING])
+    of_class = naive_scores(model.flat, model.bias, vectors, classes, np.zeros(len(classes), int))
+    out = sum(a[1] if a[0] is None else a[0] + c for a, c in zip(logs, of_class))
+    return (out + of_class[-1] + model.known) / math.log(10)
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_model_scores_by_brute_force(spark, monkeypatch, most):
+    held = {}
+    monkeypatch.setattr(lm_scoring, "VECTOR_SHARE", 1)
+    monkeypatch.setattr(lm_scoring, "ROUND_CHARACTERS", 2000)
+    monkeypatch.setattr(lm_scoring, "scored", lambda rows, tokenizer, model, f=lm_scoring.scored: held.update(model=model) or f(rows, tokenizer, model))
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60 or doc_id is null").select("doc_id", "text")
+    odd = spark.createDataFrame([(900, "never_seen_word x\u3000y ünïcode"), (901, ""), (902, None), (903, "zz")], "doc_id long, text string")
+    table = table.union(odd)
+    held_out = language_id.remainder(F.col("doc_id"), 7) == 2
+    got = {r["doc_id"]: r for r in lm_scoring.score(table, held_out | (F.col("doc_id") >= 900), WORDS, most=most).collect()}
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    counts = Counter(w.encode() for i, t in texts.items() if not got[i]["held_out"] for w in words(t))
+    encoder = lm_scoring.Encoder(WORDS)
+    for i, text in texts.items():
+        if i >= 900 or len(text or "") < 3000:
+            assert got[i]["score"] == pytest.approx(brute_model_score(text, held["model"], encoder, counts), rel=1e-4), i
+
+
+def test_attention_helps_on_texts_held_out(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = language_id.remainder(F.col("doc_id"), 7) == 2
+    total = {train: lm_scoring.score(table, held_out, WORDS, train=train).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first() for train in (True, False)}
+    assert (total[True][0] - total[False][0]) / total[True][1] * math.log2(10) > 0.8  # bits a word
 
 
 @pytest.mark.parametrize("most", [100_000, 3])
 def test_lm_base_scores(docs, none, most):
     held_out = language_id.remainder(F.col("doc_id"), 7) == 2
-    got = rows(lm_scoring.score(docs, held_out, WORDS, most=most, share=1.0), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = rows(lm_scoring.score(docs, held_out, WORDS, most=most), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     counts = Counter(w for i, t, *_ in EDGES if not held(i) for w in [*words(t), "\n"])
     total, distinct = sum(counts.values()), len(counts)
