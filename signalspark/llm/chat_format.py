@@ -6,7 +6,8 @@ the number of tokens that the placeholder stands for. Turns are then marked by t
 one string per conversation, with the spans that training takes a loss on.
 
 Every mark of the template and every placeholder starts with ``<|``. In texts and roles a backslash is doubled
-and ``<|`` becomes ``<\\|``, so no text can hold a mark, and reading it back undoes exactly that.
+and ``<|`` becomes ``<\\|``, also where two text parts meet in it, so no content can hold a mark, and reading it
+back undoes exactly that.
 """
 
 from __future__ import annotations
@@ -37,11 +38,19 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
 
 
-def placeholder(part: Column) -> Column:
+def placeholder(part: Column, after: Column) -> Column:
     """What a part becomes in the string: escaped text, or the mark of its type (an unknown type counts as a
-    document)."""
+    document). Where a text ends in ``<`` and the text ``after`` it starts with ``|``, the sign between goes in here."""
     marks = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
-    return F.when(part["type"] == "text", escaped(F.coalesce(part["text"], F.lit("")))).otherwise(F.coalesce(marks[part["type"]], F.lit(PLACEHOLDERS["document"])))
+    text = escaped(part["text"])
+    split = part["text"].endswith("<") & F.coalesce((after["type"] == "text") & after["text"].startswith("|"), F.lit(False))
+    return F.when(part["type"] == "text", F.when(split, F.concat(text, F.lit("\\"))).otherwise(text)).otherwise(F.coalesce(marks[part["type"]], F.lit(PLACEHOLDERS["document"])))
+
+
+def content_of(parts: Column) -> Column:
+    """All parts of a turn as one string; a text part without text stands for nothing, one of a null type for a document."""
+    shown = F.filter(parts, lambda p: (F.coalesce(p["type"], F.lit("")) != "text") | (p["text"] != ""))
+    return F.array_join(F.get(F.transform(F.array(shown), lambda own: F.transform(own, lambda p, i: placeholder(p, F.get(own, i + 1)))), F.lit(0)), "")
 
 
 def expanded(part: Column) -> Column:
@@ -70,8 +79,8 @@ def format_conversations(messages: DataFrame, learned: tuple[str, ...] = ("assis
         "turn",
         role.alias("role"),
         escaped(role).alias("mark"),
-        F.array_join(F.transform(parts, placeholder), "").alias("content"),
-        F.transform(F.filter(parts, lambda p: p["type"] != "text"), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attachments"),
+        content_of(parts).alias("content"),
+        F.transform(F.filter(parts, lambda p: F.coalesce(p["type"], F.lit("")) != "text"), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attachments"),
         F.aggregate(F.transform(parts, expanded), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"),
     )
     turns = turns.withColumn("head", F.concat(F.lit(START), "mark", F.lit(SEPARATOR))).withColumn("chars", F.length("head") + F.length("content") + len(END))
@@ -99,7 +108,8 @@ def format_conversations(messages: DataFrame, learned: tuple[str, ...] = ("assis
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns (role and text, unescaped; placeholders stay) and the text under the loss mask, read from the
-    string and the spans of :func:`format_conversations`, beside its own columns."""
+    string and the spans of :func:`format_conversations`, beside its own columns. An empty string has no turns; an
+    empty table gives an empty result; repeated rows are read alike."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda x: x != "")
     turn = lambda x: F.struct(
         unescaped(F.substring_index(x, SEPARATOR, 1)).alias("role"),
@@ -110,7 +120,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(read: DataFrame) -> DataFrame:
-    """The digest columns of a table from :func:`read_back`."""
+    """The digest columns of a table from :func:`read_back`, a row for each of its rows. Without turns, or without text under
+    the mask, the digest is that of the empty text."""
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return read.select(
         "conv_id",
