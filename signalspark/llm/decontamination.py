@@ -3,9 +3,12 @@
 Text is made canonical first: numbers, units behind numbers, and names (capitalised words inside a sentence)
 become typed placeholders, other words are lower-cased. Windows of five such tokens are matched by hash between
 documents and benchmark items, so that a question with other numbers or names is found as well. Windows with few
-words say too little without their values and are matched with them, as are items shorter than a window. A document holds
-an item if the matched windows cover at least 0.8 of the item's tokens, and if the values in the slots fit: one
-value of the item stands for one value of the document throughout an alignment.
+words say too little without their values and are matched with them, as are items shorter than a window. Items that do
+not differ but in their values are one template, so that a template with many instances is looked up once.
+
+A document holds an item if windows that stand in one place of it, which may drift by a quarter of the item, cover at
+least 0.8 of the item's tokens, and if the values in the slots fit there: one value of the item stands for one value
+of the document, and the other way round.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.shared import written
+from signalspark.llm.shared import free_names, written
 
 #: Tokens in a window, literal ones among them from which on values are left open, share of an item's tokens to be covered,
-#: share of its slots whose values must fit, the placeholders, and the unit words.
-WINDOW, LITERAL, COVERED, FITTING = 5, 3, 0.8, 0.5
+#: share of its slots whose values must fit, share of its size (and tokens at least) that an alignment may drift, the
+#: placeholders, and the unit words.
+WINDOW, LITERAL, COVERED, FITTING, DRIFT, LEAST_DRIFT = 5, 3, 0.8, 0.5, 0.25, 4
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mi mg g kg gram grams kilogram kilograms lb lbs pound pounds oz "
@@ -69,12 +73,13 @@ def exact_hash(words: Column, at: Column, width: Column | int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, width), F.lit(width) if isinstance(width, int) else width)
 
 
-def benchmark_windows(items: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """item, key (of item and text), size in tokens, and hash, position, width and kind of its windows. Windows with
-    fewer than :data:`LITERAL` words are ``exact``, and so is the one window of an item of two to four tokens; an
-    item without any word has none."""
+def templates(items: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """item, text, and the tokens (``words``, and with values ``own``), size and windows of each item with a word, beside its
+    template's key (``template``). A window is hash, place, width and kind: those with fewer than :data:`LITERAL` words are
+    ``exact``, and so is the one window of an item of two to four tokens. Items with exact windows share a template
+    only with items of the same values."""
     text = F.col(text_column)
-    rows = items.select(F.col(item_column).alias("item"), F.xxhash64(item_column, text_column).alias("item_key"), tokens(text).alias("words"), spoken(text).alias("own")).dropDuplicates(["item_key"])
+    rows = items.select(F.col(item_column).alias("item"), text.alias("item_text"), tokens(text).alias("words"), spoken(text).alias("own")).distinct()
     literal = lambda words: F.size(F.filter(words, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     rows = rows.where(literal(F.col("words")) > 0).withColumn("size", F.size("words"))
 
@@ -84,7 +89,14 @@ def benchmark_windows(items: DataFrame, item_column: str = "item_id", text_colum
 
     whole = F.array(F.struct(exact_hash(F.col("own"), F.lit(0), F.col("size")).alias("h"), F.lit(0).alias("p"), F.col("size").alias("width"), F.lit(True).alias("exact")))
     placed = F.when(F.col("size") >= WINDOW, F.transform(window_hashes(F.col("words")), window)).when(F.col("size") >= 2, whole)
-    return rows.select("item", "item_key", "size", F.explode(placed).alias("x")).select("item", "item_key", "size", "x.h", "x.p", "x.width", "x.exact")
+    rows = rows.withColumn("windows", placed).where("windows IS NOT NULL")
+    key = F.when(F.exists("windows", lambda w: w["exact"]), F.xxhash64("words", "own")).otherwise(F.xxhash64("words"))
+    return rows.withColumn("template", key)
+
+
+def windows_of(known: DataFrame) -> DataFrame:
+    """template, size, h, p, width, exact: the windows of each template once."""
+    return known.select("template", "size", F.explode("windows").alias("x")).select("template", "size", "x.h", "x.p", "x.width", "x.exact").distinct()
 
 
 def exact_windows(width: int) -> Column:
@@ -104,12 +116,12 @@ def exact_windows(width: int) -> Column:
 
 
 def key_of(id_column: str, text_column: str) -> Column:
-    """A document's key: rows that are equal in id and text share it."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """A document's key, of 128 bits: rows that are equal in id and text share it."""
+    return F.struct(F.xxhash64(F.col(id_column), F.col(text_column)).alias("a"), F.xxhash64(F.lit(1), F.col(text_column), F.col(id_column)).alias("b"))
 
 
-def matches(documents: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, broadcast_windows: int) -> DataFrame:
-    index = written(benchmark_windows(items, item_column, item_text), "benchmark-windows")
+def matches(documents: DataFrame, index: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, doc_key, pos, and the template's window, for each window of a document that a template has."""
     widths = sorted(r["width"] for r in index.where("exact").select("width").distinct().collect())  # four at most
     text = F.col(text_column)
     words = documents.select(F.col(id_column).alias("id"), key_of(id_column, text_column).alias("doc_key"), tokens(text).alias("words"), *[spoken(text).alias("own")] * bool(widths))
@@ -120,48 +132,75 @@ def matches(documents: DataFrame, items: DataFrame, id_column: str, text_column:
         windows = words.select("id", "doc_key", F.explode(F.concat(open_ones, *map(exact_windows, widths))).alias("x")).select("id", "doc_key", "x.pos", "x.h")
     else:
         windows = words.select("id", "doc_key", F.posexplode(window_hashes(F.col("words"))).alias("pos", "h"))
-    return windows.join(F.broadcast(index) if index.count() <= broadcast_windows else index, "h")
+    small = index.count() * 40 <= BROADCAST_BYTES  # four numbers a row
+    return windows.join(F.broadcast(index) if small else index, "h")
+
+
+#: Size up to which the windows of the benchmark are sent to every task.
+BROADCAST_BYTES = 40_000_000
 
 
-def fitting(found: DataFrame, near: DataFrame, documents: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str) -> DataFrame:
-    """For each pair of ``near``, over its best alignment: the number of slots seen, the share of them whose
-    value of the item stands for one value of the document, and the share with equal values."""
-    item_slots = items.select(F.xxhash64(item_column, item_text).alias("item_key"), F.explode(slots(F.col(item_text))).alias("s")).select("item_key", F.col("s.at").alias("p"), F.col("s.value").alias("theirs")).distinct()
-    held = documents.withColumn("doc_key", key_of(id_column, text_column)).join(near.select("doc_key").distinct(), "doc_key", "left_semi")
-    doc_slots = held.select("doc_key", F.explode(slots(F.col(text_column))).alias("s")).select("doc_key", F.col("s.at").alias("pos"), F.col("s.value").alias("own")).distinct()
-    pairs = found.join(near.select("doc_key", "item_key"), ["doc_key", "item_key"], "left_semi").select("doc_key", "item_key", (F.col("pos") - F.col("p")).alias("offset"), F.explode(F.sequence("p", F.col("p") + F.col("width") - 1)).alias("p")).distinct()
-    seen = pairs.join(item_slots, ["item_key", "p"]).withColumn("pos", F.col("p") + F.col("offset")).join(doc_slots, ["doc_key", "pos"])
-    by_value = seen.groupBy("doc_key", "item_key", "offset", "theirs").agg(F.count("*").alias("n"), F.countDistinct("own").alias("values"), F.sum((F.col("own") == F.col("theirs")).cast("long")).alias("equal"))
-    by_offset = by_value.groupBy("doc_key", "item_key", "offset").agg(F.sum("n").alias("n_slots"), (F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("fit"), (F.sum("equal") / F.sum("n")).alias("equal"))
-    best = by_offset.groupBy("doc_key", "item_key").agg(F.max(F.struct("n_slots", "fit", "equal")).alias("b"))
-    return best.select("doc_key", "item_key", "b.n_slots", "b.fit", "b.equal")
+def banded(found: DataFrame) -> DataFrame:
+    """Each match with the bands of offsets that it lies in: bands of two drifts' width that overlap by one, so any two
+    matches of a template within one drift share a band."""
+    drift = F.greatest(F.lit(LEAST_DRIFT), (F.col("size") * DRIFT).cast("int"))
+    offset = F.col("pos") - F.col("p")
+    bands = [F.struct(F.lit(k).alias("shift"), F.floor((offset + k * drift) / (2 * drift)).alias("at")) for k in (0, 1)]
+    return found.withColumn("offset", offset).withColumn("band", F.explode(F.array(*bands)))
 
 
-def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+def aligned(found: DataFrame) -> DataFrame:
+    """doc_key, template, id, size, n_windows, coverage and band of each document and template whose windows in one band cover
+    enough of it: the band that covers most."""
+    spans = F.flatten(F.transform("at", lambda x: F.sequence(x["p"], x["p"] + x["width"] - 1)))
+    pairs = banded(found).groupBy("doc_key", "template", "band").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.collect_set(F.struct("p", "width")).alias("at"))
+    covered = pairs.withColumn("coverage", F.size(F.array_distinct(spans)) / F.col("size")).where(F.col("coverage") >= COVERED)
+    best = F.max_by(F.struct("id", F.size("at").cast("long").alias("n_windows"), "coverage", "band"), F.struct("coverage", F.size("at"), "band"))
+    return covered.groupBy("doc_key", "template").agg(best.alias("b")).select("doc_key", "template", "b.*")
+
+
+def fitting(found: DataFrame, near: DataFrame, known: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """For each document and item of ``near``, over the aligned windows: the slots seen, the share of them whose values go
+    together (the value of the document that stands most often for theirs, and the other way round, whichever is
+    less), and the share with equal values."""
+    held = documents.select(key_of(id_column, text_column).alias("doc_key"), F.col(text_column).alias("text")).join(near.select("doc_key").distinct(), "doc_key", "left_semi")
+    doc_slots = held.select("doc_key", F.explode(slots(F.col("text"))).alias("s")).select("doc_key", F.col("s.at").alias("pos"), F.col("s.value").alias("own")).distinct()
+    item_slots = known.select("template", "item", F.xxhash64("item", "item_text").alias("one"), F.explode(slots(F.col("item_text"))).alias("s")).select("template", "item", "one", F.col("s.at").alias("p"), F.col("s.value").alias("theirs"))
+    places = banded(found).join(near.select("doc_key", "template", "band"), ["doc_key", "template", "band"], "left_semi")
+    places = places.select("doc_key", "template", "offset", F.explode(F.sequence("p", F.col("p") + F.col("width") - 1)).alias("p")).distinct()
+    seen = places.withColumn("pos", F.col("p") + F.col("offset")).join(doc_slots, ["doc_key", "pos"]).join(item_slots, ["template", "p"])
+    pair = ["doc_key", "template", "item", "one"]
+    counted = seen.groupBy(*pair, "theirs", "own").agg(F.count("*").alias("n"))
+    ways = [counted.groupBy(*pair, side).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("theirs") == F.col("own"), F.col("n")).otherwise(0)).alias("equal")).groupBy(*pair).agg((F.sum("most") / F.sum("n")).alias(name), F.sum("n").alias("n_slots"), (F.sum("equal") / F.sum("n")).alias("equal")) for side, name in (("theirs", "to"), ("own", "back"))]
+    return ways[0].join(ways[1].select(*pair, "back"), pair).select(*pair, "n_slots", F.least("to", "back").alias("fit"), "equal")
+
+
+def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds, and no other rows: the document's id and
-    ``doc_key``, the item's id, ``n_windows`` (of the item, matched), ``coverage`` (share of its tokens that they
-    cover), ``n_slots`` (aligned slots), ``slot_fit`` (share of them with one value for one value) and
-    ``same_values`` (share with equal values; below 1 in a re-parameterised copy; both null without slots).
+    ``doc_key``, the item's id, ``n_windows`` (of the item, matched in one place), ``coverage`` (share of its tokens that they
+    cover), ``n_slots`` (aligned slots), ``slot_fit`` (share of them whose values go together) and ``same_values``
+    (share with equal values; below 1 in a re-parameterised copy; both null without slots).
 
     A null or empty text holds nothing. An item of fewer than five tokens is found with its own values only; one of
-    a single token, or without any word, is not found.
-    Texts of any length are read whole. Rows equal in id and text are one document; a null id stays null.
-    An empty table on either side gives an empty result; other columns are not read. The benchmark's windows are
-    broadcast up to ``broadcast_windows`` rows, counted first, and joined by hash beyond; a document's windows
-    are matched where they are made, and only matches are shuffled.
+    a single token, or without any word, is not found. Texts of any length are read whole. Rows equal in id and text
+    are one document; a null id stays null. An empty table on either side gives an empty result; other columns are not
+    read. The templates' windows are broadcast up to :data:`BROADCAST_BYTES`, by their counted rows, and joined by hash
+    beyond; a document's windows are matched where they are made, and only matches are shuffled.
     """
-    names = (id_column, text_column, item_column, item_text)
-    found = written(matches(documents, items, *names, broadcast_windows), "window-matches")
-    spans = F.flatten(F.transform("at", lambda x: F.sequence(x["p"], x["p"] + x["width"] - 1)))
-    pairs = found.groupBy("doc_key", "item_key").agg(F.min("id").alias("id"), F.min("item").alias("item"), F.min("size").alias("size"), F.collect_set(F.struct("p", "width")).alias("at"))
-    covered = pairs.withColumn("coverage", F.size(F.array_distinct(spans)) / F.col("size")).where(F.col("coverage") >= COVERED)
-    near = written(covered.select("doc_key", "item_key", "id", "item", F.size("at").cast("long").alias("n_windows"), "coverage"), "near-items")
-    fit = fitting(found, near, documents, items, *names)
-    kept = near.join(fit, ["doc_key", "item_key"], "left").where(F.coalesce(F.col("fit") >= FITTING, F.lit(True)))
-    return kept.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.col("fit").alias("slot_fit"), F.col("equal").alias("same_values"), "doc_key")
+    known = written(templates(items, item_column, item_text), "benchmark-templates")
+    found = written(matches(documents, windows_of(known), id_column, text_column), "window-matches")
+    near = written(aligned(found), "near-templates")
+    each = known.select("template", "item", F.xxhash64("item", "item_text").alias("one")).distinct()
+    fit = fitting(found, near, known, documents, id_column, text_column)
+    pairs = near.join(each, "template")
+    both = pairs.join(fit.drop("item"), ["doc_key", "template", "one"], "left").where(F.coalesce(F.col("fit") >= FITTING, F.lit(True)))
+    best = both.groupBy("doc_key", "item").agg(F.max_by(F.struct("id", "n_windows", "coverage", "n_slots", "fit", "equal"), F.struct("coverage", F.coalesce("equal", F.lit(0.0)), "n_windows")).alias("b"))
+    return best.select(F.col("b.id").alias(id_column), F.col("item").alias(item_column), "b.n_windows", "b.coverage", F.coalesce("b.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.col("b.fit").alias("slot_fit"), F.col("b.equal").alias("same_values"), "doc_key")
 
 
 def without(documents: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that hold no item of ``found`` (from :func:`contaminated`), with their columns."""
-    keys = written(found.select(F.col("doc_key").alias("__key")).distinct(), "contaminated")
-    return documents.join(keys, key_of(id_column, text_column) == keys["__key"], "left_anti")
+    """The documents that hold no item of ``found`` (from :func:`contaminated`), with their columns and all their repeats;
+    null and empty texts, and all rows where ``found`` is empty, stay."""
+    (name,) = free_names(documents, "key")
+    keys = written(found.select(F.col("doc_key").alias(name)).distinct(), "contaminated")
+    return documents.join(keys, key_of(id_column, text_column) == keys[name], "left_anti")

@@ -75,7 +75,7 @@ def test_sentencepiece_counts_whole_texts(docs):
 ITEM = "Alice has 5 apples and buys 7 more apples with Bob at 3 km distance. How many apples does she have now in total today?"
 
 
-def test_decontamination_finds_reparameterised_questions(spark):
+def test_decontamination_finds_reparameterised_questions(spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, "too short"), (1, ITEM), (4, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
     other = ITEM.replace("Alice", "Mary").replace("5", "50").replace("7", "12").replace("Bob", "Tom")
     docs = spark.createDataFrame(
@@ -88,8 +88,9 @@ def test_decontamination_finds_reparameterised_questions(spark):
     assert by_id[1]["same_values"] == 1.0 and by_id[2]["slot_fit"] == 1.0 and by_id[2]["same_values"] < 0.5
     assert rows(decontamination.without(docs, found), "doc_id") == [(3,), (4,), (5,), (6,), (7,)]
     assert decontamination.contaminated(docs.limit(0), items).count() == decontamination.contaminated(docs, items.limit(0)).count() == 0
-    joined = decontamination.contaminated(docs, items, broadcast_windows=0)
-    assert rows(joined, "doc_id", "item_id") == rows(found, "doc_id", "item_id")
+    with monkeypatch.context() as m:
+        m.setattr(decontamination, "BROADCAST_BYTES", 0)
+        assert rows(decontamination.contaminated(docs, items), "doc_id", "item_id") == rows(found, "doc_id", "item_id")
 
 
 def test_inconsistent_slots_are_no_copy(spark):
@@ -115,7 +116,94 @@ def test_copies_of_number_heavy_items_are_found(spark):
     found = decontamination.contaminated(docs, items)
     assert rows(found, "doc_id", "item_id") == [(i, i // 2) for i in range(len(texts))]
     assert all(r["same_values"] == 1.0 for r in found.collect() if r["doc_id"] % 2 == 0)
-    assert rows(decontamination.contaminated(docs, items, broadcast_windows=0), "doc_id", "item_id") == rows(found, "doc_id", "item_id")
+
+
+def brute_tokens(text):
+    import regex
+
+    units = "|".join(sorted(decontamination.UNITS, key=len, reverse=True))
+    n, a, u = decontamination.NUMBER, decontamination.NAME, decontamination.UNIT
+    text = regex.sub(decontamination.NUMBERS, lambda m: f"{n}{m[0]} ", text or "")
+    text = regex.sub(rf"({n}\S*) +((?i:{units}))(?!\p{{L}})", lambda m: f"{m[1]} {u}{m[2]} ", text)
+    text = regex.sub(decontamination.NAMES, lambda m: f"{a}{m[0]} ", text)
+    own = [x.lower() for x in regex.findall(rf"[{n}{a}{u}]\S*|[\p{{L}}\p{{M}}]+", text)]
+    return [x[0] if x[0] in (n, a, u) else x for x in own], [x.strip(n + a + u) for x in own]
+
+
+def brute_contaminated(text, item):
+    """Every offset band by itself, windows compared token by token."""
+    slot = (decontamination.NUMBER, decontamination.NAME, decontamination.UNIT)
+    (words, own), (theirs, values) = brute_tokens(text), brute_tokens(item)
+    size = len(theirs)
+    if size < 2 or all(w in slot for w in theirs):
+        return False
+    width = min(size, 5)
+    exact = [width < 5 or sum(w not in slot for w in theirs[p : p + width]) < 3 for p in range(size - width + 1)]
+    hits = [(i - p, p, i) for p in range(size - width + 1) for i in range(len(words) - width + 1) if (own[i : i + width] == values[p : p + width] if exact[p] else words[i : i + width] == theirs[p : p + width])]
+    drift, best = max(4, size // 4), None
+    for shift in (0, 1):
+        for band in {(o + shift * drift) // (2 * drift) for o, _, _ in hits}:
+            inside = [h for h in hits if (h[0] + shift * drift) // (2 * drift) == band]
+            covered = len({p + k for _, p, _ in inside for k in range(width)}) / size
+            if covered >= 0.8:
+                best = max(best or (0,), (covered, len({p for _, p, _ in inside}), shift, band, tuple(inside)))
+    if best is None:
+        return False
+    pairs = Counter((values[p + k], own[i + k]) for p, i in {(p + k, i + k) for _, p, i in best[4] for k in range(width)} for k in [0] if theirs[p] in slot)
+    if not pairs:
+        return True
+    fits = [sum(max(n for x, n in pairs.items() if x[side] == v) for v in {x[side] for x in pairs}) / sum(pairs.values()) for side in (0, 1)]
+    return min(fits) >= 0.5
+
+
+def test_decontamination_by_brute_force(spark):
+    items = [ITEM, "Take 5 coins and put 5 coins into box 5 then count 5 coins again and write 5 on the lid", *NUMBER_HEAVY, "one two three four five six seven eight nine ten eleven twelve", "The red fox jumps over 3 lazy dogs near London today", "the red fox jumps over 9 lazy dogs near Paris today"]
+    random, texts = np.random.default_rng(6), []
+    for k, item in enumerate(items):
+        parts = item.split()
+        for _ in range(12):
+            own = list(parts)
+            kind = random.integers(0, 7)
+            if kind == 1:  # other values
+                own = [str(random.integers(1, 99)) if x.isdigit() else x for x in own]
+            if kind == 2:  # a few words more in the middle
+                own[len(own) // 2 : len(own) // 2] = ["and", "so", "on", "then"][: random.integers(1, 5)]
+            if kind == 3:  # pieces with much between
+                own = own[:5] + LONG[:120].split() + own[5:10] + LONG[:150].split() + own[10:]
+            if kind == 4:
+                own = own[: max(1, int(len(own) * random.choice([0.5, 0.75, 0.85, 0.95])))]
+            if kind == 5:
+                own = own + LONG[:60].split() + own
+            if kind == 6 and len(own) > 3:
+                i, j = random.integers(0, len(own), 2)
+                own[i], own[j] = own[j], own[i]
+            texts.append(LONG[: random.integers(0, 90)] + " " + " ".join(own) + " " + LONG[: random.integers(0, 90)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    want = sorted((d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if brute_contaminated(text, item))
+    assert rows(found, "doc_id", "item_id") == want and len(want) > 60
+    apart = " ".join(items[8].split()[:5] + LONG[:200].split() + items[8].split()[5:10] + LONG[:200].split() + items[8].split()[10:])
+    assert not brute_contaminated(apart, items[8])
+
+
+def test_recall_of_reparameterised_items(spark):
+    import random as rnd
+
+    items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("text").collect()]
+    rnd.seed(3)
+    change = lambda x: re.sub(r"(?<=[a-z] )[A-Z][a-z]+", lambda m: rnd.choice(["Quentin", "Orsolya", "Bertram"]), re.sub(r"\d+", lambda m: str(rnd.randint(2, 999)), x))
+    docs = spark.createDataFrame([(i, f"{LONG[:300]}. {change(x)} {LONG[:300]}") for i, x in enumerate(items)], "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert found.where("doc_id = item_id").count() >= 0.9 * len(items)
+
+
+def test_a_template_with_many_instances_is_looked_up_once(spark):
+    field = "the old farmer keeps 5 brown cows in the green field behind the barn"
+    items = spark.createDataFrame([(i, field.replace("5", str(i + 10))) for i in range(50)], "item_id long, text string")
+    known = decontamination.templates(items)
+    assert known.select("template").distinct().count() == 1 and decontamination.windows_of(known).count() == known.first()["size"] - 4
+    docs = spark.createDataFrame([(1, field)], "doc_id long, text string")
+    assert decontamination.contaminated(docs, items).count() == 50
 
 
 # Licences.
