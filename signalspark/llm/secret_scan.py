@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and zstandard novelty for strings that no pattern names.
 
 A candidate is a long run of letters, digits and a few signs, with both letters and digits, near a word such as
-``key`` or ``auth``. Its novelty is the number of bytes that it adds to the compressed form of the text around
+``key`` or ``auth``; runs that are joined by single dots (signed tokens) or stand on lines of their own below each other
+(key blocks) are one candidate. Its novelty is the number of bytes that it adds to the compressed form of the text around
 it, with a compressor primed by a dictionary of identifiers: names, repeated strings and words of the same text
 cost little. A random string costs about what its letters in any other order cost, and no less than the entropy of
-its alphabet (half a byte a letter in hex); candidates that do so, or cost their length, are reported. A run is taken
-whole, however long; where the fixed patterns found parts of it, the parts that they leave open are scored.
+its alphabet (half a byte a letter in hex); candidates that do so, or cost their length, are reported. A candidate is
+taken whole, however long, and its runs by themselves only if it isn't novel as a whole; where the fixed patterns found
+parts of it, the parts that they leave open are scored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ IDENTIFIERS = (
     "client server config settings environment production development staging localhost http https www index data "
     "value values name user username account email address database connection default version update create delete "
     "insert select where order group table column example test sample placeholder changeme your_api_key_here "
+    "project service handler backup bucket production logs build release candidate docs login session final file path test main "
+    "app api web cloud region west east north south store cache queue worker job task event image model view controller "
+    "module package manager factory helper utils common core base input output read write start stop open close time date "
+    "number count size length first last next previous get set From Header Auth Token User Name Service Handler Manager "
+    "Controller Factory Session Request Response Client Config Exception String Value List Email Address Account Login "
     "access_key secret_key api_key auth_token bearer authorization content-type application/json base64 sha256 "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 xxxxxxxx"
 )
@@ -43,7 +50,12 @@ def either_case(word: str) -> str:
 ASSIGN = re.compile(rf"""(?:{"|".join(map(either_case, WORDS_BEFORE_ASSIGNMENT))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run is taken whole, so a shorter one holds no match either
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+RUN = "[A-Za-z0-9+/_=~-]"
+#: A run, further ones behind dots, then whole lines of them; a short line may end it.
+CANDIDATE = re.compile(rf"{RUN}{{16,}}(?:\.{RUN}{{4,}})*(?:\r?\n[ \t]*{RUN}{{16,}}(?=[ \t]*(?:\r?\n|\Z)))*(?P<tail>\r?\n[ \t]*{RUN}{{2,15}}(?=[ \t]*(?:\r?\n|\Z)))?")
+LONG_RUN = re.compile(f"{RUN}{{16,}}")
+#: Characters that a candidate needs for a short line to belong to it.
+BLOCK = 40
 #: A run that is not novel as a whole is looked at again in pieces of so many characters, so that dull parts hide nothing.
 PIECE = 200
 NEAR = re.compile("|".join(map(either_case, SENSITIVE)))
@@ -81,23 +93,33 @@ class Novelty:
         at = 0
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
+            if m["tail"] and m.start("tail") - a < BLOCK:
+                b = m.start("tail")
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
             near = any(NEAR.search(text, *x) for x in ((max(0, a - before), a), (b, b + after)))
             for start, end in left_open(a, b, (taken[i] for i in range(at, len(taken)))):
                 if near and self.novel(text, start, end, share, least):
                     yield start, end, "novel"
-                elif end - start > PIECE:
-                    for low, high in pieces(start, end):
-                        if (near or NEAR.search(text, max(0, low - before), low) or NEAR.search(text, high, high + after)) and self.novel(text, low, high, share, least):
-                            yield low, high, "novel"
+                    continue
+                for run in LONG_RUN.finditer(text, start, end):
+                    yield from self.of_run(text, *run.span(), near, run.span() != (start, end), share, least, before, after)
+
+    def of_run(self, text: str, start: int, end: int, near: bool, whole: bool, share: float, least: int, before: int, after: int) -> Iterator[Span]:
+        """The novel spans of one run: itself (if ``whole``, as it was not looked at yet), or else its pieces."""
+        if whole and near and self.novel(text, start, end, share, least):
+            yield start, end, "novel"
+        elif end - start > PIECE:
+            for low, high in pieces(start, end):
+                if (near or NEAR.search(text, max(0, low - before), low) or NEAR.search(text, high, high + after)) and self.novel(text, low, high, share, least):
+                    yield low, high, "novel"
 
     def novel(self, text: str, start: int, end: int, share: float, least: int) -> bool:
         word = text[start:end]
         if end - start < least or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             return False
         cost = self.marginal(text, start, end)
-        if cost < least or cost < share * entropy_bytes(word):
+        if cost < share * entropy_bytes(word):
             return False
         return cost >= share * len(word) or cost >= share * self.marginal(text[:start] + shuffled(word) + text[end:], start, end)
 
@@ -176,8 +198,9 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **
 
 def redact(df: DataFrame, text_column: str = "text", length_column: str | None = "n_chars", **options) -> DataFrame:
     """The rows of ``df`` with the spans of :func:`scan_text` replaced in the text, and the text's length in
-    ``length_column`` counted anew where there is such a column. Rows without a span, and null texts, stay as
-    they are; no row is dropped."""
+    ``length_column`` counted anew where there is such a column. Rows without a span, and null or empty texts, stay as
+    they are; no row is dropped; repeated rows are treated alike; an empty table stays empty; other columns, whatever their
+    names, are carried along. Spans that overlap are replaced as one, a secret of any length whole."""
     at = df.columns.index(text_column)
     length = df.columns.index(length_column) if length_column in df.columns else None
 

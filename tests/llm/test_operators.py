@@ -632,6 +632,93 @@ def test_parts_beside_pattern_spans_are_found():
     assert secret_scan.redacted(text, secret_scan.scan_text(text, secret_scan.Novelty())[1]) == "auth sk-[hex removed][novel removed]"
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: A secret of about n characters of each kind.
+PLANTED = {
+    "base62": lambda n, k: random_string(LETTERS + "0123456789", n, k), "hex": lambda n, k: random_string("0123456789abcdef", n, k), "upper hex": lambda n, k: random_string("0123456789ABCDEF", n, k),
+    "base32": lambda n, k: random_string(LETTERS[:26] + "234567", n, k), "signed": lambda n, k: ".".join(random_string(LETTERS + "0123456789-_", max(16, m), k + i) for i, m in enumerate((16, n // 2, n // 3))),
+    "block": lambda n, k: "\n".join(re.findall(".{1,64}", random_string(LETTERS + "0123456789+/", n, k))),
+}
+
+
+@pytest.mark.parametrize("kind", PLANTED)
+def test_recall_of_whole_secrets(kind):
+    novelty, found, of = secret_scan.Novelty(), 0, 0
+    for n in (16, 24, 40, 64, 130, 260, 600, 1500, 5000):
+        for k in range(12):
+            word = PLANTED[kind](n, 100 * n + k)
+            intro = ["the auth header: ", "private key\n", "session cookie is "][k % 3]
+            head = LONG[: 70 * k] + intro
+            spans = secret_scan.scan_text(f"{head}{word}\n and {LONG[: 30 * k]}", novelty)[1]
+            found += any(a <= len(head) and b >= len(head) + len(word) for a, b, _ in spans)
+            of += 1
+    assert found >= 0.9 * of, found / of
+
+
+def naive_novel(text):
+    """Novel spans by the definition: every candidate, its runs and pieces, all compressed anew."""
+    import random as rnd
+
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(secret_scan.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x.encode()))
+
+    def novel(a, b):
+        word = text[a:b]
+        if b - a < 12 or not re.search(r"\d", word) or not re.search("[A-Za-z]", word):
+            return False
+        around = text[max(0, a - 1024) : a] + text[b : b + 1024] + "\n"
+        cost = size(around + word) - size(around)
+        letters = list(word)
+        rnd.Random(0).shuffle(letters)
+        if cost < 0.8 * len(word) * min(1, math.log2(len(set(word))) / 8):
+            return False
+        return cost >= 0.8 * len(word) or cost >= 0.8 * (size(around + "".join(letters)) - size(around))
+
+    near = lambda a, b: any(w in (text[max(0, a - 40) : a] + "\x00" + text[b : b + 16]).lower() for w in secret_scan.SENSITIVE)
+    taken, out = {i for a, b, _ in brute_secrets(text) for i in range(a, b)}, []
+    for m in re.finditer(r"[\w+/=~-]{16,}(?:\.[\w+/=~-]{4,})*(?:\n[\w+/=~-]{16,}(?=\n|\Z))*", text, re.ASCII):
+        tail, k, stop = re.match(r"\n[\w+/=~-]{2,15}(?=\n|\Z)", text[m.end() :], re.ASCII), m.start(), m.end()
+        if tail and stop - k >= 40:  # a short line that ends a block
+            stop += tail.end()
+        close = near(k, stop)
+        while k < stop:
+            if k in taken:
+                k += 1
+                continue
+            end = next((i for i in range(k, stop) if i in taken), stop)
+            if close and novel(k, end):
+                out.append((k, end))
+            else:
+                for run in re.finditer(r"[\w+/=~-]{16,}", text[k:end], re.ASCII):
+                    a, b = k + run.start(), k + run.end()
+                    if close and (a, b) != (k, end) and novel(a, b):
+                        out.append((a, b))
+                    elif b - a > 200:
+                        cuts = [*range(a, b - 15, 200), b]
+                        out += [x for x in zip(cuts, cuts[1:]) if (close or near(*x)) and novel(*x)]
+            k = end
+    return out
+
+
+def test_novel_spans_by_brute_force():
+    random, novelty, some = np.random.default_rng(8), secret_scan.Novelty(), 0
+    for k in range(150):
+        parts = []
+        for i in range(random.integers(2, 9)):
+            kind = random.choice([*PLANTED, "word", "prose", "base", "dull"])
+            if kind in PLANTED:
+                parts.append(PLANTED[kind](int(random.integers(10, 300)), 10 * k + i))
+            else:
+                parts.append({"word": random.choice(["key", "auth", "the", "session", "of"]), "prose": LONG[: random.integers(0, 200)], "base": "token=" + random_string("abc123", 20, k), "dull": "x1" * 150 + random_string(LETTERS, 40, k)}[kind])
+        text = str(random.choice([" ", ": ", "\n"])).join(parts)
+        got = [(a, b) for a, b, kind in secret_scan.scan_text(text, novelty)[1] if kind == "novel"]
+        assert got == naive_novel(text), text
+        some += len(got)
+    assert some > 100
+
+
 def test_random_strings_of_small_alphabets_are_found():
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     for letters in ("0123456789ABCDEF", upper + "234567", upper + "0123456789", upper + upper.lower() + "0123456789+/"):
