@@ -1,9 +1,10 @@
 """License scans with a positional index of rare words.
 
-The index holds, for each notice of a fixed list, the positions of its words that are neither common words nor
-missing a weight; a word's weight is its inverse document frequency over all scanned documents. A file's words
-are looked up there; what stands in the file at position i and in a notice at position p votes for the offset
-i - p, weighted, and a notice is found where one offset gathers most of its weight and the file has the
+A word's weight is its inverse document frequency over all scanned documents. The index holds, for each notice of a
+fixed list, the places of its heaviest words, so what a file has of them are its rarest licence words. They are looked
+up there; what stands in the file at position i and in a notice at position p votes for the offset i - p. Offsets may
+drift by some words within a notice, so votes are gathered in overlapping bands of offsets, each place of the notice
+once. Where a band gathers most of a notice's weight, the file is a candidate for it, and it is verified by the
 notice's mandatory phrases. Plain phrases are looked for besides.
 """
 
@@ -40,7 +41,17 @@ NOTICES = (
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial 4 0",)),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("free of charge", "without restriction", "the above copyright notice and this permission notice")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", ("for any purpose with or without fee", "this permission notice appear in all copies")),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("to endorse or promote products derived from this software",)),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.", ("the origin of this software must not be misrepresented", "must be plainly marked as such")),
+    ("boost-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so", ("any person or organization obtaining a copy of the software and accompanying documentation",)),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered software released into the public domain", "either in source code form or as a compiled binary")),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("required by applicable law or agreed to in writing", "governing permissions and limitations under the license")),
 )
+#: Words of a notice that are indexed, heaviest first; words by which offsets may drift within a notice at least, and as a share of it.
+INDEXED, LEAST_DRIFT, DRIFT = 12, 2, 0.25
 COMMON = frozenset("the of and in to a is this that it as or for by with at be are an any all on not from you may can under into above these such no if will".split())
 
 
@@ -49,7 +60,7 @@ def words_of(text: str) -> list[str]:
 
 
 def postings() -> list[tuple[str, int, int]]:
-    """(word, notice, position) of all indexed words."""
+    """(word, notice, position) of all words that can be indexed."""
     return [(w, n, p) for n, (_, text, _) in enumerate(NOTICES) for p, w in enumerate(words_of(text)) if w not in COMMON]
 
 
@@ -57,6 +68,24 @@ def vocabulary() -> list[str]:
     return sorted({w for w, _, _ in postings()} | {w for phrase, _ in PHRASES for w in phrase.split()})
 
 
+def rare_index(idf: dict[str, float], most: float) -> list[tuple[str, int, int, float]]:
+    """(word, notice, position, share of the notice's weight) of the heaviest words of each notice, all their places."""
+    out: list[tuple[str, int, int, float]] = []
+    by_notice: dict[int, list[tuple[str, int]]] = {}
+    for w, n, p in postings():
+        by_notice.setdefault(n, []).append((w, p))
+    for n, found in by_notice.items():
+        chosen = set(sorted({w for w, _ in found}, key=lambda w: (-idf.get(w, most), w))[:INDEXED])
+        held = [(w, p, idf.get(w, most)) for w, p in found if w in chosen]
+        whole = sum(weight for *_, weight in held)
+        out += [(w, n, p, weight / whole) for w, p, weight in held]
+    return out
+
+
+def drift(notice: int) -> int:
+    return max(LEAST_DRIFT, int(len(words_of(NOTICES[notice][1])) * DRIFT))
+
+
 def plain_places() -> Column:
     """(start, label) of every place of a phrase, found in the ``hits`` (i, w), which hold all words of phrases."""
     hit = lambda j: F.get(F.col("hits"), j)
@@ -97,38 +126,39 @@ def weights(scanned: DataFrame) -> dict[str, float]:
 
 
 def found_notices(scanned: DataFrame, share: float) -> DataFrame:
-    """(row, labels, share) of the rows in which a notice was found and verified."""
+    """(row, found, share): the labels of the notices that were found and verified in a row, and the largest share."""
     spark = scanned.sparkSession
     idf = weights(scanned)
-    most = math.log1p(scanned.count()) if idf else 1.0
-    index = [(w, n, p, idf.get(w, most)) for w, n, p in postings()]
-    whole: dict[int, float] = {}
-    for _, n, _, weight in index:
-        whole[n] = whole.get(n, 0.0) + weight
-    rows = [(w, n, NOTICES[n][0], p, weight / whole[n], list(NOTICES[n][2])) for w, n, p, weight in index]
-    table = spark.createDataFrame(rows, "w string, notice int, label string, p int, part double, needs array<string>")
-    hits = scanned.where(F.size("phrases") > 0).select("row", "phrases", F.explode("hits").alias("h")).select("row", "phrases", "h.i", "h.w")
-    votes = hits.join(F.broadcast(table), "w").where(F.size(F.array_except("needs", "phrases")) == 0)  # a fixed list: a few hundred rows
-    offsets = votes.groupBy("row", "label", "notice", (F.col("i") - F.col("p")).alias("offset")).agg(F.sum("part").alias("share")).where(F.col("share") >= share)
-    return offsets.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    rows = [(w, n, p, part, drift(n)) for w, n, p, part in rare_index(idf, math.log1p(scanned.count()) if idf else 1.0)]
+    index = spark.createDataFrame(rows, "w string, notice int, p int, part double, drift int")
+    notices = spark.createDataFrame([(n, label, list(needs)) for n, (label, _, needs) in enumerate(NOTICES)], "notice int, label string, needs array<string>")
+    rare = sorted({w for w, *_ in rows})
+    hits = scanned.select("row", F.explode(F.filter("hits", lambda h: h["w"].isin(rare))).alias("h")).select("row", "h.i", "h.w")
+    votes = hits.join(F.broadcast(index), "w")  # a fixed list: some hundred rows
+    bands = [F.struct(F.lit(k).alias("shift"), F.floor((F.col("i") - F.col("p") + k * F.col("drift")) / (2 * F.col("drift"))).alias("at")) for k in (0, 1)]
+    placed = votes.select("row", "notice", "p", "part", F.explode(F.array(*bands)).alias("band")).distinct()
+    near = placed.groupBy("row", "notice", "band").agg(F.sum("part").alias("share")).where(F.col("share") >= share - 1e-9).groupBy("row", "notice").agg(F.max("share").alias("share"))
+    candidates = near.join(F.broadcast(notices), "notice").join(scanned.select("row", "phrases"), "row")
+    verified = candidates.where(F.size(F.array_except("needs", F.coalesce("phrases", F.array().cast("array<string>")))) == 0)
+    return verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
 
 def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = 0.6) -> DataFrame:
     """One row per input row: the id; ``n_words``; ``n_base``, ``first_word``, ``last_word`` and ``base_labels``
     for the plain phrases (all places, smallest and largest start in words from 0); ``labels``, these and those
-    of the notices found; ``score``, the largest share of a notice's weight that one offset gathers, at least
-    0.5 where a plain phrase stands, else 0, rounded to 6 places.
+    of the notices found; ``score``, the largest share of a notice's indexed weight that a band of offsets gathers, at
+    least 0.5 where a plain phrase stands, else 0, rounded to 6 places.
 
     A null or empty text has no words (0, 0, null, null, empty labels, score 0). A text of any length is read
     whole. Repeated rows and equal ids are scanned on their own; an empty table gives an empty result; other
-    columns are not read. Texts are read once and are not shuffled; only the hits of rows with a mandatory
-    phrase are, by row.
+    columns are not read. Texts are read once and are not shuffled; only hits in the rare-word index are, by row.
     """
     scanned = written(read_words(df, id_column, text_column), "license-words")
     notices = found_notices(scanned, share)
-    near = scanned.where(F.size("phrases") > 0).join(notices, "row", "left")
     none = F.lit(None).cast("array<string>"), F.lit(None).cast("double")
-    rest = scanned.where(F.coalesce(F.size("phrases"), F.lit(-1)) <= 0).select(*scanned.columns, none[0].alias("found"), none[1].alias("share"))
+    no_phrase = F.coalesce(F.size("phrases"), F.lit(-1)) <= 0  # nothing can be verified there
+    near = scanned.where(~no_phrase).join(notices, "row", "left")
+    rest = scanned.where(no_phrase).select(*scanned.columns, none[0].alias("found"), none[1].alias("share"))
     both = near.select(*rest.columns).union(rest)
     base = F.array_distinct(F.transform("places", lambda x: x["label"]))
     return both.select(
@@ -146,7 +176,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sh
 def duckdb_sql(share: float = 0.6) -> str:
     """What :func:`scan` gives for the table ``documents``, in DuckDB's SQL."""
     quoted = lambda *x: "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in x) + ")"
-    index = ", ".join(quoted(w, n, NOTICES[n][0], p) for w, n, p in postings())
+    index = ", ".join(quoted(w, n, NOTICES[n][0], p, drift(n)) for w, n, p in postings())
     needs = ", ".join(quoted(n, f" {phrase} ") for n, (_, _, phrases) in enumerate(NOTICES) for phrase in phrases)
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
@@ -156,13 +186,16 @@ x AS (SELECT *, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM t WINDOW o AS
 places AS (SELECT r, i, CASE WHEN w = 'general' THEN 'gpl' ELSE w END AS label FROM x
   WHERE (w IN ('mit', 'apache') AND w1 = 'license') OR (w = 'general' AND w1 = 'public' AND w2 = 'license')),
 base AS (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, list(DISTINCT label) AS labels FROM places GROUP BY r),
-postings(w, notice, label, p) AS (VALUES {index}),
+postings(w, notice, label, p, drift) AS (VALUES {index}),
 needs(notice, phrase) AS (VALUES {needs}),
 df AS (SELECT w, count(DISTINCT r) AS n FROM t WHERE w IN (SELECT w FROM postings) GROUP BY w),
 weighed AS (SELECT p.*, ln(1 + (SELECT count(*) FROM d) / coalesce(df.n, 1)) AS weight FROM postings p LEFT JOIN df ON p.w = df.w),
-whole AS (SELECT notice, sum(weight) AS weight FROM weighed GROUP BY notice),
-votes AS (SELECT t.r, v.notice, v.label, t.i - v.p AS off, sum(v.weight) / any_value(whole.weight) AS share
-  FROM t JOIN weighed v ON t.w = v.w JOIN whole ON whole.notice = v.notice GROUP BY ALL HAVING share >= {share}),
+rare AS (SELECT * FROM weighed QUALIFY dense_rank() OVER (PARTITION BY notice ORDER BY weight DESC, w) <= {INDEXED}),
+whole AS (SELECT notice, sum(weight) AS weight FROM rare GROUP BY notice),
+placed AS (SELECT DISTINCT t.r, v.notice, v.label, v.p, v.weight, k AS shift, floor((t.i - v.p + k * v.drift) / (2 * v.drift)) AS band
+  FROM t JOIN rare v ON t.w = v.w, (VALUES (0), (1)) ks(k)),
+votes AS (SELECT r, placed.notice, label, shift, band, sum(placed.weight) / any_value(whole.weight) AS share
+  FROM placed JOIN whole ON whole.notice = placed.notice GROUP BY ALL HAVING share >= {share} - 1e-9),
 found AS (SELECT v.r, list(DISTINCT v.label) AS labels, max(v.share) AS share FROM votes v JOIN d ON d.r = v.r
   WHERE NOT EXISTS (SELECT 1 FROM needs WHERE needs.notice = v.notice AND NOT contains(' ' || array_to_string(d.w, ' ') || ' ', needs.phrase)) GROUP BY v.r)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.low AS first_word, base.high AS last_word,
