@@ -7,7 +7,9 @@ form, the forms are matched by equality, and every match is verified on the whol
 Fingerprints that share a form stand together in one sorted partition. There a walk over the group finds
 which of them are linked at 4 bits or less and gives the links of a spanning forest: the components are those
 of all links, while a group of many near copies gives no more links than it has members. Groups over a bound
-are first cut by a second index over the remaining bits, so that no task has to hold one of them.
+are cut first: of the bits that the key leaves open, dealt to five parts, two linked fingerprints have one part in
+common, and so on with the bits that are open then, until every group is small: fingerprints are distinct, so a
+group with r open bits has no more than 2 ** (r + 1) of them.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.llm.components import connected
-from signalspark.llm.shared import LOWER_TABLE, written
+from signalspark.llm.shared import LOWER_TABLE, free_names, written
 
 #: Bits that may differ, words in a shingle, seed of XXH64, and the cuts of the 64 bits.
 BITS, WORDS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
+#: Times that a large group is cut at most.
+CUTS = 6
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -54,7 +58,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *keep)
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *[F.col(f"`{c}`") for c in keep])
     return rows.mapInArrow(run, "id long, fp long" + "".join(f", `{c}` long" for c in keep))
 
 
@@ -117,21 +121,54 @@ def forests(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
         yield links(keys, fps)
 
 
+def open_masks(path: int) -> list[int]:
+    """The parts (as masks) of the bits that are open after a ``path`` of choices: the segment of the first key, then in
+    turn one of the parts that the open bits were dealt to. The path has a digit to the base 7 for each, from 1."""
+    digits = []
+    while path:
+        path, digit = divmod(path, 7)
+        digits.append(digit - 1)
+    low, high = SEGMENTS[digits.pop()]
+    rest = [i for i in range(64) if not low <= i < high]
+    parts = np.array_split(rest, BITS + 1)
+    while digits:
+        gone = set(parts[digits.pop()].tolist())
+        rest = [i for i in rest if i not in gone]
+        parts = np.array_split(rest, BITS + 1)
+    return [sum(1 << int(i) for i in part) for part in parts]
+
+
+def cut_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For k, path and fp: the five paths that go on from there, each with the bits of its part."""
+    for batch in batches:
+        k, path, fp = (batch.column(i).to_numpy() for i in range(3))
+        for own in np.unique(path).tolist():
+            at = np.flatnonzero(path == own)
+            for j, mask in enumerate(open_masks(own)):
+                bits = (fp[at].view(np.uint64) & np.uint64(mask)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(np.full(len(at), own * 7 + j + 1)), pa.array(bits), pa.array(fp[at])], names=["k", "path", "bits", "fp"])
+
+
 def linked(distinct: DataFrame, most: int = 20_000) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column ``fp`` whose components are those of all links
     at :data:`BITS` bits or less.
 
-    Keys with more than ``most`` fingerprints are cut further: under each such key the fingerprints are indexed
-    by their one-bit variants again (two that differ in 4 bits share one there too), joined with the first key,
-    until no group is over the bound or all three levels have been used."""
-    keyed, found = distinct.select(F.explode(variants(F.col("fp"))).alias("k"), "fp"), []
-    for bound in (most, most, None):
-        near = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(lambda x, bound=bound: forests(x, bound), "a long, b long")
+    Keys with more than ``most`` fingerprints are cut further (:func:`open_masks`), which gives five rows for each of
+    their fingerprints and smaller groups, until no group is over the bound. After :data:`CUTS` cuts at most 13 bits are
+    open and no group can be large any more."""
+    segment = F.lit(len(SEGMENTS))
+    for n in range(len(SEGMENTS) - 1, 0, -1):
+        segment = F.when(F.shiftright("k", 32) < SEGMENTS[n][0], n).otherwise(segment)
+    keyed, found = distinct.select(F.explode(variants(F.col("fp"))).alias("k"), "fp").select("k", segment.cast("long").alias("path"), "fp"), []
+    for cuts in range(CUTS + 1):
+        bound = most if cuts < CUTS else None
+        near = keyed.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(lambda x, bound=bound: forests(x, bound), "a long, b long")
         found.append(written(near, "near"))
         over = found[-1].where("b is null").select(F.col("a").alias("k"))
         if bound is None or over.isEmpty():
             break
-        keyed = keyed.join(over, "k").select(F.explode(variants(F.col("fp"))).alias("k2"), "k", "fp").select(F.xxhash64("k", "k2").alias("k"), "fp").distinct()
+        further = keyed.join(over, "k").select("k", "path", "fp").mapInArrow(cut_further, "k long, path long, bits long, fp long")
+        keyed = further.select(F.xxhash64("k", "path", "bits").alias("k"), "path", "fp")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -139,12 +176,12 @@ def linked(distinct: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def component_of(prints: DataFrame) -> DataFrame:
-    """``fp``, ``component_id`` of every fingerprint of ``prints`` (id, fp)."""
+    """``fp``, ``root`` (a fingerprint) and ``component_id`` of every fingerprint of ``prints`` (id, fp)."""
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = written(connected(linked(nodes.select("fp"))), "roots")
     grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(grouped.join(component, "root").select("fp", "component_id"), "component-of-fingerprint")
+    return written(grouped.join(component, "root").select("fp", "root", "component_id"), "component-of-fingerprint")
 
 
 def components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -164,11 +201,16 @@ def components(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def first_of_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``df``, with its columns, for each component: that with the smallest id; of rows equal in it
     the first by fingerprint, then any one. Rows with a null id come last, so one stays only where a component
-    has no other. The numbers of the rows to keep grow with the table, so they are never broadcast: rows and
-    numbers are sorted by number and merged, at any size."""
-    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    prints = written(fingerprints(numbered, id_column, text_column, keep=("__row",)), "fingerprints")
-    of = component_of(prints.select("id", "fp"))
-    least = prints.join(of, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "__row"))["__row"].alias("keep"))
-    kept = written(least.select("keep"), "kept").hint("merge")
-    return numbered.join(kept, F.col("__row") == F.col("keep"), "left_semi").drop("__row")
+    has no other; null and empty texts are one component; an empty table stays empty.
+
+    The numbers of the rows to drop are joined as Spark chooses from the size of their file: sent to all tasks while they are
+    few, so that no text moves, and merged by number beyond that."""
+    (row,) = free_names(df, "row")
+    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = written(fingerprints(numbered, id_column, text_column, keep=(row,)).withColumnRenamed(row, "at"), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "at")).alias("best"))
+    rooted = written(nodes.join(component_of(prints.select("id", "fp")), "fp"), "rooted")
+    first = rooted.groupBy("root").agg(F.min("best")["at"].alias("keep"))
+    keep = rooted.select("fp", "root").join(first, "root").select("fp", "keep")
+    gone = written(prints.join(keep, "fp").where("at <> keep").select(F.col("at").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*df.columns)

@@ -1,10 +1,10 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is cut only where the tokenizer's own pre-split must cut: in front of white space that follows another
-character. No pre-split piece holds white space behind other characters, and nothing in the pre-split looks
-further ahead than the white space itself, so the parts' lengths add up to the length of the whole. Each
-distinct part of a batch is encoded once; batches are filled up to a number of bytes, so that a few long texts
-do not make a batch large. A text with white space beyond the four ASCII ones is encoded in one piece.
+A text is cut only where the tokenizer's own pre-split must cut: in front of ASCII white space that follows a
+character which is no white space of any kind. No pre-split piece holds white space behind other characters, and
+nothing in the pre-split looks further ahead than the white space itself, so the parts' lengths add up to the length
+of the whole. Each distinct part of a batch is encoded once; batches are filled up to a number of bytes, so that a few
+long texts do not make a batch large.
 """
 
 from __future__ import annotations
@@ -26,9 +26,16 @@ OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    
 
 def parts_of(text: str) -> list[str]:
     """Parts whose token counts add up to that of the text."""
-    if not text:
-        return []
-    return [text] if OTHER_SPACE.search(text) else PARTS.findall(text)
+    parts = PARTS.findall(text)
+    if not OTHER_SPACE.search(text):
+        return parts
+    out: list[list[str]] = []
+    for part in parts:
+        if out and OTHER_SPACE.match(out[-1][-1][-1]):
+            out[-1].append(part)
+        else:
+            out.append([part])
+    return list(map("".join, out))
 
 
 def load_encoder(path: str):

@@ -64,6 +64,14 @@ def test_parts_add_up():
     assert counter.counts(texts) == token_counts.load_encoder(BPE)(texts)
 
 
+def test_texts_with_odd_spaces_are_cut_and_add_up():
+    encode, random = token_counts.load_encoder(BPE), np.random.default_rng(1)
+    pieces = ["a", "word", "12", "!?", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u2003", "\x1c", "\x85", "\u200b", "\ufeff", "'s", "é", "日本", "<|endoftext|>"]
+    texts = ["".join(random.choice(pieces, random.integers(1, 60))) for _ in range(2000)]
+    assert token_counts.Counter(BPE, True).counts(texts) == encode(texts)
+    assert len(token_counts.parts_of("one two\xa0three four five")) == 4
+
+
 def test_sentencepiece_counts_whole_texts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     want = token_counts.load_encoder(path)([t or "" for _, t, *_ in EDGES])
@@ -314,7 +322,7 @@ def test_components_of_edges(docs, none):
     assert kept.columns == docs.columns and rows(kept, "doc_id") == [(None,), (1,), (3,), (6,), (7,), (8,)]
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
+@pytest.mark.parametrize("most", [20_000, 14])
 def test_links_hold_all_components(spark, most):
     random = np.random.default_rng(3)
     prints = []
@@ -333,6 +341,36 @@ def test_links_hold_all_components(spark, most):
     assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4 for r in links.collect())
 
 
+def test_open_bits_are_dealt_until_groups_are_small():
+    for first in range(3):
+        low, high = simhash.SEGMENTS[first]
+        path, left = first + 1, 64 - (high - low)
+        for _ in range(simhash.CUTS):
+            masks = simhash.open_masks(path)
+            assert sum(m.bit_count() for m in masks) == left and not any(a & b for a in masks for b in masks if a is not b)
+            left -= min(m.bit_count() for m in masks)
+            path = path * 7 + len(masks)  # the last part is the smallest
+        assert 2 ** (left + 1) < 20_000
+
+
+def test_a_large_node_does_not_gather_its_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "LARGE", 10)
+    random = np.random.default_rng(3)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + int(a), 1000 + int(b)) for a, b in random.integers(0, 60, (50, 2))] + [(5000, i) for i in range(4000, 4300)]
+    found = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    assert found == {n: top(n) for link in links if link[0] != link[1] for n in link}
+
+
 def test_forest_of_a_chain():
     chain = np.array([0, 0b1111, 0b11111111, 0xFF << 40], np.uint64)
     a, b = simhash.forest(chain)
