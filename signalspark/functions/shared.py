@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +33,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/signalspark/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that :func:`written` used inside a :func:`scratch`.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what :func:`written` wrote inside it: for work whose result has been written elsewhere by then."""
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for folder in held:
+            _delete(spark, folder)
+
+
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Writes a table to the shared folder, partitioned ``by`` columns if given, and reads it again: cuts the lineage, and a
     lost executor costs no more than the tasks it ran, since the files are not its own."""
     path = new_folder(df.sparkSession, name)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,5 +71,4 @@ def drop_written(*tables: DataFrame) -> None:
         spark = df.sparkSession
         # a folder of a partition lies inside the table's
         for folder in {"/".join(x for x in f.rsplit("/", 1)[0].split("/") if "=" not in x) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
