@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from signalspark.llm.shared import free_names
+
 #: Fixed values of the method.
 UNKNOWN, PROFILE, LABELLED = "und", 400, 20_000
 #: Texts are laid out as code points in runs of up to so many characters.
@@ -133,7 +135,7 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[s
     profile is). A text that is null or has no letter, and any text if nothing was learned, gets ``und`` and 0.
     Equal distances go to the smaller language. Repeated rows stay repeated; an empty table gives an empty
     result; only ``keep`` and the text are read. There is no shuffle."""
-    kept = df.select(*keep, F.col(text).alias("__text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(free_names(df, "text_read")[0]))
     sent = df.sparkSession.sparkContext.broadcast(profiles)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1]) + f"`{names[0]}` string, `{names[1]}` double"
 

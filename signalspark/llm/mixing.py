@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from signalspark.llm.shared import written
+from signalspark.llm.shared import free_names, written
 
 #: Weights of the sources in turn, what they share of all sizes, how often a document may be taken.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 HASH_BITS, STEP = 60, 10
-#: Sources up to which the thresholds are broadcast.
-BROADCAST = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,24 +94,26 @@ def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text:
     A null text has size 0; a null source is a source, the last one; rows with equal ids (or, with null ids,
     equal texts) share a hash and so are taken alike; an empty table gives an empty result; other columns are
     not read. The text is read once; a hot source is summed in every task before the shuffle, and its rows are
-    not gathered. The thresholds are broadcast up to 10,000 sources and joined beyond.
+    not gathered. The thresholds, a row for each source, are joined as Spark chooses from the size of their file: sent to
+    all tasks while they are small, and by source beyond that.
     """
     sized = written(sizes(df, id_column, source, text), "sizes")
     cut = cuts(sized, weights, share, most)
-    both = sized.join(F.broadcast(cut) if cut.count() <= BROADCAST else cut, F.col("source").eqNullSafe(F.col("s")))
+    both = sized.join(cut, F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("size") * (F.col("base") + (F.col("h") < F.col("under")).cast("long"))
     return both.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def with_shares(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> DataFrame:
-    """The rows of ``df`` with all their columns and those of :func:`mix`; columns of the same names are
-    replaced. The thresholds come from a first pass over the texts, so these are not shuffled."""
+    """The rows of ``df`` with all their columns and those of :func:`mix`; own columns of these names are
+    replaced. Nulls, repeats and empty tables as there. The thresholds come from a first pass over the texts; these are
+    not shuffled while the thresholds are small enough to be sent to all tasks (some hundred thousand sources)."""
     cut = cuts(written(sizes(df, id_column, source, text), "sizes"), weights, share, most)
     own = df.drop("size", "source_size", "target", "taken")
     key = F.coalesce(F.col(id_column).cast("string"), F.col(text), F.lit(""))
-    inner = ("source_size", "target", "base", "under", "s")
-    side = cut.select(*[F.col(c).alias(f"__{c}") for c in inner])
-    measured = own.withColumn("__size", word_count(F.col(text))).withColumn("__h", hash_of(key))
-    both = measured.join(F.broadcast(side) if cut.count() <= BROADCAST else side, F.col(source).cast("string").eqNullSafe(F.col("__s")))
-    times = F.col("__base") + (F.col("__h") < F.col("__under")).cast("long")
-    return both.select(*own.columns, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * times).cast("long").alias("taken"))
+    size, h, s, total, target, base, under = free_names(df, "own_size", "own_hash", "cut_source", "cut_size", "cut_target", "cut_base", "cut_under")
+    side = cut.select(F.col("s").alias(s), F.col("source_size").alias(total), F.col("target").alias(target), F.col("base").alias(base), F.col("under").alias(under))
+    measured = own.withColumns({size: word_count(F.col(text)), h: hash_of(key)})
+    both = measured.join(side, F.col(source).cast("string").eqNullSafe(F.col(s)))
+    times = F.col(base) + (F.col(h) < F.col(under)).cast("long")
+    return both.select(*[F.col(f"`{c}`") for c in own.columns], F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(target).alias("target"), (F.col(size) * times).cast("long").alias("taken"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.functions.shared import drop_written, shared_folder, written
+from signalspark.functions.shared import drop_written, new_folder, scratch, shared_folder, written
 
-__all__ = ["LOWER_TABLE", "drop_written", "free_names", "lower_ascii", "shared_folder", "table", "written"]
+__all__ = ["LOWER_TABLE", "drop_written", "free_names", "lower_ascii", "new_folder", "scratch", "shared_folder", "table", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z in UTF-8 bytes and nothing else.

@@ -44,3 +44,43 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+#: Names that stages use inside, and those of their results.
+CLASHES = ("__lang", "__text", "__row", "__s", "__size", "row", "at", "fp", "root", "id", "key", "size", "taken", "target", "source_size", "own_size", "own_hash", "cut_source", "language_found", "text_read", "score", "words", "h")
+
+
+def test_stages_on_edges_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    text = docs.first()["text"]
+    long = " ".join(r["text"] or "" for r in docs.collect()) * 20
+    extra = [(None, text, "en", "s", 1), (None, None, None, None, None), (1, text, "en", None, 1), (1, text, "en", None, 1), (900, "", "en", "s", 0), (901, long, "en", "s", len(long)), (902, long, "en", "s", len(long))]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).withColumns({c: F.lit("mine") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        for c in CLASHES:
+            assert [r[c] for r in got.select(c).distinct().collect()] == ["mine"], (name, c)
+        n = {"language ID": docs.where("text IS NOT NULL AND text <> ''").count(), "secrets": docs.count(), "decontamination": None, "near-dedup": None}[name]
+        assert n is None or got.count() == n, name
+        if name == "near-dedup":
+            ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+            assert len(ids) == len(set(ids)) and not {901, 902} <= set(ids)
+    mixed = corpus_pipeline.mixed(spark, docs, SF)
+    assert {c for c in mixed.columns if c in CLASHES} == set(CLASHES) and dict(mixed.dtypes)["size"] == "bigint"
+    assert mixed.select("own_hash").distinct().collect()[0][0] == "mine" and mixed.where("taken NOT IN (size, 2 * size)").count() == 0
+
+
+def test_run_leaves_nothing_behind_but_its_result(spark, tmp_path):
+    from signalspark.functions import shared
+
+    old = getattr(shared.shared_folder, "local", None)
+    shared.shared_folder.local = f"file://{tmp_path}"
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        assert out.count() > 0
+        assert [p.name.split("-")[0] for p in (tmp_path / "signalspark").iterdir()] == ["mixing"]
+    finally:
+        shared.shared_folder.local = old
+        if old is None:
+            del shared.shared_folder.local
