@@ -71,16 +71,12 @@ def test_stages_on_edges_with_clashing_columns(spark):
     assert mixed.select("own_hash").distinct().collect()[0][0] == "mine" and mixed.where("taken NOT IN (size, 2 * size)").count() == 0
 
 
-def test_run_leaves_nothing_behind_but_its_result(spark, tmp_path):
-    from signalspark.functions import shared
-
-    old = getattr(shared.shared_folder, "local", None)
-    shared.shared_folder.local = f"file://{tmp_path}"
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        assert out.count() > 0
-        assert [p.name.split("-")[0] for p in (tmp_path / "signalspark").iterdir()] == ["mixing"]
-    finally:
-        shared.shared_folder.local = old
-        if old is None:
-            del shared.shared_folder.local
+def test_run_leaves_nothing_behind_but_its_result(spark):
+    import os
+
+    from signalspark.functions.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://") + "/signalspark"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["mixing"]
