@@ -6,8 +6,10 @@ of its score lies below the k-th best score known: first the product of the two
 first coordinates plus the product of the lengths of the rest (Cauchy-Schwarz). What is left is scored exactly
 on the integer components.
 
-Queries and candidates meet block by block, each pair of blocks in one task. The longest vectors are searched
-first; the scores found there start the pruning in all other blocks.
+Queries and candidates meet block by block, each pair of blocks in one task. Candidates are dealt by ranges of
+length and the longest are searched first; from the scores found there follows how long a candidate must be for each
+query. Queries are dealt by ranges of that need, so that pairs of ranges, and rows of them, that length alone rules
+out are dropped before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from signalspark.llm.shared import written
 SCALE, NEIGHBOURS = 256, 5
 #: Rows of a block of candidates and of queries, candidates scored at once, rows of the sample of the rotation.
 CANDIDATES, QUERIES, CHUNK, SAMPLE = 8192, 2048, 1024, 10_000
-#: Share of the candidates that is searched first.
+#: Most ranges of candidates' lengths and of queries' needs; fewer where a range would hold less than a block. A range of
+#: more rows than a block (equal lengths, say) is dealt to blocks by a hash of the id, so these bound nothing else.
+RANGES, NEEDS = 64, 32
+#: Share of the ranges that is searched first.
 HEAD = 1 / 8
 
 FOUND = "query_id long, vec_id long, score long"
@@ -106,13 +111,40 @@ def search_block(queries: pa.Table, candidates: pa.Table, turn: np.ndarray, k: i
     return held[0], held[1], held[2], scored
 
 
-def searched(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, k: int, n_queries: int, n_candidates: int) -> DataFrame:
+def cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """Values that cut ``column`` into so many ranges of about as many rows each; fewer where values are equal."""
+    return sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+
+
+def range_of(value: Column, at: list[float]) -> Column:
+    """Number of a value's range; 0 has the largest values."""
+    return F.size(F.filter(F.array(*map(F.lit, at)).cast("array<double>"), lambda x: x > value))
+
+
+def dealt(queries: DataFrame, candidates: DataFrame, n_queries: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``queries`` (id, v, d, length, need, least) and of ``candidates`` (id, v, d, length, range) by pair of blocks: one
+    for each pair that they take part in. A candidate shorter than the least need of a range of queries isn't sent
+    to it, nor is a query sent to candidates that are all shorter than it needs."""
+    asked = queries.withColumn("needs", range_of(F.col("need"), cuts(queries, "need", min(NEEDS, -(-n_queries // QUERIES)))))
+    blocks = lambda size: F.ceil(F.count("*") / size).cast("int")
+    q_ranges = asked.groupBy("d", "needs").agg(blocks(QUERIES).alias("q_blocks"), F.min("need").alias("least_need"))
+    c_ranges = candidates.groupBy("d", "range").agg(blocks(CANDIDATES).alias("c_blocks"), F.max("length").alias("longest"))
+    # at most RANGES * NEEDS rows for each dimension; being written, their size is known to Spark
+    pairs = written(q_ranges.join(c_ranges, "d").where("longest >= least_need"), "pairs-of-ranges")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = asked.join(pairs, ["d", "needs"]).where("longest >= need")
+    right = candidates.join(pairs, ["d", "range"]).where("length >= least_need")
+    return (
+        left.select(F.col("id").alias("query_id"), F.col("v").alias("query_v"), "least", "d", "needs", "range", own("q_blocks").alias("qb"), each("c_blocks").alias("cb")),
+        right.select("id", "v", "d", "needs", "range", each("q_blocks").alias("qb"), own("c_blocks").alias("cb")),
+    )
+
+
+def searched(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, k: int, n_queries: int) -> DataFrame:
     """Each pair of a block of queries and a block of candidates of one dimension in one task."""
     sent = queries.sparkSession.sparkContext.broadcast(turn)
-    q_blocks, c_blocks = -(-n_queries // QUERIES) or 1, -(-n_candidates // CANDIDATES) or 1
-    pick = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select(F.col("id").alias("query_id"), F.col("v").alias("query_v"), "least", F.size("v").alias("d"), pick(q_blocks).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    right = candidates.select("id", "v", F.size("v").alias("d"), pick(c_blocks).alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    left, right = dealt(queries, candidates, n_queries)
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         if not len(q) or not len(c):
@@ -120,7 +152,8 @@ def searched(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, k: int
         rows, ids, scores, _ = search_block(q, c, sent.value, k)
         return pa.table({"query_id": q.column("query_id").to_numpy()[rows], "vec_id": ids, "score": scores.astype(np.int64)})
 
-    return left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInArrow(run, FOUND)
+    by = ("d", "needs", "range", "qb", "cb")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, FOUND)
 
 
 def top_of(found: DataFrame, k: int) -> DataFrame:
@@ -138,22 +171,26 @@ def top_k(df: DataFrame, is_query: Column, id_column: str = "vec_id", vector_col
     query is asked once (its smallest vector). An empty table gives an empty result; other columns are not
     read. Scores are exact while they stay under 2**53.
 
-    Blocks are dealt by a hash of the id, so equal vectors, however many, spread evenly; the results of a query
-    that meet are k for each block.
+    Within a range of lengths blocks are dealt by a hash of the id, so equal vectors, however many, spread evenly; the
+    results of a query that meet are k for each block.
     """
     usable_rows = df.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
-    vectors = written(usable_rows.select(F.col(id_column).cast("long").alias("id"), integers(F.col(vector_column), scale).alias("v"), is_query.alias("q")), "vectors")
+    whole = usable_rows.select(F.col(id_column).cast("long").alias("id"), integers(F.col(vector_column), scale).alias("v"), is_query.alias("q"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    vectors = written(whole.withColumns({"d": F.size("v"), "length": length}), "vectors")
     turn = rotation(vectors)
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    measured = vectors.withColumn("squared", squared)
-    cut = (measured.approxQuantile("squared", [1 - HEAD], 0.01) or [0.0])[0]
-    asked = vectors.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = vectors.where("q").groupBy("id").agg(F.min_by(F.struct("v", "d", "length"), "v").alias("best")).select("id", "best.*")
     n, n_asked = vectors.count(), asked.count()
     if not n_asked:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    none = F.lit(None).cast("double").alias("least")
-    long, short = measured.where(F.col("squared") >= cut), measured.where(F.col("squared") < cut)
-    head = written(top_of(searched(asked.select("id", "v", none), long, turn, k, n_asked, long.count()), k), "head")
+    at = cuts(vectors, "length", min(RANGES, max(round(1 / HEAD), -(-n // CANDIDATES))))
+    ranged = vectors.select("id", "v", "d", "length", range_of(F.col("length"), at).alias("range"))
+    first = max(1, int((len(at) + 1) * HEAD))
+    open_ = asked.select("*", F.lit(0.0).alias("need"), F.lit(None).cast("double").alias("least"))
+    head = written(top_of(searched(open_, ranged.where(F.col("range") < first), turn, k, n_asked), k), "head")
     least = head.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
-    rest = searched(asked.join(least, "id", "left").select("id", "v", "least"), short, turn, k, n_asked, n)
+    # a shorter candidate's score is below the k-th known one: |q| |c| < least, less what rounding can be off
+    need = F.when((F.col("least") > 0) & (F.col("length") > 0), F.col("least") / F.col("length") * (1 - 1e-9)).otherwise(0.0)
+    known = written(asked.join(least, "id", "left").withColumn("need", need), "needs")
+    rest = searched(known, ranged.where(F.col("range") >= first), turn, k, n_asked)
     return top_of(head.select("query_id", "vec_id", "score").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -650,6 +650,33 @@ def test_top_k(spark, monkeypatch, chunk):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_shuffles_no_pairs_that_length_rules_out(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 20), ("QUERIES", 4)):
+        monkeypatch.setattr(topk_search, name, value)
+    kept, dealt = [], topk_search.dealt
+
+    def counted(queries, candidates, n):
+        left, right = dealt(queries, candidates, n)
+        blocks = -(-queries.count() // 4)
+        kept.append((left.count(), queries.count() * -(-candidates.count() // 20), right.count(), candidates.count() * blocks))
+        return left, right
+
+    monkeypatch.setattr(topk_search, "dealt", counted)
+    random = np.random.default_rng(4)
+    data = [(i, (random.normal(0, 1, 6) * 2.0 ** -(i % 40 / 4)).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = rows(topk_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score")
+    whole = np.array([np.floor(256 * np.array(v)) for _, v in data])
+    want = []
+    for q in range(0, 1000, 50):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(1000), -scores)) if i != q][:5]
+        want += [(q, k + 1, i, int(scores[i])) for k, i in enumerate(order)]
+    assert got == want
+    (_, _, first, of_first), (asked, of_asked, sent, of_sent) = kept
+    assert first <= of_first and asked < of_asked / 3 and sent < of_sent / 3, kept
+
+
 # Secrets.
 
 
