@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import chat_format, decontamination, language_id, license_scan, lm_scoring, mixing, secret_scan, simhash, token_counts, topk_search
+from signalspark.llm import chat_format, decontamination, fill_middle, language_id, license_scan, lm_scoring, mixing, secret_scan, simhash, token_counts, topk_search, whitening
 from signalspark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,13 +71,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op6_lm_scoring, op7_language_id, op8_mixing, op9_topk_search, op10_secret_scan)
-}
+    for f in (
+        op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op6_lm_scoring, op7_language_id, op8_mixing,
+        op9_topk_search, op10_secret_scan, op12_embedding_whitening, op13_fill_in_middle,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.duckdb_sql(),
+    "op13_fill_in_middle": fill_middle.duckdb_sql(),
     "op5_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
