@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.llm.shared import free_names
+from signalspark.llm.shingles import slices
 
 # The marks of prefix, suffix and middle; percent of plain texts, and of those cut that have the suffix first.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -94,16 +95,6 @@ def transform(texts: pa.Array, h: list[np.ndarray], plain: int = PLAIN, suffix_f
     return pa.array(n), form, pa.array(prefix.astype(np.int64), mask=uncut), pa.array(middle.astype(np.int64), mask=uncut), output.cast(pa.string())
 
 
-def slices(column: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have at most so many bytes together, or are one row."""
-    size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))])
-    at = 0
-    while at < len(column):
-        upto = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
-        yield at, upto
-        at = upto
-
-
 def fill_middle(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 1, plain: int = PLAIN, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
     """One row per input row: the id, ``n`` (tokens ``[A-Za-z]+|[^A-Za-z]``), ``form`` (plain, psm or spm), ``prefix_chars`` and
     ``middle_chars`` in code points (null where plain), and ``output``.
@@ -117,7 +108,7 @@ def fill_middle(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), BYTES):
                 own = batch.slice(low, high - low)
                 found = transform(own.column(1), [own.column(2 + i).to_numpy() for i in range(4)], plain, suffix_first)
                 yield pa.RecordBatch.from_arrays([own.column(0), *found], names=[id_column, *names])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import chat_format, decontamination, fill_middle, language_id, license_scan, lm_scoring, mixing, secret_scan, simhash, token_counts, topk_search, whitening
+from signalspark.llm import chat_format, decontamination, fill_middle, language_id, license_scan, lm_scoring, mixing, ngram_join, secret_scan, simhash, token_counts, topk_search, whitening
 from signalspark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -83,7 +87,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_benchmark_decontamination, op3_license_scan, op4_simhash_dedup, op5_chat_format, op6_lm_scoring, op7_language_id, op8_mixing,
-        op9_topk_search, op10_secret_scan, op12_embedding_whitening, op13_fill_in_middle,
+        op9_topk_search, op10_secret_scan, op11_ngram_jaccard_join, op12_embedding_whitening, op13_fill_in_middle,
     )
 }
 
