@@ -32,7 +32,7 @@ WORDS, PERCENT = 4, 85
 #: Bits of the number by which shingles are counted, and counters of a block of them.
 COUNTERS, BLOCK = 20, 12
 #: Sets with a shingle that give pairs; more are hot. Shingles of all sets that a block of a hot group holds.
-PAIRS, HOT = 32, 1 << 20
+PAIRS, HOT = 128, 1 << 20
 #: What a prefix may ask for, and the model that chooses: bytes of a row of the index, of a pair, of a shingle to verify, and
 #: the other texts to expect for a shingle that the counters don't tell from one of its own.
 LEAST = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
@@ -255,53 +255,49 @@ def sets_of(df: DataFrame, text_column: str, keys: DataFrame, words: int = WORDS
     return texts_to(df, text_column, make, "k long, numbers binary", words=words).dropDuplicates(["k"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                left, right = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(left) + len(right) - len(np.unique(np.concatenate([left, right])))
-                keep.append(bool(linked(common, len(left), len(right), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sets.select(F.col("k").alias(x), F.col("numbers").alias(f"of_{x}")) for x in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
-
-
-def hot_links(hot: DataFrame, sets: DataFrame, block: int = HOT, percent: int = PERCENT) -> DataFrame:
-    """Links between the sets that have a hot shingle (rows shingle, a, n) in common, with the components of all such links. A
-    shingle's sets are dealt to as many blocks as their size asks for, and the blocks meet two by two."""
+def requests_of(pairs: DataFrame, hot: DataFrame, block: int = HOT) -> DataFrame:
+    """Which set (k) is wanted in which group (shingle, i, j). For pairs (a, b) a group has the set a and those to compare it with, its
+    ``shingle`` being a and i and j -1. For hot shingles (rows shingle, a, n) a group has all sets of the shingle; they are
+    dealt to as many blocks as their size asks for, and two blocks, i and j, are a group."""
+    one = F.lit(-1)
+    centre = pairs.select("a").distinct().select(F.col("a").alias("k"), F.col("a").alias("shingle"), one.alias("i"), one.alias("j"))
+    others = pairs.select(F.col("b").alias("k"), F.col("a").alias("shingle"), one.alias("i"), one.alias("j"))
     blocks = hot.groupBy("shingle").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     dealt = hot.join(blocks, "shingle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select("a", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    whole = keyed.join(sets, F.col("a") == F.col("k")).select("group", "shingle", "i", "j", "a", "numbers")
+    return centre.union(others).union(dealt.select("a", "shingle", F.least("own", "other"), F.greatest("own", "other")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, held = None, [], []
 
-        def links() -> pa.RecordBatch:
-            found = np.array(forest(held, percent), np.int64).reshape(-1, 2)
-            k = np.array(names, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k[found[:, 0]]), pa.array(k[found[:, 1]])], names=["a", "b"])
+def links_in_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from the sets (group, shingle, i, j, later, k, numbers) in the order of their groups. In a group of pairs the first set
+    is compared with each other one as it comes; a group of a hot shingle is walked over as a whole."""
+    key, names, held, a, b = None, [], [], [], []
 
-        for batch in batches:
-            shingle, i, j, a = (batch.column(c).to_pylist() for c in range(1, 5))
-            for new, k, numbers in zip(zip(shingle, i, j, strict=True), a, batch.column(5), strict=True):
-                if new != key:
-                    if len(held) > 1:
-                        yield links()
-                    key, names, held = new, [], []
-                names.append(k)
-                held.append(np.frombuffer(numbers.as_py(), np.uint64))
-        if len(held) > 1:
-            yield links()
+    def walked() -> None:
+        for x, y in forest(held, percent) if len(held) > 1 else ():
+            a.append(names[x])
+            b.append(names[y])
 
-    grouped = whole.repartition("group").sortWithinPartitions("shingle", "i", "j", "a")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    for batch in batches:
+        shingle, i, j, _, k = (batch.column(c).to_pylist() for c in range(1, 6))
+        for new, name, numbers in zip(zip(shingle, i, j, strict=True), k, batch.column(6), strict=True):
+            own = np.frombuffer(numbers.as_py(), np.uint64)
+            if new != key:
+                walked()
+                key, names, held = new, [], []
+            if new[1] < 0 and held:
+                common = len(held[0]) + len(own) - len(np.unique(np.concatenate([held[0], own])))
+                if linked(common, len(held[0]), len(own), percent):
+                    a.append(names[0])
+                    b.append(name)
+                continue
+            names.append(name)
+            held.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear()
+        b.clear()
+    walked()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def links(df: DataFrame, text_column: str, counted: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = PAIRS, block: int = HOT) -> DataFrame:
@@ -312,9 +308,12 @@ def links(df: DataFrame, text_column: str, counted: DataFrame, words: int = WORD
     pairs = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("common"), F.max("least").alias("least")).where("common >= least")
     pairs = written(pairs.select("a", "b"), "pairs")
     hot = met.where("b IS NULL").select("shingle", "a", F.col("least").alias("n"))
-    keys = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(hot.select("a"))
-    sets = written(sets_of(df, text_column, keys, words), "sets")
-    return verified(pairs, sets, percent).union(hot_links(hot, sets, block, percent))
+    wanted = written(requests_of(pairs, hot, block), "wanted")
+    # both sides stand by k after one shuffle each
+    sent = sets_of(df, text_column, wanted, words).join(wanted, "k")
+    grouped = sent.select(F.xxhash64("shingle", "i", "j").alias("group"), "shingle", "i", "j", ((F.col("i") < 0) & (F.col("k") != F.col("shingle"))).alias("later"), "k", "numbers")
+    grouped = grouped.repartition("group").sortWithinPartitions("shingle", "i", "j", "later", "k")
+    return grouped.mapInArrow(lambda x: links_in_groups(x, percent), "a long, b long").distinct()
 
 
 def jaccard_join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT, most: int = PAIRS, block: int = HOT) -> DataFrame:

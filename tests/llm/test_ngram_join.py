@@ -95,7 +95,7 @@ def near_copies(rng, groups, members, size, edits, vocabulary=3000):
     return rows
 
 
-@pytest.mark.parametrize(("most", "block"), [(32, 1 << 20), (4, 1 << 20), (3, 2000)])
+@pytest.mark.parametrize(("most", "block"), [(128, 1 << 20), (4, 1 << 20), (3, 2000)])
 def test_groups_of_near_copies(spark, most, block):
     """Large groups whose sets meet as pairs, in one walk, and block by block; passages that many texts share."""
     rng = random.Random(5)
