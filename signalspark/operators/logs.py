@@ -79,5 +79,5 @@ def logs_with_prefix(t: SignalTables, prefix: str) -> DataFrame:
 
 def logs_with_spans(t: SignalTables) -> DataFrame:
     """Records with a trace context beside the span they belong to."""
-    spans = t.spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "Kind", "StatusCode")
+    spans = t.referred_spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "Kind", "StatusCode")
     return t.log_records.join(spans, ["TraceId", "SpanId"]).select("Id", "TraceId", "SpanId", "SpanName", "Kind", "StatusCode", "SeverityText", "BodyValue")

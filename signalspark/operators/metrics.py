@@ -176,7 +176,7 @@ def metric_series(t: SignalTables, name: str, start: Bound = None, end: Bound =
 
 def exemplars_with_spans(t: SignalTables) -> DataFrame:
     """Exemplars beside the span they were taken in."""
-    spans = t.spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "StatusCode")
+    spans = t.referred_spans.select("TraceId", "SpanId", F.col("Name").alias("SpanName"), "StatusCode")
     return t.exemplars.join(spans, ["TraceId", "SpanId"]).select("Id", "TraceId", "SpanId", "SpanName", "StatusCode", "ValueDouble", "ValueInt", "TimeUnixNano")
 
 

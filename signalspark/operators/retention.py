@@ -38,7 +38,7 @@ def _lost(ids: DataFrame, tables: dict[str, DataFrame], column: str) -> dict[str
 def _without(t: SignalTables, parent: str, gone: Column, column: str, children: tuple[str, ...]) -> SignalTables:
     ids = t.table(parent).where(gone).select("Id")
     left = t.with_tables(**{parent: survivors(t.table(parent), gone)}, **_lost(ids, {c: t.table(c) for c in children}, column))
-    left.removed = {parent: ("Id", ids)} | {c: (column, ids) for c in children}
+    left.removed = {c: (column, ids) for c in children} | {parent: ("Id", ids)}  # what refers to others goes first
     return left
 
 

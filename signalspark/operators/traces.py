@@ -113,8 +113,9 @@ def calls(t: SignalTables, start: Bound = None, end: Bound = None) -> DataFrame:
     """A row per call from one service to another: the child's kind, duration and status with both names. A
     span whose parent is missing, in the same service, or without a service name is no call. The range
     is that of the child's start."""
-    named = t.spans.join(t.services().where("ServiceName IS NOT NULL").select("ResourceId", "ServiceName"), "ResourceId")
-    parent = named.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("ServiceName").alias("ParentService"))
+    services = t.services().where("ServiceName IS NOT NULL").select("ResourceId", "ServiceName")
+    named = t.spans.join(services, "ResourceId")
+    parent = t.referred_spans.join(services, "ResourceId").select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("ServiceName").alias("ParentService"))
     child = named.where(F.col("ParentSpanId").isNotNull() & in_range(F.col("StartTimeUnixNano"), start, end)).select(
         "TraceId", "ParentSpanId", F.col("ServiceName").alias("ChildService"), F.col("Kind").alias("SpanKind"), (F.col("EndTimeUnixNano") - F.col("StartTimeUnixNano")).alias("Nano"), "StatusCode"
     )
@@ -178,5 +179,5 @@ def root_spans(t: SignalTables) -> DataFrame:
 def linked_spans(t: SignalTables) -> DataFrame:
     """Each link with the span it leads from and the one it leads to (null if that is not in the store)."""
     own = t.spans.select(F.col("Id").alias("SpanId"), F.col("TraceId"), F.col("Name").alias("FromName"))
-    other = t.spans.select(F.col("TraceId").alias("LinkedTraceId"), F.col("SpanId").alias("LinkedSpanId"), F.col("Name").alias("ToName"))
+    other = t.referred_spans.select(F.col("TraceId").alias("LinkedTraceId"), F.col("SpanId").alias("LinkedSpanId"), F.col("Name").alias("ToName"))
     return t.span_links.join(own, "SpanId").join(other, ["LinkedTraceId", "LinkedSpanId"], "left").select("Id", "TraceId", "FromName", "LinkedTraceId", "LinkedSpanId", "ToName")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,10 +29,12 @@ Stage = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Batch:
-    """Rows to append by table, and ``report`` (Signal, Accepted, Duplicate, Rejected): one row."""
+    """Rows to append by table; ``report`` (Signal, Accepted, Duplicate, Rejected, Unreadable), one row; ``quarantine`` (Signal, Key,
+    Request), the requests that can't be read. Unreadable counts requests, the others items (points for metrics)."""
 
     tables: dict[str, DataFrame]
     report: DataFrame
+    quarantine: DataFrame
 
 
 def as_it_is(df: DataFrame) -> DataFrame:
@@ -63,46 +65,74 @@ def _dimensions(df: DataFrame, known: SignalTables | None) -> dict[str, DataFram
     return {"resources": resources.withColumn("CreatedAt", now), "instrumentation_scopes": scopes.withColumn("CreatedAt", now)}
 
 
-def _report(signal: str, rows: DataFrame, weight: str = "1") -> DataFrame:
-    """Sums ``weight`` by what became of the rows."""
+_FATES = ("Accepted", "Duplicate", "Rejected", "Unreadable")
+
+
+def _sums(rows: DataFrame, weight: str) -> list[Column]:
+    """Sums of ``weight`` by what became of the rows; every row has one fate."""
     rejected = "Rejected IS NOT NULL" if "Rejected" in rows.columns else "false"
     again = "Duplicate" if "Duplicate" in rows.columns else "false"
-    fate = {"Rejected": rejected, "Duplicate": f"NOT ({rejected}) AND {again}", "Accepted": f"NOT ({rejected}) AND NOT {again}"}
-    sums = [F.coalesce(F.sum(F.expr(f"CASE WHEN {fate[n]} THEN {weight} ELSE 0 END")), F.lit(0)).cast("bigint").alias(n) for n in ("Accepted", "Duplicate", "Rejected")]
-    return rows.agg(*sums).select(F.lit(signal).alias("Signal"), "Accepted", "Duplicate", "Rejected")
+    read = "Unreadable IS NULL"
+    when = {"Accepted": f"{read} AND NOT ({rejected}) AND NOT {again}", "Duplicate": f"{read} AND NOT ({rejected}) AND {again}", "Rejected": f"{read} AND {rejected}"}
+    sums = [F.sum(F.expr(f"CASE WHEN {when[n]} THEN {weight} ELSE 0 END")) for n in _FATES[:3]]
+    return [F.coalesce(s, F.lit(0)).cast("bigint").alias(n) for s, n in zip([*sums, F.count("Unreadable")], _FATES, strict=True)]
+
+
+def counted(signal: str, rows: DataFrame, stage: Stage, weight: str = "1") -> tuple[DataFrame, DataFrame]:
+    """The rows, staged, and their report. Where they are written, they are counted on the way (an observation), so the report
+    is no further job; without a stage it is an aggregate of its own."""
+    if stage is as_it_is:
+        return rows, rows.agg(*_sums(rows, weight)).select(F.lit(signal).alias("Signal"), *_FATES)
+    seen = Observation()
+    done = stage(rows.observe(seen, *_sums(rows, weight)))
+    return done, rows.sparkSession.createDataFrame([(signal, *(seen.get[n] for n in _FATES))], "Signal string, " + ", ".join(f"{n} long" for n in _FATES))
+
+
+def _quarantine(signal: str, rows: DataFrame) -> DataFrame:
+    return rows.where("Unreadable IS NOT NULL").select(F.lit(signal).alias("Signal"), "Key", F.col("Unreadable").alias("Request"))
 
 
 _OF_RESOURCE = ("ResourceSchemaUrl", "ResourceAttributesJson")
 _OF_SCOPE = ("ScopeName", "ScopeVersion", "ScopeSchemaUrl", "ScopeAttributesJson")
 
 
-def with_trace_defaults(spans: DataFrame) -> DataFrame:
+def with_trace_defaults(spans: DataFrame, stage: Stage = as_it_is) -> DataFrame:
     """A span whose request gives it no resource or no scope has those of the first span of its trace in that request
-    (which may lack them too, and then are the unknown ones)."""
+    (which may lack them too, and then are the unknown ones). The traces concerned are staged by themselves, so that where they
+    are few, or none, the spans stay where they are."""
     lacking = spans.where("ResourceMissing OR ScopeMissing").select("Key", "TraceId").distinct()
-    first = spans.join(lacking, ["Key", "TraceId"], "left_semi").groupBy("Key", "TraceId").agg(F.min_by(F.struct(*_OF_RESOURCE, *_OF_SCOPE), "At").alias("__first"))
+    named = spans.select("Key", "TraceId", "At", *_OF_RESOURCE, *_OF_SCOPE)
+    first = stage(named.join(lacking, ["Key", "TraceId"], "left_semi").groupBy("Key", "TraceId").agg(F.min_by(F.struct(*_OF_RESOURCE, *_OF_SCOPE), "At").alias("__first")))
     joined = spans.join(first, ["Key", "TraceId"], "left")
     filled = {c: F.when(F.col(missing) & F.col("__first").isNotNull(), F.col(f"__first.{c}")).otherwise(F.col(c)) for missing, group in (("ResourceMissing", _OF_RESOURCE), ("ScopeMissing", _OF_SCOPE)) for c in group}
     return with_scope_hash(with_resource_hash(joined.withColumns(filled).drop("__first")))
 
 
-def told_apart(spans: DataFrame, known: DataFrame | None) -> DataFrame:
+def told_apart(spans: DataFrame, known: DataFrame | None, stage: Stage = as_it_is) -> DataFrame:
     """Spans with ``Duplicate``: all but the first of those with the same trace and span id, and those that ``known``
-    (TraceId, SpanId) has. Only the batch's ids are looked up there."""
+    (TraceId, SpanId) has. Only the ids are shuffled to find them; then the spans that come twice meet, and no others. Only the
+    batch's ids are looked up in ``known``."""
     pair = ["TraceId", "SpanId"]
+    ids = spans.where("Rejected IS NULL").select(*pair)
+    odd = ids.groupBy(*pair).agg((F.count("*") > 1).alias("__twice")).where("__twice")
+    if known is not None:
+        there = known.select(*pair).join(ids.distinct(), pair, "left_semi").distinct().withColumn("__there", F.lit(True))
+        odd = odd.join(there, pair, "full")
+    else:
+        odd = odd.withColumn("__there", F.lit(False))
+    flagged = spans.join(stage(odd), pair, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("__twice", "__there")})
     order = Window.partitionBy(*pair).orderBy("Key", "At")
-    ranked = spans.withColumn("Duplicate", F.col("Rejected").isNull() & (F.row_number().over(order) > 1))
-    if known is None:
-        return ranked
-    there = known.select(*pair).join(spans.where("Rejected IS NULL").select(*pair).distinct(), pair, "left_semi").distinct()
-    return ranked.join(there.withColumn("__there", F.lit(True)), pair, "left").withColumn("Duplicate", F.col("Duplicate") | F.coalesce("__there", F.lit(False))).drop("__there")
+    once = flagged.where("NOT __twice").withColumn("Duplicate", F.col("__there") & F.col("Rejected").isNull())
+    twice = flagged.where("__twice").withColumn("Duplicate", F.col("__there") | (F.row_number().over(order) > 1))
+    return once.union(twice).drop("__twice", "__there")
 
 
 def ingest_traces(requests: DataFrame, known: SignalTables | None = None, strict: bool = False, stage: Stage = as_it_is, export: str = "") -> Batch:
     """Spans with their events and links. Spans with a bad id are rejected and the rest stored. A span that is
     there already, in the batch or in the store, is left out and counted; with ``strict`` it is an error."""
-    parsed = stage(otlp.spans(keyed(requests, export)))
-    every = stage(_ids(told_apart(with_trace_defaults(parsed), known and known.spans)).withColumn("Id", id_of(F.col("TraceId"), F.col("SpanId"))))
+    parsed = stage(otlp.spans(keyed(requests, export), unreadable=True))
+    spans = _ids(told_apart(with_trace_defaults(parsed, stage), known and known.spans, stage)).withColumn("Id", id_of(F.col("TraceId"), F.col("SpanId")))
+    every, report = counted("traces", spans, stage)
     good = every.where("Rejected IS NULL")
     if strict and (twice := good.where("Duplicate").limit(1).collect()):
         raise ValueError(f"span {twice[0]['SpanId']} of trace {twice[0]['TraceId']} is there already")
@@ -112,19 +142,23 @@ def ingest_traces(requests: DataFrame, known: SignalTables | None = None, strict
         rows = fresh.select(F.col("Id").alias("SpanId"), F.col("StartTimeUnixNano").alias("ParentTime"), F.posexplode(name).alias("Place", "e"))
         return rows.select(id_of(F.col("SpanId"), F.col("Place")).alias("Id"), "SpanId", "ParentTime", "e.*")
 
-    return Batch(_dimensions(good, known) | {"span_events": children("Events"), "span_links": children("Links"), "spans": fresh}, _report("traces", every))
+    tables = _dimensions(good, known) | {"span_events": children("Events"), "span_links": children("Links"), "spans": fresh}
+    return Batch(tables, report, _quarantine("traces", every))
 
 
 def ingest_logs(requests: DataFrame, known: SignalTables | None = None, stage: Stage = as_it_is, export: str = "") -> Batch:
     """Log records, every one a row."""
-    every = stage(_ids(otlp.log_records(keyed(requests, export))).withColumn("Id", id_of(*map(F.col, _PLACE))))
-    return Batch(_dimensions(every, known) | {"log_records": every}, _report("logs", every))
+    records = _ids(otlp.log_records(keyed(requests, export), unreadable=True)).withColumn("Id", id_of(*map(F.col, _PLACE)))
+    every, report = counted("logs", records, stage)
+    good = every.where("Unreadable IS NULL")
+    return Batch(_dimensions(good, known) | {"log_records": good}, report, _quarantine("logs", every))
 
 
 def ingest_metrics(requests: DataFrame, export: str = "", known: SignalTables | None = None, stage: Stage = as_it_is) -> Batch:
     """Metrics, points and exemplars. Every export stores its metrics anew; ``export`` names it where the requests have no
     keys. The report counts points."""
-    every = stage(_ids(otlp.metrics(keyed(requests, export))).withColumn("MetricId", id_of(*map(F.col, _PLACE))))
+    found = _ids(otlp.metrics(keyed(requests, export), unreadable=True)).withColumn("MetricId", id_of(*map(F.col, _PLACE)))
+    every, report = counted("metrics", found, stage, "greatest(Points, 1)")
     good = every.where("Rejected IS NULL")
     tables = _dimensions(good, known) | {"metrics": good.withColumn("Id", F.col("MetricId"))}
     exemplars = []
@@ -135,7 +169,7 @@ def ingest_metrics(requests: DataFrame, export: str = "", known: SignalTables |
             exemplars.append(rows.where("Exemplar IS NOT NULL").select(F.col("ExemplarId").alias("Id"), "Exemplar.*"))
         tables[table] = rows
     tables["exemplars"] = reduce(DataFrame.union, exemplars)
-    return Batch(tables, _report("metrics", every, "greatest(Points, 1)"))
+    return Batch(tables, report, _quarantine("metrics", every))
 
 
 INGEST = {"traces": ingest_traces, "logs": ingest_logs, "metrics": ingest_metrics}

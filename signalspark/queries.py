@@ -347,8 +347,8 @@ def _(t: SignalTables) -> DataFrame:
     return metrics.histogram_quantile(t, "app.purchase", 0.5, START, END).select("Timestamp", F.round("Value", 6).alias("Value"))
 
 
-def all_violations_sql() -> str:
-    """Every rule written out here again, so that one the operator drops shows."""
+def all_violations_sql(spans: str = "spans") -> str:
+    """Every rule written out here again, so that one the operator drops shows. ``spans`` is what stands for the spans."""
     unique = {"resources": "Id", "instrumentation_scopes": "Id", "metrics": "Id", "log_records": "Id", "exemplars": "Id", "spans": "TraceId, SpanId"}
     points = ("gauge_data_points", "sum_data_points", "histogram_data_points", "exponential_histogram_data_points", "summary_data_points")
     references = [
@@ -361,17 +361,23 @@ def all_violations_sql() -> str:
         ("metrics", "Type", "'GAUGE', 'SUM', 'HISTOGRAM', 'EXPONENTIAL_HISTOGRAM', 'SUMMARY'"), *((x, *temporality) for x in points[1:4]),
         ("log_records", "BodyType", "'STRING', 'BOOL', 'INT', 'DOUBLE', 'BYTES', 'ARRAY', 'KVLIST'"),
     ]
-    parts = [f"SELECT '{t}' TableName, 'unique {c}' Rule, count(*) Violations FROM (SELECT 1 FROM {t} GROUP BY {c} HAVING count(*) > 1)" for t, c in unique.items()]
-    parts += [f"SELECT '{t}', '{c} in {parent}', count(*) FROM {t} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.Id = x.{c})" for t, c, parent in references]
-    return " UNION ALL ".join(parts + [f"SELECT '{t}', 'values of {c}', count(*) FROM {t} WHERE {c} NOT IN ({v})" for t, c, v in values])
+    of = {"spans": spans}
+    parts = [f"SELECT '{t}' TableName, 'unique {c}' Rule, count(*) Violations FROM (SELECT 1 FROM {of.get(t, t)} GROUP BY {c} HAVING count(*) > 1)" for t, c in unique.items()]
+    parts += [f"SELECT '{t}', '{c} in {parent}', count(*) FROM {of.get(t, t)} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {of.get(parent, parent)} p WHERE p.Id = x.{c})" for t, c, parent in references]
+    return " UNION ALL ".join(parts + [f"SELECT '{t}', 'values of {c}', count(*) FROM {of.get(t, t)} WHERE {c} NOT IN ({v})" for t, c, v in values])
 
 
-@query("constraint_violations", all_violations_sql())
 @query("all_constraint_violations", all_violations_sql())
 def _(t: SignalTables) -> DataFrame:
     return constraints.violations(t)
 
 
+@query("constraint_violations", all_violations_sql("(SELECT * FROM spans WHERE Id % 10 > 0)"))
+def _(t: SignalTables) -> DataFrame:
+    """The rules over tables that lack every tenth span, whose events and links are orphans."""
+    return constraints.violations(t.with_tables(spans=t.spans.where("Id % 10 > 0")))
+
+
 # Deletes: what is left.
 
 
@@ -576,14 +582,30 @@ ORACLES["ingest_events_links"] = f"""SELECT event_type SpanName, concat('first '
   UNION ALL SELECT event_type, null, null, md5(cast(event_id AS varchar)), substr(md5(event_type), 1, 16), CASE WHEN event_id % 2 = 0 THEN 'on' ELSE 'unknown' END FROM {FIRSTS}"""
 
 
+def broken_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full requests, and for every 50th event one that can't be read: cut off, null, a list, or with a text for a list."""
+    events_ = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 = 0")
+    odd = """CASE event_id div 50 % 4 WHEN 0 THEN '{"resourceSpans":[{"scopeSpans"' WHEN 1 THEN NULL WHEN 2 THEN '[1]' ELSE '{"resourceSpans":"none"}' END"""
+    return full_requests(spark, sf_dir).union(events_.select(F.concat(F.lit("odd"), "event_id").alias("Key"), F.expr(odd).alias("value")))
+
+
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalspark.plans.ingest import ingest_traces
 
-    return ingest_traces(full_requests(spark, sf_dir)).report
+    return ingest_traces(broken_requests(spark, sf_dir)).report
+
+
+def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.plans.ingest import ingest_traces
+
+    return ingest_traces(broken_requests(spark, sf_dir)).quarantine
 
 
 QUERIES["ingest_report"] = ingest_report
-ORACLES["ingest_report"] = f"SELECT 'traces' AS Signal, (SELECT count(*) FROM {FIRSTS}) Accepted, count(*) - (SELECT count(*) FROM {FIRSTS}) - count(CASE WHEN event_id % 97 = 0 THEN 1 END) Duplicate, count(CASE WHEN event_id % 97 = 0 THEN 1 END) Rejected FROM events"
+ORACLES["ingest_report"] = f"SELECT 'traces' AS Signal, (SELECT count(*) FROM {FIRSTS}) Accepted, count(*) - (SELECT count(*) FROM {FIRSTS}) - count(CASE WHEN event_id % 97 = 0 THEN 1 END) Duplicate, count(CASE WHEN event_id % 97 = 0 THEN 1 END) Rejected, count(CASE WHEN event_id % 50 = 0 THEN 1 END) Unreadable FROM events"
+QUERIES["ingest_quarantine"] = ingest_quarantine
+ORACLES["ingest_quarantine"] = """SELECT 'traces' AS Signal, concat('odd', event_id) AS "Key", CASE event_id // 50 % 4 WHEN 0 THEN '{"resourceSpans":[{"scopeSpans"' WHEN 1 THEN '' WHEN 2 THEN '[1]' ELSE '{"resourceSpans":"none"}' END Request
+  FROM events WHERE event_id % 50 = 0"""
 
 
 def twice(df: DataFrame) -> DataFrame:
@@ -678,10 +700,10 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = Store(spark, new_folder(spark, "store"))
     for name in ("first", "again"):
-        store.append(ingest_traces(full_requests(spark, sf_dir), store.read(), stage=store.staged), name)
+        with store.staging() as stage:
+            store.append(ingest_traces(full_requests(spark, sf_dir), store.read(), stage=stage), name)
     store.delete(retention.delete_traces_by_time_range(store.read(), START, END))
     store.compact("span_events")
-    store.clear()
     t = store.read()
     rows = [t.table(name).agg(F.count("*").alias("n"), F.countDistinct("Id").alias("ids")).select(F.lit(name).alias("TableName"), "n", "ids") for name in ("spans", "span_events", "span_links", "resources", "instrumentation_scopes")]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).union(rows[4])
@@ -694,6 +716,75 @@ ORACLES["stored_spans"] = f"""SELECT 'spans' TableName, count(*) n, count(*) ids
   UNION ALL SELECT 'resources', cast(1 AS bigint), cast(1 AS bigint) UNION ALL SELECT 'instrumentation_scopes', cast(1 AS bigint), cast(1 AS bigint)"""
 
 
+def derived_store(spark: SparkSession, sf_dir: str, *names: str):
+    """A store of the derived tables, in two batches that don't see each other: both write all resources and scopes."""
+    from signalspark.functions.shared import new_folder
+    from signalspark.sources.store import Store
+
+    store, t = Store(spark, new_folder(spark, "store")), signal_tables(spark, sf_dir)
+    of_parent = t.spans.select(F.col("Id").alias("SpanId"), F.col("StartTimeUnixNano").alias("ParentTime"))
+    for part in (0, 1):
+        rows = {name: t.table(name).where(F.col("Id") % 2 == part) for name in names}
+        rows |= {name: df.join(of_parent, "SpanId") for name, df in rows.items() if name in ("span_events", "span_links")}
+        store.append(rows | {name: t.table(name) for name in ("resources", "instrumentation_scopes")}, f"half-{part}")
+    return store
+
+
+def stored_logs_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range read from the store has every log of it, whenever that was observed, once."""
+    t = derived_store(spark, sf_dir, "log_records").read(START, END)
+    return logs.logs_by_time_range(t, START, END).select(*LOG)
+
+
+QUERIES["stored_logs_by_range"] = stored_logs_by_range
+ORACLES["stored_logs_by_range"] = events.duckdb_sql(f"{LOGS} WHERE TimeUnixNano BETWEEN {START} AND {END}")
+
+
+#: An hour, so that calls come from before the range.
+HOUR_START, HOUR_END = START + 12 * 3600 * 10**9, START + 13 * 3600 * 10**9
+
+
+def stored_calls_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range read from the store has the calls of its spans, though the callers started before it."""
+    return traces.service_dependencies(derived_store(spark, sf_dir, "spans").read(HOUR_START, HOUR_END))
+
+
+QUERIES["stored_calls_by_range"] = stored_calls_by_range
+ORACLES["stored_calls_by_range"] = events.duckdb_sql(f"{CALLS} AND c.StartTimeUnixNano BETWEEN {HOUR_START} AND {HOUR_END} GROUP BY ALL")
+
+
+def stored_unseen_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests that see neither each other nor the store: each log has one resource and one scope all the same."""
+    from signalspark.functions.shared import new_folder
+    from signalspark.plans.ingest import ingest_logs
+    from signalspark.sources.store import Store
+
+    store = Store(spark, new_folder(spark, "store"))
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(LOG_REQUEST).alias("value"))
+    for part in (0, 1):
+        with store.staging() as stage:
+            store.append(ingest_logs(requests.where(F.col("event_id") % 2 == part).select("value"), stage=stage, export=str(part)), str(part))
+    t = store.read()
+    joined = logs.logs_by_severity(t, 0).groupBy("ServiceName", "ScopeName").agg(F.count("*").alias("n"), F.countDistinct("Id").alias("ids"))
+    return joined.withColumns({"resources": t.resources.agg(F.count("*")).scalar(), "scopes": t.instrumentation_scopes.agg(F.count("*")).scalar()})
+
+
+QUERIES["stored_unseen_ingests"] = stored_unseen_ingests
+ORACLES["stored_unseen_ingests"] = """SELECT concat('svc_', event_type) ServiceName, 'lib' ScopeName, count(*) n, count(*) ids, (SELECT count(DISTINCT event_type) FROM events) resources, cast(1 AS bigint) scopes
+  FROM events WHERE event_id % 25 > 0 GROUP BY event_type"""
+
+
+def expired_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and links that are left when the store has dropped the days before a time and rewritten the day of it."""
+    store = derived_store(spark, sf_dir, "spans", "span_events", "span_links")
+    store.expire_spans(datetime.fromtimestamp(HOUR_START // 10**9, UTC) + timedelta(days=30))
+    return left(store.read())
+
+
+QUERIES["expired_spans"] = expired_spans
+ORACLES["expired_spans"] = events.duckdb_sql(left_sql(f"StartTimeUnixNano < {HOUR_START}"))
+
+
 def view_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detailed service map by its view's name."""
     views.register(spark, signal_tables(spark, sf_dir))
@@ -702,3 +793,6 @@ def view_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["view_by_sql"] = view_by_sql
 ORACLES["view_by_sql"] = events.duckdb_sql(f"SELECT ParentService, ChildService, CallCount, ErrorCount FROM ({CALLS} GROUP BY ALL) WHERE SpanKind = 'SERVER'")
+
+
+from signalspark import queries_series  # noqa: E402, F401  registers its queries here

@@ -56,5 +56,8 @@ POINT_TABLES = {
     "EXPONENTIAL_HISTOGRAM": "exponential_histogram_data_points", "SUMMARY": "summary_data_points",
 }
 
-#: Tables that are stored by the day of a time column.
-DAYS = {"spans": "StartTimeUnixNano", "log_records": "ObservedTimeUnixNano"} | {t: "TimeUnixNano" for t in POINT_TABLES.values()}
+#: Tables that are stored by the day of a time, and their times: the first that isn't null counts.
+DAYS = {"spans": ("StartTimeUnixNano",), "log_records": ("TimeUnixNano", "ObservedTimeUnixNano")} | {t: ("TimeUnixNano",) for t in POINT_TABLES.values()}
+
+#: Tables whose ids are hashes of what their rows say.
+DIMENSIONS = ("resources", "instrumentation_scopes")

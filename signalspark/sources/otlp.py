@@ -51,7 +51,9 @@ SIGNALS = {
 }
 
 
-_NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+#: What JSON takes for a number.
+NUMBER = r"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?"
+_NUMBER, _WHOLE = re.compile(NUMBER), re.compile(r"-?\d+")
 #: Body type of each member of the value union.
 _BODIES = (("stringValue", "STRING"), ("boolValue", "BOOL"), ("intValue", "INT"), ("doubleValue", "DOUBLE"), ("bytesValue", "BYTES"), ("arrayValue", "ARRAY"), ("kvlistValue", "KVLIST"))
 
@@ -69,7 +71,9 @@ def plain_value(value: object) -> str | None:
             return plain_list(member, x)
         if member == "boolValue":
             return str(x).lower()
-        return str(x) if member in ("intValue", "doubleValue") and _NUMBER.match(str(x)) else json.dumps(str(x), ensure_ascii=False)
+        if member == "intValue" and _WHOLE.fullmatch(str(x)):
+            return str(int(x))
+        return str(x) if member == "doubleValue" and _NUMBER.fullmatch(str(x)) else json.dumps(str(x), ensure_ascii=False)
     return None
 
 
@@ -124,11 +128,12 @@ def present(value: Column) -> Column:
 
 
 def rendered(value: Column) -> Column:
-    """An attribute value (a :data:`_VALUE`) as plain JSON; null if it holds nothing. What should be a number and
-    isn't (such as NaN) is a string."""
+    """An attribute value (a :data:`_VALUE`) as plain JSON; null if it holds nothing. Whole numbers lose leading zeros; what
+    should be a number and isn't one in JSON (such as NaN) is a string."""
     quoted = lambda x: F.when(x.isNotNull(), json_string(x))
-    number = lambda x: F.when(x.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), x).otherwise(quoted(x))
-    return F.coalesce(quoted(value["stringValue"]), F.lower(value["boolValue"]), number(value["intValue"]), number(value["doubleValue"]), quoted(value["bytesValue"]), value["arrayValue"], value["kvlistValue"])
+    whole = lambda x: F.when(x.rlike(r"^-?\d+$"), F.regexp_replace(F.regexp_replace(x, r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")).otherwise(quoted(x))
+    number = lambda x: F.when(x.rlike(f"^{NUMBER}$"), x).otherwise(quoted(x))
+    return F.coalesce(quoted(value["stringValue"]), F.lower(value["boolValue"]), whole(value["intValue"]), number(value["doubleValue"]), quoted(value["bytesValue"]), value["arrayValue"], value["kvlistValue"])
 
 
 def bound(value: Column, body) -> Column:
@@ -171,15 +176,24 @@ def positive(value: Column) -> Column:
     return F.nullif(long(value), F.lit(0).cast("bigint"))
 
 
-def unnested(requests: DataFrame, signal: str) -> DataFrame:
+def unnested(requests: DataFrame, signal: str, unreadable: bool = False) -> DataFrame:
     """One row per item (column ``x``) with its place in the request (``At``), the hashes and contents of its
     resource and scope, and whether the request gives none (``ResourceMissing``, ``ScopeMissing``). ``requests``
-    has the JSON text in ``value``; its other columns are kept. A text that isn't JSON has no items."""
+    has the JSON text in ``value``; its other columns are kept. A text that isn't JSON, or is null, has no items; with ``unreadable``
+    it gives one row all the same, with ``Unreadable`` (null in the others): the text, or nothing for a null one."""
     outer, inner, items, schema = SIGNALS[signal]
-    parsed = F.from_json("value", f"struct<{outer}:array<struct<{_RESOURCE},{inner}:array<struct<{_SCOPE},{items}:array<struct<{schema}>>>>>>>")
+    shape = f"struct<{outer}:array<struct<{_RESOURCE},{inner}:array<struct<{_SCOPE},{items}:array<struct<{schema}>>>>>>,__bad:string>"
     kept = [c for c in requests.columns if c != "value"]
-    a = plain_lists(requests).select(*kept, F.posexplode(parsed[outer]).alias("ri", "r"))
-    b = a.select(*kept, "ri", F.col("r.resource").alias("res"), F.col("r.schemaUrl").alias("ResourceSchemaUrl"), F.posexplode(f"r.{inner}").alias("si", "s"))
+    read = plain_lists(requests).select(*kept, "value", F.from_json("value", shape, {"columnNameOfCorruptRecord": "__bad"}).alias("p"))
+    explode = F.posexplode
+    if unreadable:
+        # what can be read in part has items and is no bad request
+        bad = F.col("value").isNull() | F.col("p").isNull() | (F.col("p.__bad").isNotNull() & F.col(f"p.{outer}").isNull())
+        read, explode = read.withColumn("Unreadable", F.when(bad, F.coalesce("value", F.lit("")))), F.posexplode_outer
+        kept.append("Unreadable")
+    some = lambda df, c: df.where(F.col(c).isNotNull() | F.col("Unreadable").isNotNull()) if unreadable else df
+    a = some(read.select(*kept, explode(f"p.{outer}").alias("ri", "r")), "r")
+    b = some(a.select(*kept, "ri", F.col("r.resource").alias("res"), F.col("r.schemaUrl").alias("ResourceSchemaUrl"), explode(f"r.{inner}").alias("si", "s")), "s")
     c = b.select(
         *kept,
         F.col("res").isNull().alias("ResourceMissing"),
@@ -192,20 +206,20 @@ def unnested(requests: DataFrame, signal: str) -> DataFrame:
         F.when(F.col("s.scope").isNotNull(), attributes_json(F.col("s.scope.attributes"))).alias("ScopeAttributesJson"),
         "ri",
         "si",
-        F.posexplode(f"s.{items}").alias("ii", "x"),
+        explode(f"s.{items}").alias("ii", "x"),
     )
-    placed = c.withColumn("At", F.struct("ri", "si", "ii")).drop("ri", "si", "ii")
+    placed = some(c, "x").withColumn("At", F.struct("ri", "si", "ii")).drop("ri", "si", "ii")
     return with_scope_hash(with_resource_hash(placed))
 
 
-def spans(requests: DataFrame) -> DataFrame:
+def spans(requests: DataFrame, unreadable: bool = False) -> DataFrame:
     """Spans with nested ``Events`` and ``Links``; ``Rejected`` says why a span can't be stored, else null. Links
-    with a bad id are dropped; a link without a trace state has ``unknown``."""
+    with a bad id are dropped; a link without a trace state has ``unknown``. For ``unreadable`` see :func:`unnested`."""
     x = lambda name: F.col(f"x.{name}")
     none = F.array().cast
     events = F.transform(F.coalesce(x("events"), none(f"array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("Name"), e["name"], F.lit("TimeUnixNano"), F.coalesce(long(e["timeUnixNano"]), F.lit(0)), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
     links = F.transform(F.coalesce(x("links"), none(f"array<struct<traceId:string,spanId:string,traceState:string,attributes:{_ATTRIBUTES},droppedAttributesCount:int>>")), lambda e: F.named_struct(F.lit("LinkedTraceId"), hex_id(e["traceId"], 16), F.lit("LinkedSpanId"), hex_id(e["spanId"], 8), F.lit("TraceState"), F.coalesce(F.nullif(e["traceState"], F.lit("")), F.lit("unknown")), F.lit("DroppedAttributesCount"), F.coalesce(e["droppedAttributesCount"], F.lit(0)), F.lit("AttributesJson"), attributes_json(e["attributes"])))
-    return unnested(requests, "traces").select(
+    return unnested(requests, "traces", unreadable).select(
         "*",
         hex_id(x("traceId"), 16).alias("TraceId"),
         hex_id(x("spanId"), 8).alias("SpanId"),
@@ -225,13 +239,14 @@ def spans(requests: DataFrame) -> DataFrame:
     ).drop("x")
 
 
-def log_records(requests: DataFrame) -> DataFrame:
-    """Log records; times and severity 0 and empty texts are null. A missing body has the type STRING."""
+def log_records(requests: DataFrame, unreadable: bool = False) -> DataFrame:
+    """Log records; times and severity 0 and empty texts are null. A missing body has the type STRING. A body's number is
+    shown as it is, be it NaN or infinite."""
     x = lambda name: F.col(f"x.{name}")
     body = lambda name: F.col(f"x.body.{name}")
     kind = F.coalesce(*[F.when(body(m).isNotNull(), F.lit(k)) for m, k in _BODIES], F.lit("STRING"))
-    value = F.coalesce(body("stringValue"), body("bytesValue"), rendered(x("body")))
-    return unnested(requests, "logs").select(
+    value = F.coalesce(body("stringValue"), body("bytesValue"), F.when(F.coalesce(body("boolValue"), body("intValue")).isNull(), body("doubleValue")), rendered(x("body")))
+    return unnested(requests, "logs", unreadable).select(
         "*",
         positive(x("timeUnixNano")).alias("TimeUnixNano"),
         positive(x("observedTimeUnixNano")).alias("ObservedTimeUnixNano"),
@@ -251,11 +266,11 @@ def log_records(requests: DataFrame) -> DataFrame:
 MEMBERS = {"GAUGE": "gauge", "SUM": "sum", "HISTOGRAM": "histogram", "EXPONENTIAL_HISTOGRAM": "exponentialHistogram", "SUMMARY": "summary"}
 
 
-def metrics(requests: DataFrame) -> DataFrame:
+def metrics(requests: DataFrame, unreadable: bool = False) -> DataFrame:
     """Metrics with their ``Type`` and the item ``x``; ``Rejected`` for one without data. ``Points`` counts."""
     kind = F.coalesce(*[F.when(F.col(f"x.{m}").isNotNull(), F.lit(k)) for k, m in MEMBERS.items()])
     points = F.coalesce(*[F.size(f"x.{m}.dataPoints") for m in MEMBERS.values()], F.lit(0))
-    return unnested(requests, "metrics").select("*", F.coalesce("x.name", F.lit("")).alias("Name"), F.nullif("x.description", F.lit("")).alias("Description"), F.nullif("x.unit", F.lit("")).alias("Unit"), kind.alias("Type"), F.greatest(points, F.lit(0)).alias("Points"), F.when(kind.isNull(), "no data").alias("Rejected"))
+    return unnested(requests, "metrics", unreadable).select("*", F.coalesce("x.name", F.lit("")).alias("Name"), F.nullif("x.description", F.lit("")).alias("Description"), F.nullif("x.unit", F.lit("")).alias("Unit"), kind.alias("Type"), F.greatest(points, F.lit(0)).alias("Points"), F.when(kind.isNull(), "no data").alias("Rejected"))
 
 
 def points(metric_rows: DataFrame, kind: str) -> DataFrame:

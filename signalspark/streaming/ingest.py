@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from hashlib import sha1
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +38,19 @@ def into_store(source: DataFrame, store: Store, signal: str, checkpoint: str, wi
     narrows that to the days of the batch's spans, give or take so much, where copies are known to come with
     their own start time."""
 
+    stream = sha1(checkpoint.encode()).hexdigest()[:12]
+
     def each(batch: DataFrame, number: int) -> None:
         name = f"{signal}-{number}"
-        known = store.read(without=name)
-        held = store.staged(batch)
-        if within is not None and signal == "traces":
-            low, high = otlp.spans(held).agg(F.min("StartTimeUnixNano"), F.max("StartTimeUnixNano")).first()
-            if low is not None:
-                slack = int(within.total_seconds()) * 10**9
-                known = known.with_tables(spans=store.table("spans", low - slack, high + slack, name))
-        store.append(INGEST[signal](held, known=known, stage=store.staged, export=name), name)
-        store.clear()
+        with store.staging(f"{signal}-{stream}-{number}") as stage:
+            known = store.read(without=name)
+            held = stage(batch)
+            if within is not None and signal == "traces":
+                low, high = otlp.spans(held).agg(F.min("StartTimeUnixNano"), F.max("StartTimeUnixNano")).first()
+                if low is not None:
+                    slack = int(within.total_seconds()) * 10**9
+                    known = known.with_tables(spans=store.table("spans", low - slack, high + slack, name))
+            store.append(INGEST[signal](held, known=known, stage=stage, export=name), name)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 

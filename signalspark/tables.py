@@ -23,6 +23,7 @@ class SignalTables:
         if unknown:
             raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
         self._tables = dict(tables)
+        self._referred: DataFrame | Callable[[], DataFrame] | None = None
         self.removed = {}
 
     @staticmethod
@@ -45,7 +46,22 @@ class SignalTables:
         return self.table(POINT_TABLES[kind])
 
     def with_tables(self, **changed: DataFrame) -> SignalTables:
-        return SignalTables(**(self._tables | changed))
+        made = SignalTables(**(self._tables | changed))
+        return made if "spans" in changed else made.referring_to(self._referred)
+
+    def referring_to(self, spans: DataFrame | Callable[[], DataFrame] | None) -> SignalTables:
+        """These tables, with the spans that their rows may refer to: more than their own where they hold a range of time."""
+        self._referred = spans
+        return self
+
+    @property
+    def referred_spans(self) -> DataFrame:
+        """The spans in which callers, and the spans of logs and exemplars, are looked up."""
+        if self._referred is None:
+            return self.spans
+        if not isinstance(self._referred, DataFrame):
+            self._referred = self._referred()
+        return self._referred
 
     def services(self) -> DataFrame:
         """ResourceId and ServiceName: the JSON is parsed once per resource, not once per span."""

@@ -52,7 +52,7 @@ def test_links_and_duplicates(spark):
     links = [{"traceId": TRACE, "spanId": SPAN}, {"traceId": "x", "spanId": SPAN}]
     batch = ingest_traces(frame(spark, request([one(links=links, events=[{"name": "e", "timeUnixNano": "5"}]), one(name="later"), one(traceId="bad")]), "no json"))
     assert [r["Name"] for r in batch.tables["spans"].collect()] == ["op"] and [r["Name"] for r in batch.tables["span_events"].collect()] == ["e"]
-    assert tuple(batch.report.first()) == ("traces", 1, 1, 1) and batch.tables["span_links"].count() == 1
+    assert tuple(batch.report.first()) == ("traces", 1, 1, 1, 1) and batch.tables["span_links"].count() == 1
     assert all(r["TraceState"] == "unknown" for r in batch.tables["span_links"].collect())
     with pytest.raises(ValueError):
         ingest_traces(frame(spark, request([one(), one()])), strict=True)
@@ -75,7 +75,7 @@ def test_logs(spark):
     assert rows[0]["SeverityNumber"] is None and rows[0]["SeverityText"] is None
     batch = ingest_logs(frame(spark, text, text, text.replace("hi", "ho")))
     ids = [r["Id"] for r in batch.tables["log_records"].collect()]
-    assert len(ids) == len(set(ids)) == 12 and tuple(batch.report.first()) == ("logs", 12, 0, 0)
+    assert len(ids) == len(set(ids)) == 12 and tuple(batch.report.first()) == ("logs", 12, 0, 0, 0)
     again = ingest_logs(frame(spark, text.replace("hi", "ho"), text, text).repartition(3))
     assert sorted(r["Id"] for r in again.tables["log_records"].collect()) == sorted(ids)
     same = [{"body": {"stringValue": "connection refused"}}] * 3
@@ -136,7 +136,7 @@ def test_metrics(spark):
     assert len(rows["metrics"]) == 5 and rows["histogram_data_points"][0]["BucketCounts"] == [] and rows["summary_data_points"][0]["QuantileValues"] == []
     assert rows["gauge_data_points"][0]["ExemplarId"] == rows["exemplars"][0]["Id"] and len(rows["exemplars"]) == 1
     assert rows["sum_data_points"][0]["AggregationTemporality"] == "CUMULATIVE" and rows["sum_data_points"][0]["StartTimeUnixNano"] is None
-    assert tuple(batch.report.first()) == ("metrics", 5, 0, 1)
+    assert tuple(batch.report.first()) == ("metrics", 5, 0, 1, 0)
 
 
 def test_every_export_has_metrics_of_its_own(spark):
@@ -157,17 +157,17 @@ def test_store(spark, tmp_path):
     spans = [one(events=[{"name": "e"}]), one(spanId="00" * 8, startTimeUnixNano="1600000000000000000", events=[{"name": "f"}])]
     texts = frame(spark, request(spans))
     assert store.read().spans.count() == 0
-    store.append(ingest_traces(texts, store.read(), stage=store.staged), "a")
-    store.append(ingest_traces(texts, store.read(without="a"), stage=store.staged), "a")  # run again
-    store.append(ingest_traces(texts, store.read(), stage=store.staged), "b")  # nothing new
+    with store.staging() as stage:
+        store.append(ingest_traces(texts, store.read(), stage=stage), "a")
+        store.append(ingest_traces(texts, store.read(without="a"), stage=stage), "a")  # run again
+        store.append(ingest_traces(texts, store.read(), stage=stage), "b")  # nothing new
     for name in ("c", "d"):
         store.append(ingest_metrics(frame(spark, metric_request()), name, store.read()), name)
-    store.clear()
     t = store.read()
     assert t.spans.count() == t.span_events.count() == 2 and t.resources.count() == 2 and t.metrics.count() == 10
     assert store.read(start=1650000000000000000).spans.count() == 1
     touched = store.delete(retention.delete_span(store.read(), TRACE, SPAN))
-    assert touched == {"spans": 1, "span_events": 1, "span_links": 0}  # one day of two
+    assert touched == {"span_events": 1, "span_links": 0, "spans": 1}  # one day of two
     t = store.read()
     assert t.spans.count() == 1 and [r["Name"] for r in t.span_events.collect()] == ["f"]
     assert store.delete(retention.delete_metrics_by_name(store.read(), "g"))["gauge_data_points"] == 2 and store.read().gauge_data_points.count() == 0
