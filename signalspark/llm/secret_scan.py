@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and zstandard novelty for strings that no pattern names.
 
-A candidate is a long run of letters, digits and a few signs, with both letters and digits, near a word such as
-``key`` or ``auth``; runs that are joined by single dots (signed tokens) or stand on lines of their own below each other
+A candidate is a long run of letters, digits and signs near a word such as ``key`` or ``auth``, or in one line or statement
+with one; runs that are joined by single dots (signed tokens) or stand on lines of their own below each other
 (key blocks) are one candidate. Its novelty is the number of bytes that it adds to the compressed form of the text around
 it, with a compressor primed by a dictionary of identifiers: names, repeated strings and words of the same text
 cost little. A random string costs about what its letters in any other order cost, and no less than the entropy of
-its alphabet (half a byte a letter in hex); candidates that do so, or cost their length, are reported. A candidate is
+its alphabet (half a byte a letter in hex). A compressor finds no repeats in a short name whose words no dictionary has, so
+the order of the letters is coded as well: in bits by pairs of neighbouring letters, as the dictionary, ordinary prose and the
+text around have them. Candidates that cost much either way are reported. A candidate is
 taken whole, however long, and its runs by themselves only if it isn't novel as a whole; where the fixed patterns found
 parts of it, the parts that they leave open are scored.
 """
@@ -16,11 +18,14 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from signalspark.llm.license_scan import NOTICES
+
 #: Order of the kinds where spans start together.
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -50,12 +55,19 @@ def either_case(word: str) -> str:
 ASSIGN = re.compile(rf"""(?:{"|".join(map(either_case, WORDS_BEFORE_ASSIGNMENT))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run is taken whole, so a shorter one holds no match either
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = "[A-Za-z0-9+/_=~-]"
+RUN = "[A-Za-z0-9+/_=~!@#$%^&*-]"
 #: A run, further ones behind dots, then whole lines of them; a short line may end it.
 CANDIDATE = re.compile(rf"{RUN}{{16,}}(?:\.{RUN}{{4,}})*(?:\r?\n[ \t]*{RUN}{{16,}}(?=[ \t]*(?:\r?\n|\Z)))*(?P<tail>\r?\n[ \t]*{RUN}{{2,15}}(?=[ \t]*(?:\r?\n|\Z)))?")
 LONG_RUN = re.compile(f"{RUN}{{16,}}")
 #: Characters that a candidate needs for a short line to belong to it.
 BLOCK = 40
+#: Numbers and times as they stand in names, and ordinary prose: what the pairs of letters are counted in, beside the identifiers.
+NUMBERS = "2024-01-15 10:30:00 v2 0042 404 1.0.3 20230704 00 000 127.0.0.1 8080 1234 5678 90"
+PROSE = " ".join(text for _, text, _ in NOTICES)
+#: Bits for each character from which on the letters stand in no order that text has; weight of a pair that none has.
+DISORDER, UNSEEN = 6.0, 0.3
+#: Characters of the line or statement before and behind a candidate that are looked through for a sensitive word.
+STATEMENT_BEFORE, STATEMENT_AFTER = 160, 80
 #: A run that is not novel as a whole is looked at again in pieces of so many characters, so that dull parts hide nothing.
 PIECE = 200
 NEAR = re.compile("|".join(map(either_case, SENSITIVE)))
@@ -75,8 +87,40 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def symbols(text: str) -> str:
+    """Letters in lower case, 0 for a digit, and a space for all else and where a name in camel case goes on."""
+    parted = re.sub("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", text)
+    return f" {re.sub('[^a-z0]+', ' ', re.sub('[0-9]', '0', parted.lower())).strip()} "
+
+
+def pairs(text: str) -> tuple[Counter, Counter]:
+    """Pairs of neighbouring symbols, and the first ones of them."""
+    s = symbols(text)
+    return Counter(zip(s, s[1:], strict=False)), Counter(s[:-1])
+
+
+def disorder(word: str, counts: list[tuple[Counter, Counter]]) -> float:
+    """Bits that a character of the word takes on average, coded by the symbol before it with the pairs of some texts; a digit
+    takes as much again as any of ten."""
+    s, bits = symbols(word), 0.0
+    for a, b in zip(s, s[1:], strict=False):
+        both, first = sum(c[0][a, b] for c in counts), sum(c[1][a] for c in counts)
+        bits += math.log2((first + 28 * UNSEEN) / (both + UNSEEN)) + (math.log2(10) if b == "0" else 0.0)
+    return bits / len(word)
+
+
+def sensitive(text: str, start: int, end: int, before: int, after: int) -> bool:
+    """Whether a sensitive word stands near a run, or in its line or statement."""
+    if NEAR.search(text, max(0, start - before), start) or NEAR.search(text, end, end + after):
+        return True
+    low, high = max(0, start - STATEMENT_BEFORE), min(len(text), end + STATEMENT_AFTER)
+    low = max(low, text.rfind("\n", low, start) + 1, text.rfind(";", low, start) + 1)
+    ends = [i for i in (text.find("\n", end, high), text.find(";", end, high)) if i >= 0]
+    return bool(NEAR.search(text, low, start) or NEAR.search(text, end, min([high, *ends])))
+
+
 class Novelty:
-    """Marginal compressed bytes of a string in its place."""
+    """Marginal compressed bytes of a string in its place, and the disorder of its letters."""
 
     def __init__(self, around: int = 1024, level: int = 3, identifiers: str = IDENTIFIERS):
         import zstandard
@@ -84,10 +128,10 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.press = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.around = around
+        self.known = pairs(" ".join((identifiers, NUMBERS, PROSE)))
 
-    def marginal(self, text: str, start: int, end: int) -> int:
-        context = (text[max(0, start - self.around) : start] + text[end : end + self.around]).encode("utf-8", "surrogatepass")
-        return len(self.press.compress(context + b"\n" + text[start:end].encode())) - len(self.press.compress(context + b"\n"))
+    def marginal(self, around: bytes, word: str) -> int:
+        return len(self.press.compress(around + word.encode())) - len(self.press.compress(around))
 
     def spans(self, text: str, taken: list[Span], share: float, least: int, before: int, after: int) -> Iterator[Span]:
         at = 0
@@ -97,7 +141,7 @@ class Novelty:
                 b = m.start("tail")
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            near = any(NEAR.search(text, *x) for x in ((max(0, a - before), a), (b, b + after)))
+            near = sensitive(text, a, b, before, after)
             for start, end in left_open(a, b, (taken[i] for i in range(at, len(taken)))):
                 if near and self.novel(text, start, end, share, least):
                     yield start, end, "novel"
@@ -111,17 +155,19 @@ class Novelty:
             yield start, end, "novel"
         elif end - start > PIECE:
             for low, high in pieces(start, end):
-                if (near or NEAR.search(text, max(0, low - before), low) or NEAR.search(text, high, high + after)) and self.novel(text, low, high, share, least):
+                if (near or sensitive(text, low, high, before, after)) and self.novel(text, low, high, share, least):
                     yield low, high, "novel"
 
     def novel(self, text: str, start: int, end: int, share: float, least: int) -> bool:
         word = text[start:end]
-        if end - start < least or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+        if end - start < least or not any(c.isalpha() for c in word):
             return False
-        cost = self.marginal(text, start, end)
-        if cost < share * entropy_bytes(word):
+        window = text[max(0, start - self.around) : start] + text[end : end + self.around]
+        around = (window + "\n").encode("utf-8", "surrogatepass")
+        cost = self.marginal(around, word)
+        if cost < share * entropy_bytes(word) or not (cost >= share * len(word) or cost >= share * self.marginal(around, shuffled(word))):
             return False
-        return cost >= share * len(word) or cost >= share * self.marginal(text[:start] + shuffled(word) + text[end:], start, end)
+        return disorder(word, [self.known]) >= DISORDER and disorder(word, [self.known, pairs(window)]) >= DISORDER
 
 
 def entropy_bytes(word: str) -> float:
