@@ -2,9 +2,9 @@
 
 Vectors are rotated by the right singular vectors of a sample, so that the first coordinates hold most of their
 length, and taken in order of descending length. For each query a candidate is out as soon as an upper bound
-of its score lies below the k-th best score known: first the product of the two lengths, then the sum over the
-first coordinates plus the product of the lengths of the rest (Cauchy-Schwarz). What is left is scored exactly
-on the integer components.
+of its score lies below the k-th best score known: first the product of the two lengths, then, step by step, the sum over
+more and more of the first coordinates plus the product of the lengths of the rest (Cauchy-Schwarz). What is left is scored
+exactly on the integer components.
 
 Queries and candidates meet block by block, each pair of blocks in one task. Candidates are dealt by ranges of
 length and the longest are searched first; from the scores found there follows how long a candidate must be for each
@@ -31,6 +31,8 @@ CANDIDATES, QUERIES, CHUNK, SAMPLE = 8192, 2048, 1024, 10_000
 RANGES, NEEDS = 64, 32
 #: Share of the ranges that is searched first.
 HEAD = 1 / 8
+#: Eighths of the coordinates at which the steps of partial sums end.
+STEPS = (2, 4, 6, 7)
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -70,9 +72,38 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
     return query[keep], ids[keep], scores[keep]
 
 
+def full_scores(q: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, given by their rows in ``q`` and in ``c``."""
+    some = [np.einsum("ij,ij->i", q[rows[i : i + 65536]], c[columns[i : i + 65536]]) for i in range(0, len(rows), 65536)]
+    return np.concatenate(some) if some else np.zeros(0)
+
+
+def bounded(rq: np.ndarray, rc: np.ndarray, q_rest: list[np.ndarray], c_rest: list[np.ndarray], ends: list[int], floor: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over more and more of the first coordinates, in steps that end at ``ends``, each only for the pairs whose bound, the sum
+    and the product of the lengths of the rest, reaches ``floor`` still: the sums, the last bounds, and which pairs are left."""
+    sums, low = np.zeros(live.shape), 0
+    bounds = sums
+    for end, own, other in zip(ends, q_rest, c_rest, strict=True):
+        if 4 * np.count_nonzero(live) > live.size:
+            sums += rq[:, low:end] @ rc[:, low:end].T
+            bounds = sums + own[:, None] * other
+            live &= bounds >= floor[:, None]
+        else:
+            rows, columns = np.nonzero(live)
+            sums[rows, columns] += full_scores(rq[:, low:end], rc[:, low:end], rows, columns)
+            reach = sums[rows, columns] + own[rows] * other[columns]
+            bounds = np.full(live.shape, -np.inf)
+            bounds[rows, columns] = reach
+            out = reach < floor[rows]
+            live[rows[out], columns[out]] = False
+        low = end
+    return sums, bounds, live
+
+
 def search_block(queries: pa.Table, candidates: pa.Table, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k best candidates for each query of a block, as numbers of queries, ids and scores, and how many pairs
-    were scored in full. A query's ``least`` is a score that k other candidates are known to reach."""
+    were scored in full. A query's ``least`` is a score that k other candidates are known to reach. In each chunk of candidates the
+    k with the largest sums are scored first, as the bounds of the others are then held against better scores."""
     q, c = matrix_of(queries, "query_v"), matrix_of(candidates, "v")
     q_ids, c_ids = queries.column("query_id").to_numpy(), candidates.column("id").to_numpy()
     least = queries.column("least").to_numpy(zero_copy_only=False).astype(float)
@@ -83,31 +114,40 @@ def search_block(queries: pa.Table, candidates: pa.Table, turn: np.ndarray, k: i
     c, c_ids, lengths = c[order], c_ids[order], lengths[order]
     turned = turn.shape[0] == d
     rq, rc = (q @ turn, c @ turn) if turned else (q, c)
-    part = max(1, d // 4)
-    q_rest, c_rest = (np.sqrt((x[:, part:] ** 2).sum(axis=1)) for x in (rq, rc))
+    ends = sorted({max(1, d * eighths // 8) for eighths in STEPS}) if d else []
+    q_rest, c_rest = ([np.sqrt((x[:, end:] ** 2).sum(axis=1)) for end in ends] for x in (rq, rc))
     q_length = np.sqrt((q * q).sum(axis=1))
     slack = 1e-6 * (1.0 + q_length * (lengths[0] if len(lengths) else 0.0))  # more than rounding can be off
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     scored = 0
+
+    def score(rows: np.ndarray, columns: np.ndarray) -> None:
+        nonlocal held, scored
+        scored += len(rows)
+        scores = full_scores(q, c, rows, columns)
+        keep = scores >= least[rows]
+        held = best(np.concatenate([held[0], rows[keep]]), np.concatenate([held[1], c_ids[columns[keep]]]), np.concatenate([held[2], scores[keep]]), k)
+        last = np.flatnonzero(np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) == k - 1)
+        least[held[0][last]] = np.maximum(least[held[0][last]], held[2][last])
+
     for at in range(0, len(c), CHUNK):
         live = np.flatnonzero(q_length * lengths[at] + slack >= least)
         if not len(live):
             break
         own = slice(at, at + CHUNK)
-        bound = rq[live, :part] @ rc[own, :part].T + q_rest[live, None] * c_rest[None, own] + slack[live, None]
-        rows, columns = np.nonzero((bound >= least[live, None]) & (q_ids[live, None] != c_ids[None, own]))
-        scored += len(rows)
-        if not len(rows):
-            continue
-        if 4 * len(rows) > bound.size:
-            scores = (q[live] @ c[own].T)[rows, columns]
-        else:
-            scores = np.concatenate([np.einsum("ij,ij->i", q[live[rows[i : i + 65536]]], c[at + columns[i : i + 65536]]) for i in range(0, len(rows), 65536)])
-        rows = live[rows]
-        keep = scores >= least[rows]
-        held = best(np.concatenate([held[0], rows[keep]]), np.concatenate([held[1], c_ids[at + columns[keep]]]), np.concatenate([held[2], scores[keep]]), k)
-        last = np.flatnonzero(np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) == k - 1)
-        least[held[0][last]] = np.maximum(least[held[0][last]], held[2][last])
+        others = q_ids[live, None] != c_ids[None, own]
+        sums, bounds, left = bounded(rq[live], rc[own], [x[live] for x in q_rest], [x[own] for x in c_rest], ends, least[live] - slack[live], others)
+        if left.shape[1] > k:
+            promising = np.argpartition(np.where(left, -sums, np.inf), k - 1, axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(live)), k)
+            first = left[rows, promising.reshape(-1)]
+            rows, columns = rows[first], promising.reshape(-1)[first]
+            left[rows, columns] = False
+            score(live[rows], at + columns)
+            left &= bounds >= (least[live] - slack[live])[:, None]
+        rows, columns = np.nonzero(left)
+        if len(rows):
+            score(live[rows], at + columns)
     return held[0], held[1], held[2], scored
 
 

@@ -677,6 +677,24 @@ def test_top_k_shuffles_no_pairs_that_length_rules_out(spark, monkeypatch):
     assert first <= of_first and asked < of_asked / 3 and sent < of_sent / 3, kept
 
 
+def test_partial_sums_leave_few_pairs_to_score():
+    """On the given vectors, which are all about equally long, bounds over growing parts of the coordinates rule out most pairs."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(r["vec_id"], r["embedding"]) for r in pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()]
+    fine = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ids, whole = np.array([i for i, _ in fine]), np.array([v for _, v in fine], float)
+    turn, asked = np.linalg.svd(whole.T @ whole)[0], np.flatnonzero(ids % 50 == 0)
+    queries = pa.table({"query_id": ids[asked], "query_v": pa.array(list(whole[asked])), "least": pa.nulls(len(asked), pa.float64())})
+    found, _, scores, scored = topk_search.search_block(queries, pa.table({"id": ids, "v": pa.array(list(whole))}), turn, 5)
+    every = whole[asked] @ whole.T
+    every[ids[asked, None] == ids] = -np.inf
+    for n in range(len(asked)):
+        assert sorted(scores[found == n]) == sorted(np.sort(every[n])[-5:])
+    assert scored < 0.25 * len(asked) * len(ids), scored / len(asked) / len(ids)
+
+
 # Secrets.
 
 
