@@ -72,9 +72,26 @@ def label_value(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores."""
-    return F.split(F.lower(text), "[^a-z0-9_]+")
+#: A word of any script.
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+
+
+def words(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores of any script, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+terms = words
+
+
+def words_of(query: str, shortest: int = 1) -> list[str]:
+    """The distinct words of a query that have ``shortest`` characters or more; a query without any is an error."""
+    import regex
+
+    found = sorted({w for w in regex.findall(WORD, query.lower()) if len(w) >= shortest})
+    if not found:
+        raise ValueError(f"the query has no word of {shortest} characters or more")
+    return found
 
 
 def any_term(text: Column, wanted: list[str]) -> Column:

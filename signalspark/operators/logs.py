@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.functions.columns import Bound, any_term, checked_range, in_range, required, terms
+from signalspark.functions.columns import Bound, any_term, checked_range, in_range, required, terms, words_of
 from signalspark.tables import SignalTables
 
 
@@ -51,12 +50,10 @@ def log_severity_stats(t: SignalTables) -> DataFrame:
 
 
 def log_fulltext_search(t: SignalTables, query: str, relevance: bool = False, shortest: int = 3) -> DataFrame:
-    """Records whose body has any of the query's terms (runs of letters, digits and underscores, in any case, of
-    ``shortest`` characters or more). With ``relevance``, a ``Score`` as well: the sum over the terms of
+    """Records whose body has any of the query's terms (runs of letters, digits and underscores of any script, in any case, of
+    ``shortest`` characters or more; a query without any is an error). With ``relevance``, a ``Score`` as well: the sum over the terms of
     frequency times the squared log10(records / records with the term), the highest first."""
-    wanted = sorted({w for w in _split(query) if len(w) >= shortest})
-    if not wanted:
-        return t.log_records.limit(0)
+    wanted = words_of(query, shortest)
     if not relevance:
         return t.log_records.where(any_term(F.col("BodyValue"), wanted))
     found = t.log_records.withColumn("__terms", terms(F.col("BodyValue")))
@@ -68,10 +65,6 @@ def log_fulltext_search(t: SignalTables, query: str, relevance: bool = False, sh
     return matching.withColumn("Score", score).drop("__terms", "__has").orderBy(F.desc("Score"), "Id")
 
 
-def _split(query: str) -> list[str]:
-    return re.findall(r"[a-z0-9_]+", query.lower())
-
-
 def logs_with_prefix(t: SignalTables, prefix: str) -> DataFrame:
     """Records whose body starts with a text; the test reaches the files as a pushed filter."""
     return t.log_records.where(F.col("BodyValue").startswith(prefix))

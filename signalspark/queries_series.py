@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.operators import timeseries
-from signalspark.queries import END, START, SVC, query
+from signalspark.functions.shared import new_folder
+from signalspark.operators import timeseries, trees
+from signalspark.queries import END, ORACLES, QUERIES, START, SVC, query, signal_tables
+from signalspark.sources import events
+from signalspark.sources.textindex import TextIndex, matching
 from signalspark.tables import SignalTables
 
 SECOND = 10**9
@@ -115,3 +118,58 @@ def _(t: SignalTables) -> DataFrame:
         for s in ("Positive", "Negative")
     ]
     return sides[0].union(sides[1])
+
+
+# Some spans whose parent is gone, and some that are their own parent.
+ODD_PARENT = "CASE WHEN Id % 37 = 0 THEN 'gone' WHEN Id % 53 = 0 THEN SpanId ELSE ParentSpanId END"
+TREE = f""", s AS (SELECT TraceId, SpanId, {ODD_PARENT} P, StartTimeUnixNano b, EndTimeUnixNano f FROM spans),
+ h AS (SELECT s.*, x.SpanId IS NOT NULL there FROM s LEFT JOIN s x ON s.TraceId = x.TraceId AND s.P = x.SpanId),
+ l AS (SELECT TraceId, P, arg_min(SpanId, (-f, SpanId)) last FROM h WHERE P IS NOT NULL GROUP BY ALL),
+ r AS (
+  SELECT TraceId, SpanId, 0 Depth, SpanId Root, SpanId AS Path, true Critical FROM h WHERE P IS NULL OR NOT there
+  UNION ALL SELECT c.TraceId, c.SpanId, Depth + 1, Root, concat(Path, '/', c.SpanId), Critical AND l.last = c.SpanId
+  FROM r JOIN h c ON c.TraceId = r.TraceId AND c.P = r.SpanId AND c.SpanId <> r.SpanId JOIN l ON l.TraceId = c.TraceId AND l.P = c.P),
+ k AS (SELECT c.TraceId, c.P, greatest(c.b, o.b) b, least(c.f, o.f) f FROM s c JOIN s o ON c.TraceId = o.TraceId AND c.P = o.SpanId AND c.P <> c.SpanId WHERE least(c.f, o.f) > greatest(c.b, o.b)),
+ v AS (SELECT TraceId, P, cast(sum(greatest(0, f - greatest(b, coalesce(m, b)))) AS bigint) covered
+       FROM (SELECT *, max(f) OVER (PARTITION BY TraceId, P ORDER BY b, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM k) GROUP BY ALL)
+SELECT h.TraceId, h.SpanId, r.Depth, r.Root RootSpanId, r.Path, greatest(0, h.f - h.b) - coalesce(covered, 0) SelfNano, coalesce(r.Critical, false) Critical, coalesce(h.P IS NOT NULL AND NOT there, false) Orphan, r.SpanId IS NULL "Cycle"
+FROM h LEFT JOIN r ON h.TraceId = r.TraceId AND h.SpanId = r.SpanId LEFT JOIN v ON h.TraceId = v.TraceId AND h.SpanId = v.P"""
+
+
+@query("span_tree", TREE)
+def _(t: SignalTables) -> DataFrame:
+    odd = t.with_tables(spans=t.spans.withColumn("ParentSpanId", F.expr(ODD_PARENT)))
+    return trees.span_tree(odd).withColumn("Path", F.array_join("Path", "/"))
+
+
+@query("critical_paths", TREE.replace("SELECT h.TraceId, h.SpanId, r.Depth", "SELECT TraceId, RootSpanId, string_agg(SpanId, '/' ORDER BY Depth) AS Path, cast(sum(SelfNano) AS bigint) SelfNano FROM (SELECT h.TraceId, h.SpanId, r.Depth") + ") WHERE Critical GROUP BY TraceId, RootSpanId")
+def _(t: SignalTables) -> DataFrame:
+    odd = t.with_tables(spans=t.spans.withColumn("ParentSpanId", F.expr(ODD_PARENT)))
+    return trees.critical_paths(odd).withColumn("Path", F.array_join("Path", "/"))
+
+
+for name in ("span_tree", "critical_paths"):
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> tuple[TextIndex, DataFrame]:
+    """An index of all logs in two batches, one of them written twice, and the logs."""
+    index, logs = TextIndex(spark, new_folder(spark, "index"), shards=8), signal_tables(spark, sf_dir).log_records
+    for part in (0, 1, 1):
+        index.add(logs.where(F.col("Id") % 2 == part), f"half-{part}")
+    return index, logs
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, logs = text_index(spark, sf_dir)
+    return matching(logs, index.search("error purchase")).select("Id", "BodyValue", F.round("Score", 9).alias("Score"))
+
+
+def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, logs = text_index(spark, sf_dir)
+    return matching(logs, index.phrase("Error by user 1")).select("Id", "BodyValue", F.array_join("Places", ",").alias("Places"))
+
+
+QUERIES["indexed_search"], QUERIES["indexed_phrase"] = indexed_search, indexed_phrase
+ORACLES["indexed_search"] = ORACLES["log_fulltext_relevance"]
+ORACLES["indexed_phrase"] = events.duckdb_sql("SELECT Id, BodyValue, '0' Places FROM log_records WHERE BodyValue LIKE 'error by user 1,%'")
