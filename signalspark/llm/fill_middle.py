@@ -16,14 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.shared import free_names
-from signalspark.llm.shingles import slices
+from signalspark.llm.shared import free_names, slices
 
 # The marks of prefix, suffix and middle; percent of plain texts, and of those cut that have the suffix first.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, SUFFIX_FIRST = 10, 20
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-BYTES = 1 << 22
 
 LETTER, FURTHER = 1, 2
 CLASS = np.zeros(256, np.uint8)
@@ -108,7 +105,7 @@ def fill_middle(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(1), BYTES):
+            for low, high in slices(batch.column(1)):
                 own = batch.slice(low, high - low)
                 found = transform(own.column(1), [own.column(2 + i).to_numpy() for i in range(4)], plain, suffix_first)
                 yield pa.RecordBatch.from_arrays([own.column(0), *found], names=[id_column, *names])

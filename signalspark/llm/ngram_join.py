@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from signalspark.llm import shingles
 from signalspark.llm.components import connected
-from signalspark.llm.shared import written
+from signalspark.llm.shared import slices, written
 
 # Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -63,7 +63,7 @@ def texts_to(df: DataFrame, text_column: str, make: Callable[[Iterator[tuple[pa.
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in batches:
-            for low, high in shingles.slices(batch.column(0)):
+            for low, high in slices(batch.column(0)):
                 own = batch.slice(low, high - low)
                 yield own, list(shingles.sets(own.column(0), words))
 

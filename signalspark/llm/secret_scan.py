@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from signalspark.llm.license_scan import NOTICES
+from signalspark.llm.shared import slices
 
 #: Order of the kinds where spans start together.
 KINDS = ("assign", "access", "hex", "novel")
@@ -220,6 +221,13 @@ def redacted(text: str, spans: list[Span], mark: Callable[[str], str] = lambda k
     return "".join([*out, text[at:]])
 
 
+def bounded(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts are a few megabytes."""
+    for batch in batches:
+        for low, high in slices(batch.column(text)):
+            yield batch.slice(low, high - low)
+
+
 def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One row per input row: the id, the number of spans of each kind (``n_assign``, ``n_access``, ``n_hex``,
     ``n_novel``), ``base_sha256`` over ``kind:start:end`` of the fixed patterns' spans, and ``spans``, all spans
@@ -232,7 +240,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = [scan_text(x.as_py() or "", novelty, **options) for x in batch.column(1)]
             counts = [pa.array([sum(k == kind for _, _, k in s) for _, s in found], pa.int64()) for kind in KINDS]
             digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string())
@@ -252,7 +260,7 @@ def redact(df: DataFrame, text_column: str = "text", length_column: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in bounded(batches, at):
             old = batch.column(at).to_pylist()
             new = [x if x is None or not (s := scan_text(x, novelty, **options)[1]) else redacted(x, s) for x in old]
             columns = list(batch.columns)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.functions.shared import drop_written, new_folder, scratch, shared_folder, written
 
-__all__ = ["LOWER_TABLE", "drop_written", "free_names", "lower_ascii", "new_folder", "scratch", "shared_folder", "table", "written"]
+__all__ = ["LOWER_TABLE", "drop_written", "free_names", "lower_ascii", "new_folder", "scratch", "shared_folder", "slices", "table", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z in UTF-8 bytes and nothing else.
@@ -32,3 +37,17 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+BYTES = 1 << 22
+
+
+def slices(column: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have at most so many bytes together, or are one row."""
+    size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))])
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
+        yield at, upto
+        at = upto

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from signalspark.llm.shared import LOWER_TABLE
 
-#: Bytes of text worked on at once (a longer text is worked on alone), and bytes whose running sums are held at once.
-BYTES, SEGMENT = 1 << 22, 1 << 19
+#: Bytes whose running sums are held at once.
+SEGMENT = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,16 +68,6 @@ def numbers_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(out)
 
 
-def slices(column: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have at most so many bytes together, or are one row."""
-    size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))])
-    at = 0
-    while at < len(column):
-        upto = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
-        yield at, upto
-        at = upto
-
-
 def shingles(texts: pa.Array, words: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all shingles of a column of texts, repeats included, and where each text's begin (one more than texts).
     A-Z are lower-cased; words are runs of bytes other than white space; a text of fewer words has one shingle of all of

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
 
-from signalspark.llm import fill_middle, shingles
+from signalspark.llm import fill_middle, shared
 
 
 def by_hand(doc_id, text):
@@ -45,7 +45,7 @@ def test_sliced_column_of_texts():
     draws = [np.arange(3) * 7919 + k for k in range(4)]
     one = [x.to_pylist() for x in fill_middle.transform(whole.slice(2, 3), draws)]
     assert one == [x.to_pylist() for x in fill_middle.transform(pa.array(texts[2:5], pa.string()), draws)]
-    assert list(shingles.slices(whole, 4)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(shared.slices(whole, 4)) == [(0, 3), (3, 4), (4, 6)]
 
 
 SCHEMA = "doc_id long, text string, n int, form string, output string"
