@@ -12,22 +12,18 @@ from pyspark.sql.streaming import DataStreamWriter
 from signalspark.functions.columns import to_time
 from signalspark.plans.ingest import INGEST
 from signalspark.sources import otlp
+from signalspark.sources.requests import NAME, registered
 from signalspark.sources.store import Store
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """``Key`` (file and line) and ``value`` of the lines of whole files. A file is read by one task."""
-    return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("value <> ''").select(F.concat_ws(":", "file", F.col("line").cast("string")).alias("Key"), "value")
+def requests(spark: SparkSession, path: str, framing: str = "lines", **options: str) -> DataFrame:
+    """Files of export requests as they arrive (see :mod:`signalspark.sources.requests`)."""
+    return registered(spark).readStream.format(NAME).options(framing=framing, **options).load(path)
 
 
-def requests(spark: SparkSession, path: str) -> DataFrame:
-    """Files of export requests, one JSON text per line, as they arrive."""
-    return lines(spark.readStream.option("wholetext", True).schema("value string").text(path))
-
-
-def stored_requests(spark: SparkSession, path: str) -> DataFrame:
+def stored_requests(spark: SparkSession, path: str, framing: str = "lines", **options: str) -> DataFrame:
     """The same files as one batch, with the same keys."""
-    return lines(spark.read.option("wholetext", True).text(path))
+    return registered(spark).read.format(NAME).options(framing=framing, **options).load(path)
 
 
 def into_store(source: DataFrame, store: Store, signal: str, checkpoint: str, within: timedelta | None = None) -> DataStreamWriter:
