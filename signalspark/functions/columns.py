@@ -67,6 +67,15 @@ def required(value: str | None, what: str) -> str:
     return value
 
 
+#: Case and accents make no difference, nor do spaces at the end.
+LOOSE = "UNICODE_CI_AI_RTRIM"
+
+
+def collated(column: Column, collation: str | None) -> Column:
+    """A text as a collation compares it; as it is without one."""
+    return column if collation is None else F.collate(column, collation)
+
+
 def label_value(value: Column) -> Column:
     """The text of a label's value: a missing one is empty."""
     return F.coalesce(value, F.lit(""))

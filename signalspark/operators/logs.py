@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.functions.columns import Bound, any_term, checked_range, in_range, required, terms, words_of
+from signalspark.functions.columns import Bound, any_term, checked_range, collated, in_range, required, terms, words_of
 from signalspark.tables import SignalTables
 
 
@@ -36,17 +36,22 @@ def logs_by_severity(t: SignalTables, least: int, start: Bound = None, end: Boun
     return _with_dimensions(t, t.log_records.where(mine)).orderBy(F.asc_nulls_first("TimeUnixNano"), "Id")
 
 
-def error_logs_with_trace(t: SignalTables, case_insensitive: bool = False) -> DataFrame:
-    """Errors that belong to a trace, the latest first."""
-    severity = F.upper("SeverityText") if case_insensitive else F.col("SeverityText")
+def error_logs_with_trace(t: SignalTables, case_insensitive: bool = False, collation: str | None = None) -> DataFrame:
+    """Errors that belong to a trace, the latest first; with a collation (``LOOSE``), whatever is ERROR in it."""
+    severity = F.upper("SeverityText") if case_insensitive else collated(F.col("SeverityText"), collation)
     mine = t.log_records.where((severity == "ERROR") & F.col("TraceId").isNotNull())
     return mine.select("BodyValue", "TraceId", "SpanId", "TimeUnixNano").orderBy(F.desc("TimeUnixNano"), "SpanId")
 
 
-def log_severity_stats(t: SignalTables) -> DataFrame:
-    """Records with a time by severity and day (UTC)."""
+def log_severity_stats(t: SignalTables, collation: str | None = None) -> DataFrame:
+    """Records with a time by severity and day (UTC). With a collation, severities whose texts are equal in it count together,
+    under the smallest of them."""
     day = F.to_date(F.timestamp_seconds(F.call_function("div", F.col("TimeUnixNano"), F.lit(1_000_000_000))))
-    return t.log_records.where("TimeUnixNano IS NOT NULL").groupBy("SeverityText", "SeverityNumber", day.alias("LogDate")).agg(F.count("*").alias("Count"))
+    timed = t.log_records.where("TimeUnixNano IS NOT NULL")
+    if collation is None:
+        return timed.groupBy("SeverityText", "SeverityNumber", day.alias("LogDate")).agg(F.count("*").alias("Count"))
+    grouped = timed.groupBy(collated(F.col("SeverityText"), collation).alias("__severity"), "SeverityNumber", day.alias("LogDate"))
+    return grouped.agg(F.min("SeverityText").alias("SeverityText"), F.count("*").alias("Count")).select("SeverityText", "SeverityNumber", "LogDate", "Count")
 
 
 def log_fulltext_search(t: SignalTables, query: str, relevance: bool = False, shortest: int = 3) -> DataFrame:

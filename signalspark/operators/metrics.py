@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.functions.columns import Bound, in_range, label_value, required, service_name, to_time
+from signalspark.functions.columns import Bound, collated, in_range, label_value, required, service_name, to_time
 from signalspark.schemas import METRIC_TYPES
 from signalspark.tables import SignalTables
 
@@ -31,8 +31,9 @@ def metric_by_id(t: SignalTables, metric_id: int) -> DataFrame:
     return joined.withColumn("GaugePoints", F.coalesce("GaugePoints", F.array()))
 
 
-def metrics_by_name(t: SignalTables, name: str) -> DataFrame:
-    return _infos(t, t.metrics.where(F.col("Name") == required(name, "metric name")))
+def metrics_by_name(t: SignalTables, name: str, collation: str | None = None) -> DataFrame:
+    """The metrics of a name; with a collation (``LOOSE``), of all names that are equal to it there."""
+    return _infos(t, t.metrics.where(collated(F.col("Name"), collation) == required(name, "metric name")))
 
 
 def metrics_by_type(t: SignalTables, kind: str) -> DataFrame:
@@ -61,8 +62,11 @@ def metric_counts_by_type(t: SignalTables, service: str | None = None) -> DataFr
     return of_service(t, service).groupBy("Type").agg(F.count("*").alias("MetricCount"))
 
 
-def unique_metric_names(t: SignalTables, service: str | None = None) -> DataFrame:
-    return of_service(t, service).select("Name").distinct().orderBy("Name")
+def unique_metric_names(t: SignalTables, service: str | None = None, collation: str | None = None) -> DataFrame:
+    """The names of a service's metrics; with a collation, the smallest of those that are equal in it."""
+    if collation is None:
+        return of_service(t, service).select("Name").distinct().orderBy("Name")
+    return of_service(t, service).groupBy(collated(F.col("Name"), collation).alias("__name")).agg(F.min("Name").alias("Name")).select("Name").orderBy("Name")
 
 
 def service_metric_summaries(t: SignalTables) -> DataFrame:

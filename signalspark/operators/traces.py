@@ -11,7 +11,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.functions.columns import NANOS_A_MS, Bound, checked_range, duration_ms, in_range, millis, required, to_time
+from signalspark.functions.attributes import Path, where
+from signalspark.functions.columns import NANOS_A_MS, Bound, checked_range, collated, duration_ms, in_range, millis, required, to_time
 from signalspark.tables import SignalTables
 
 TOP = 100
@@ -94,6 +95,17 @@ def of_service(t: SignalTables, service: str) -> DataFrame:
     return t.spans.join(resources, "ResourceId", "left_semi")
 
 
+def spans_by_attribute(t: SignalTables, path: Path, value: str | float | bool, comparison: str = "=", start: Bound = None, end: Bound = None) -> DataFrame:
+    """The spans whose attribute at a path (of keys and places in lists) compares so with a value of its type, by start."""
+    mine = t.spans.where(in_range(F.col("StartTimeUnixNano"), start, end))
+    return mine.where(where(F.col("AttributesJson"), path, value, comparison)).orderBy("StartTimeUnixNano", "SpanId")
+
+
+def operation_names(t: SignalTables, collation: str | None = None) -> DataFrame:
+    """Spans by name; with a collation names that are equal in it count together, under the smallest of them."""
+    return t.spans.groupBy(collated(F.col("Name"), collation).alias("__name")).agg(F.min("Name").alias("Name"), F.count("*").alias("SpanCount")).drop("__name")
+
+
 def trace_summary(t: SignalTables, hex_id: str | None = None) -> DataFrame:
     """One row per trace and resource. ``TraceIdHex`` is the hex of the id's text."""
     spans = t.spans.withColumn("TraceIdHex", F.hex("TraceId"))

@@ -108,6 +108,23 @@ def with_trace_defaults(spans: DataFrame, stage: Stage = as_it_is) -> DataFrame:
     return with_scope_hash(with_resource_hash(joined.withColumns(filled).drop("__first")))
 
 
+#: Traces of a batch that are looked up in the store one by one, at most.
+LOOKED_UP = 256
+
+
+def near_ids(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored spans that can be those of a batch. The traces of a small batch, as a stream's are, go to the scan as a filter: files
+    are sorted by trace, so it opens the pages in which one can stand, however much is stored. Those of a large batch are
+    left to the join."""
+    few = [r[0] for r in ids.select("TraceId").distinct().limit(LOOKED_UP + 1).collect()]
+    if len(few) > LOOKED_UP:
+        return known
+    some = [F.col("TraceId") == x for x in few]
+    while len(some) > 1:  # equalities, as the scan takes no long lists
+        some = [a | b for a, b in zip(some[::2], some[1::2], strict=False)] + some[len(some) // 2 * 2 :]
+    return known.where(some[0] if some else F.lit(False))
+
+
 def told_apart(spans: DataFrame, known: DataFrame | None, stage: Stage = as_it_is) -> DataFrame:
     """Spans with ``Duplicate``: all but the first of those with the same trace and span id, and those that ``known``
     (TraceId, SpanId) has. Only the ids are shuffled to find them; then the spans that come twice meet, and no others. Only the
@@ -116,6 +133,7 @@ def told_apart(spans: DataFrame, known: DataFrame | None, stage: Stage = as_it_i
     ids = spans.where("Rejected IS NULL").select(*pair)
     odd = ids.groupBy(*pair).agg((F.count("*") > 1).alias("__twice")).where("__twice")
     if known is not None:
+        known = known if stage is as_it_is else near_ids(known, ids)
         there = known.select(*pair).join(ids.distinct(), pair, "left_semi").distinct().withColumn("__there", F.lit(True))
         odd = odd.join(there, pair, "full")
     else:

@@ -7,8 +7,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalspark.functions import attributes
+from signalspark.functions.columns import LOOSE
 from signalspark.functions.shared import new_folder
-from signalspark.operators import timeseries, trees
+from signalspark.operators import logs, metrics, timeseries, traces, trees
 from signalspark.queries import END, ORACLES, QUERIES, START, SVC, query, signal_tables
 from signalspark.sources import events
 from signalspark.sources.textindex import TextIndex, matching
@@ -173,3 +175,66 @@ def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["indexed_search"], QUERIES["indexed_phrase"] = indexed_search, indexed_phrase
 ORACLES["indexed_search"] = ORACLES["log_fulltext_relevance"]
 ORACLES["indexed_phrase"] = events.duckdb_sql("SELECT Id, BodyValue, '0' Places FROM log_records WHERE BodyValue LIKE 'error by user 1,%'")
+
+
+# Collation: names and severities in several cases, with accents and spaces at the end.
+ODD_NAME = "CASE Id % 4 WHEN 0 THEN upper({c}) WHEN 1 THEN concat({c}, '  ') WHEN 2 THEN replace({c}, 'e', 'é') ELSE {c} END"
+PLAIN = "strip_accents(lower(rtrim({c})))"
+
+
+def odd_names(t: SignalTables) -> SignalTables:
+    changed = {"spans": "Name", "metrics": "Name", "log_records": "SeverityText"}
+    return t.with_tables(**{name: t.table(name).withColumn(c, F.expr(ODD_NAME.format(c=c))) for name, c in changed.items()})
+
+
+def odd_sql(table: str, column: str) -> str:
+    return f"(SELECT * REPLACE ({ODD_NAME.format(c=column)} AS {column}) FROM {table})"
+
+
+@query("error_logs_collated", f"SELECT BodyValue, TraceId, SpanId, TimeUnixNano FROM {odd_sql('log_records', 'SeverityText')} WHERE {PLAIN.format(c='SeverityText')} = 'error' AND TraceId IS NOT NULL")
+def _(t: SignalTables) -> DataFrame:
+    return logs.error_logs_with_trace(odd_names(t), collation=LOOSE)
+
+
+@query("log_severity_stats_collated", f"SELECT min(SeverityText) SeverityText, SeverityNumber, strftime(make_timestamp(TimeUnixNano // 1000), '%Y-%m-%d') LogDate, count(*) Count FROM {odd_sql('log_records', 'SeverityText')} WHERE TimeUnixNano IS NOT NULL GROUP BY {PLAIN.format(c='SeverityText')}, SeverityNumber, LogDate")
+def _(t: SignalTables) -> DataFrame:
+    return logs.log_severity_stats(odd_names(t), LOOSE).withColumn("LogDate", F.col("LogDate").cast("string"))
+
+
+@query("metrics_by_name_collated", f"SELECT m.Id, m.Name FROM {odd_sql('metrics', 'Name')} m WHERE {PLAIN.format(c='m.Name')} = 'app.purchase'")
+def _(t: SignalTables) -> DataFrame:
+    return metrics.metrics_by_name(odd_names(t), "APP.Purchasé ", LOOSE).select("Id", "Name")
+
+
+@query("unique_metric_names_collated", f"SELECT min(Name) AS Name FROM {odd_sql('metrics', 'Name')} GROUP BY {PLAIN.format(c='Name')}")
+def _(t: SignalTables) -> DataFrame:
+    return metrics.unique_metric_names(odd_names(t), collation=LOOSE)
+
+
+@query("operation_names_collated", f"SELECT min(Name) AS Name, count(*) SpanCount FROM {odd_sql('spans', 'Name')} GROUP BY {PLAIN.format(c='Name')}")
+def _(t: SignalTables) -> DataFrame:
+    return traces.operation_names(odd_names(t), LOOSE)
+
+
+def spans_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with a number over a bound, and a boolean, among their attributes; a text of digits is no number."""
+    from signalspark.queries import REQUEST
+    from signalspark.sources import otlp
+
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(REQUEST).alias("value"))
+    over = traces.spans_by_attribute(SignalTables(spans=otlp.spans(requests)), ("b",), 300, ">")
+    return over.where(attributes.where(F.col("AttributesJson"), ("a",), True) & ~attributes.where(F.col("AttributesJson"), ("b",), "500")).select("event_id", "SpanId")
+
+
+def logs_by_nested_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs by values deep in maps and lists: a number, a text, and a boolean."""
+    from signalspark.queries import flatten_nested
+
+    found, at = flatten_nested(spark, sf_dir), F.col("AttributesJson")
+    deep = attributes.where(at, ("m", "a", 0, "z", 0), 400, "<=") & attributes.where(at, ("m", "a", 0, "z", 1), "error") & attributes.where(at, ("m", "b"), False)
+    return found.where(deep & ~attributes.has(at, ("m", "a", 1))).select("event_id")
+
+
+QUERIES["spans_by_attribute"], QUERIES["logs_by_nested_attribute"] = spans_by_attribute, logs_by_nested_attribute
+ORACLES["spans_by_attribute"] = "SELECT event_id, substr(md5(cast(event_id - event_id % 3 AS varchar)), 1, 16) SpanId FROM events WHERE event_id > 300"
+ORACLES["logs_by_nested_attribute"] = "SELECT event_id FROM events WHERE event_id <= 400 AND event_type = 'error'"

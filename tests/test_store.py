@@ -218,3 +218,21 @@ def test_numbers(spark):
     assert json.loads(row["AttributesJson"]) == {"a": 7, "b": 0, "c": 5, "d": "NaN", "e": 1.5, "f": "x", "g": "01.5", "n": [7, "Infinity"]}
     bodies = [{"body": {"doubleValue": x}} for x in ("NaN", "-Infinity", 2.5)]
     assert [r["BodyValue"] for r in otlp.log_records(frame(spark, log_request(*bodies))).collect()] == ["NaN", "-Infinity", "2.5"]
+
+
+def test_a_small_batch_looks_up_its_traces_only(spark, tmp_path, monkeypatch):
+    from signalspark.plans import ingest
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    texts = [request([one(traceId=f"{k:032x}", spanId=f"{k:016x}")]) for k in range(50)]
+    store.append(ingest_traces(frame(spark, *texts)), "old")
+    seen = []
+    monkeypatch.setattr(ingest, "near_ids", lambda known, ids, f=ingest.near_ids: seen.append(f(known, ids)) or seen[-1])
+    for few in (256, 1):
+        monkeypatch.setattr(ingest, "LOOKED_UP", few)
+        with store.staging() as stage:
+            batch = ingest_traces(frame(spark, texts[7], texts[9], request([one(traceId="ff" * 16)])), store.read(), stage=stage)
+            report = batch.report.first()
+        assert (report["Accepted"], report["Duplicate"]) == (1, 2)
+    plans = [df.select("TraceId")._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert "PushedFilters: [Or(" in plans[0] and "Or(" not in plans[1]  # the scan itself looks for the three traces
