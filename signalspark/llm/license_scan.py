@@ -21,9 +21,14 @@ from signalspark.llm.shared import lower_ascii, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text))
+
+
 # Phrases of the plain scan; notices with their mandatory phrases; words too common to index.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-NOTICES = (
+TEXTS = (
     ("mit", "Released under the MIT License", ("mit license",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission is hereby granted free of charge", "without restriction")),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
@@ -50,13 +55,40 @@ NOTICES = (
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered software released into the public domain", "either in source code form or as a compiled binary")),
     ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("required by applicable law or agreed to in writing", "governing permissions and limitations under the license")),
 )
+# Identifiers of the SPDX list, and names of licences under which they are told.
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MPL-2.0", "ISC", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "EPL-1.0", "EPL-2.0", "EUPL-1.2", "CDDL-1.0", "Artistic-2.0", "WTFPL", "OFL-1.1", "PostgreSQL", "NCSA", "Python-2.0", "PHP-3.01", "Ruby", "Vim", "X11", "MS-PL", "MS-RL", "OSL-3.0", "AFL-3.0", "ECL-2.0", "UPL-1.0",
+    "MulanPSL-2.0", "CECILL-2.1", "Beerware", "Libpng", "OpenSSL", "curl",
+)
+NAMES = (
+    ("lgpl-3.0", "GNU Lesser General Public License version 3"), ("lgpl-2.1", "GNU Lesser General Public License version 2.1"), ("agpl-3.0", "GNU Affero General Public License version 3"), ("gpl-2.0", "GNU General Public License version 2"),
+    ("cc0-1.0", "CC0 1.0 Universal"), ("cc0-1.0", "Creative Commons Zero"), ("epl-2.0", "Eclipse Public License v 2.0"), ("epl-1.0", "Eclipse Public License v 1.0"), ("eupl-1.2", "European Union Public Licence"),
+    ("cddl-1.0", "Common Development and Distribution License"), ("artistic-2.0", "Artistic License 2.0"), ("wtfpl", "Do What The Fuck You Want To Public License"), ("ofl-1.1", "SIL Open Font License"), ("ncsa", "University of Illinois NCSA Open Source License"),
+    ("python-2.0", "Python Software Foundation License"), ("php-3.01", "PHP License version 3.01"), ("ms-pl", "Microsoft Public License"), ("ms-rl", "Microsoft Reciprocal License"), ("osl-3.0", "Open Software License version 3.0"),
+    ("afl-3.0", "Academic Free License version 3.0"), ("ecl-2.0", "Educational Community License version 2.0"), ("upl-1.0", "Universal Permissive License"), ("mulanpsl-2.0", "Mulan Permissive Software License"), ("boost-1.0", "Boost Software License version 1.0"),
+    ("postgresql", "PostgreSQL License"), ("beerware", "THE BEER-WARE LICENSE"), ("bsd-3-clause", "BSD 3-Clause License"), ("bsd-2-clause", "BSD 2-Clause License"), ("mpl-2.0", "Mozilla Public License version 2.0"),
+)
+
+
+def named() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """Notices that are a name, or a line with an identifier: alone or first in an expression, or behind its first OR or AND."""
+    out = [(label, name, (" ".join(words_of(name)),)) for label, name in NAMES]
+    for identifier in SPDX:
+        label, own = {"BSL-1.0": "boost-1.0"}.get(identifier, identifier.lower()), " ".join(words_of(identifier))
+        out.append((label, f"SPDX-License-Identifier: {identifier}", (f"spdx license identifier {own}",)))
+        # three common words, which aren't indexed, stand for the first operand
+        out += [(label, f"SPDX-License-Identifier: (this or that) {word} {identifier}", ("spdx license identifier", f"{word} {own}")) for word in ("or", "and")]
+    return tuple(out)
+
+
 #: Words of a notice that are indexed, heaviest first; words by which offsets may drift within a notice at least, and as a share of it.
 INDEXED, LEAST_DRIFT, DRIFT = 12, 2, 0.25
 COMMON = frozenset("the of and in to a is this that it as or for by with at be are an any all on not from you may can under into above these such no if will".split())
 
+#: All notices: whole texts and headers first, then names and identifiers.
+NOTICES = TEXTS + named()
 
-def words_of(text: str) -> list[str]:
-    return re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text))
 
 
 def postings() -> list[tuple[str, int, int]]:

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from signalspark.llm.license_scan import NOTICES
+from signalspark.llm.license_scan import TEXTS
 from signalspark.llm.shared import slices
 
 #: Order of the kinds where spans start together.
@@ -64,7 +64,7 @@ LONG_RUN = re.compile(f"{RUN}{{16,}}")
 BLOCK = 40
 #: Numbers and times as they stand in names, and ordinary prose: what the pairs of letters are counted in, beside the identifiers.
 NUMBERS = "2024-01-15 10:30:00 v2 0042 404 1.0.3 20230704 00 000 127.0.0.1 8080 1234 5678 90"
-PROSE = " ".join(text for _, text, _ in NOTICES)
+PROSE = " ".join(text for _, text, _ in TEXTS)
 #: Bits for each character from which on the letters stand in no order that text has; weight of a pair that none has.
 DISORDER, UNSEEN = 6.0, 0.3
 #: Characters of the line or statement before and behind a candidate that are looked through for a sensitive word.
