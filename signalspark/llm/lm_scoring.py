@@ -39,9 +39,8 @@ from signalspark.llm.token_counts import OTHER_SPACE
 END = b"\n"
 #: Class of the end.
 ENDING = attention.CLASSES - 1
-#: Characters of the first round of training, each further one twice as long; share of the training texts that the subwords'
-#: vectors come from.
-ROUND_CHARACTERS, VECTOR_SHARE = 8_000_000, 1 / 8
+#: Characters of the first round of training, each further one twice as long.
+ROUND_CHARACTERS = 8_000_000
 #: Words whose counts are sent to every task at most; words a task remembers; characters it lays out at once.
 FREQUENT, REMEMBERED, GROUP = 200_000, 300_000, 1_000_000
 #: Groups of the subwords by which a spelling goes on.
@@ -461,16 +460,14 @@ def score(df: DataFrame, held_out: Column, tokenizer: str, id_column: str = "doc
     empty result; other columns are not read.
 
     ``most`` bounds the words whose counts every task gets, and changes no result; without ``train`` the network stays
-    as it starts. The subwords' vectors come from a share of the training texts (:data:`VECTOR_SHARE`, by a hash of id and
-    text), which grows with the corpus; all else from all of them.
+    as it starts. Counts, the subwords' vectors and the network are all learned from all training texts.
     """
     hashed = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 20))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), hashed.alias("h"))
     learned = rows.where(~F.col("held_out"))
     counts = written(word_counts(learned), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    shared = learned.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 20)) < int(VECTOR_SHARE * (1 << 20)))
-    subwords, classes = designed(shared, counts, tokenizer)
+    subwords, classes = designed(learned, counts, tokenizer)
     bias = attention.prior(classes)
     flat = trained(learned.where(F.length("text") > 0), tokenizer, subwords, bias) if train else attention.start()
     near, least = frequent(counts, most)
