@@ -22,6 +22,8 @@ from signalspark.llm.shared import free_names
 
 #: Fixed values of the method.
 UNKNOWN, PROFILE, LABELLED = "und", 400, 20_000
+#: What stands for the edge of a word among the letters: no letter has this number, and a packed n-gram keeps it in front.
+EDGE = np.uint64(1)
 #: Texts are laid out as code points in runs of up to so many characters.
 CHARACTERS = 1 << 21
 
@@ -42,12 +44,13 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     codes = np.concatenate([np.zeros(1, np.uint64), codes, np.zeros(1, np.uint64)])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]  # one edge between two words
+    codes[codes == 0] = EDGE
     if len(codes) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     two = (codes[:-1] << np.uint64(21)) | codes[1:]
     three = (two[:-1] << np.uint64(21)) | codes[2:]
-    three = three[codes[1:-1] != 0]  # none across two words
-    found = np.sort(np.concatenate([codes[codes != 0], two, three]))
+    three = three[codes[1:-1] != EDGE]  # none across two words
+    found = np.sort(np.concatenate([codes[codes != EDGE], two, three]))
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     return found[first], np.diff(np.append(first, len(found)))
 

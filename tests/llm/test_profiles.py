@@ -29,7 +29,7 @@ def plain_grams(text):
 def packed(gram):
     n = 0
     for c in gram:
-        n = n << 21 | (0 if c == "\0" else ord(c))
+        n = n << 21 | (1 if c == "\0" else ord(c))
     return n
 
 
