@@ -543,8 +543,19 @@ ORACLES["flatten_points"] = """SELECT event_id MetricId, event_type AS Name, CAS
 
 QUERIES["dedup_resources"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["resources"].select("ResourceHash", "AttributesJson")
 ORACLES["dedup_resources"] = """SELECT DISTINCT sha256(concat('__{"service.name":"svc_', event_type, '"}')) ResourceHash, concat('{"service.name":"svc_', event_type, '"}') AttributesJson FROM events"""
-QUERIES["dedup_scopes"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["instrumentation_scopes"].select("ScopeHash", "Name", "Version")
-ORACLES["dedup_scopes"] = "SELECT sha256('lib__1.0____{}') ScopeHash, 'lib' AS Name, '1.0' AS Version"
+
+
+def dedup_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes of requests of several libraries."""
+    from signalspark.plans.ingest import ingest_traces
+
+    several = REQUEST.replace("'name', 'lib'", "'name', concat('lib_', cast(event_id % 3 AS string))")
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(several).alias("value"))
+    return ingest_traces(requests).tables["instrumentation_scopes"].select("ScopeHash", "Name", "Version")
+
+
+QUERIES["dedup_scopes"] = dedup_scopes
+ORACLES["dedup_scopes"] = "SELECT DISTINCT sha256(concat('lib_', event_id % 3, '__1.0____{}')) ScopeHash, concat('lib_', event_id % 3) AS Name, '1.0' AS Version FROM events"
 QUERIES["unique_spans"] = lambda spark, sf_dir: ingested(spark, sf_dir).tables["spans"].select("TraceId", "SpanId")
 ORACLES["unique_spans"] = "SELECT DISTINCT md5(cast(user_id AS varchar)) TraceId, substr(md5(cast(event_id - event_id % 3 AS varchar)), 1, 16) SpanId FROM events"
 
