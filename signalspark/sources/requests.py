@@ -7,7 +7,8 @@ highest. Large files are read by several tasks, each a range of bytes; a request
 
 A stream takes files in the order of their times of change and names, and its offset is the last of them; files are put in place
 whole and don't change. Where clocks of writers differ, ``settleSeconds`` leaves the newest files for later, so that none comes
-in before one that is taken already. Paths are those that pyarrow opens (local, hdfs, s3, gs).
+in before one that is taken already. A run with ``availableNow`` is one batch; what a window closes by it comes with the next
+run. Paths are those that pyarrow opens (local, hdfs, s3, gs).
 """
 
 from __future__ import annotations

@@ -275,6 +275,7 @@ def test_windowed_streams(spark, tmp_path):
     spans = [one(spanId=f"{k:016x}", startTimeUnixNano=str(k * 10**9 + 1), endTimeUnixNano=str(k * 10**9 + 2)) for k in (1, 2, 200, 5000)]
     (source / "a.json").write_text(request(spans))
     rows = otlp.spans(streaming.requests(spark, str(source))).select("TraceId", "StartTimeUnixNano", "StatusCode")
-    query = streaming.trace_sessions(rows).writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = streaming.trace_sessions(rows).writeStream.format("memory").queryName("sessions").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
     assert sorted(r["SpanCount"] for r in spark.table("sessions").collect()) == [1, 2]  # the last one is still open
