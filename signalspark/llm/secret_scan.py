@@ -222,10 +222,11 @@ def redacted(text: str, spans: list[Span], mark: Callable[[str], str] = lambda k
 
 
 def bounded(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts whose texts are a few megabytes."""
+    """The batches in parts whose texts are a few megabytes. What Arrow holds no more goes back, as workers live on."""
     for batch in batches:
         for low, high in slices(batch.column(text)):
             yield batch.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
 
 
 def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
