@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import reduce
+from json.encoder import encode_basestring as _quoted
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,17 +64,10 @@ def plain_value(value: object) -> str | None:
     text already."""
     if not isinstance(value, dict):
         return None
-    for member, _ in _BODIES:
+    for member in value if len(value) == 1 else _PLAIN:
         x = value.get(member)
-        if x is None:
-            continue
-        if member in ("arrayValue", "kvlistValue"):
-            return plain_list(member, x)
-        if member == "boolValue":
-            return str(x).lower()
-        if member == "intValue" and _WHOLE.fullmatch(str(x)):
-            return str(int(x))
-        return str(x) if member == "doubleValue" and _NUMBER.fullmatch(str(x)) else json.dumps(str(x), ensure_ascii=False)
+        if x is not None and member in _PLAIN:
+            return _PLAIN[member](x)
     return None
 
 
@@ -87,17 +81,86 @@ def plain_list(member: str, x: object) -> str:
 def plain_object(pairs: list) -> str:
     """Keys and values as a JSON object: without a key or a value they are dropped, of equal keys the last counts."""
     last = {p["key"]: v for p in pairs if isinstance(p, dict) and p.get("key") and (v := plain_value(p.get("value"))) is not None}
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{last[k]}" for k in sorted(last)) + "}"
+    return "{" + ",".join([f"{_quoted(k) if isinstance(k, str) else json.dumps(k)}:{last[k]}" for k in sorted(last)]) + "}"
 
 
-def with_plain_lists(text: str) -> str | None:
-    """A request whose lists and maps are JSON text; None if it is no JSON. The innermost come first."""
+def _whole(x: object) -> str:
+    text = str(x)
+    return str(int(text)) if _WHOLE.fullmatch(text) else _quoted(text)
+
+
+def _number(x: object) -> str:
+    text = str(x)
+    return text if _NUMBER.fullmatch(text) else _quoted(text)
+
+
+#: How each member of the value union is written, in the order in which they count.
+_PLAIN = {
+    "stringValue": lambda x: _quoted(str(x)),
+    "boolValue": lambda x: str(x).lower(),
+    "intValue": _whole,
+    "doubleValue": _number,
+    "bytesValue": lambda x: _quoted(str(x)),
+    "arrayValue": lambda x: plain_list("arrayValue", x),
+    "kvlistValue": lambda x: plain_list("kvlistValue", x),
+}
+
+
+def _inner(node: dict) -> dict:
+    for member in ("arrayValue", "kvlistValue"):
+        if member in node:
+            node[member] = plain_list(member, node[member])
+    return node
 
-    def inner(node: dict) -> dict:
-        return {k: plain_list(k, v) if k in ("arrayValue", "kvlistValue") else v for k, v in node.items()}
 
+#: Made once: ``json.loads`` and ``json.dumps`` with options make a new one for each call.
+_FLAT, _DECODER, _ENCODER = json.JSONDecoder(), json.JSONDecoder(object_hook=_inner), json.JSONEncoder(ensure_ascii=False)
+
+
+def _shallow(v: object) -> str | None:
+    """:func:`plain_value` from the outside in; a TypeError for what it leaves to the other way."""
+    if type(v) is not dict:
+        return None
+    member, x = None, None
+    for member in v if len(v) == 1 else _PLAIN:
+        if (x := v.get(member)) is not None and member in _PLAIN:
+            break
+    else:
+        return None
+    if type(x) is dict:
+        if member == "arrayValue":
+            return "[" + ",".join([r for y in x.get("values") or () if (r := _shallow(y))]) + "]"
+        if member == "kvlistValue":
+            last = {}
+            for p in x.get("values") or ():
+                if type(p) is dict and (k := p.get("key")) and (r := _shallow(p.get("value"))) is not None:
+                    last[k] = r
+            return "{" + ",".join([_quoted(k) + ":" + last[k] for k in (sorted(last) if len(last) > 1 else last)]) + "}"
+    if type(x) is dict or type(x) is list:
+        raise TypeError
+    return _PLAIN[member](x)
+
+
+def _walk(node: object) -> None:
+    """Writes the lists and maps among the values inside a parsed request as text."""
+    for k, x in node.items() if type(node) is dict else enumerate(node):
+        if type(x) is dict and (k == "arrayValue" or k == "kvlistValue"):
+            node[k] = _shallow({k: x})
+        elif type(x) is dict or type(x) is list:
+            _walk(x)
+
+
+def with_plain_lists(text: str) -> str | None:
+    """A request whose lists and maps are JSON text; None if it is no JSON. The outermost come first, which is quicker; where a
+    request is too deep for that, or odd, the innermost."""
     try:
-        return json.dumps(json.loads(text, object_hook=inner), ensure_ascii=False)
+        try:
+            request = _FLAT.decode(text)
+            if type(request) is dict or type(request) is list:
+                _walk(request)
+        except (TypeError, RecursionError):
+            request = _DECODER.decode(text)
+        return _ENCODER.encode(request)
     except (ValueError, RecursionError):
         return None
 
@@ -178,13 +241,18 @@ def positive(value: Column) -> Column:
 
 def unnested(requests: DataFrame, signal: str, unreadable: bool = False) -> DataFrame:
     """One row per item (column ``x``) with its place in the request (``At``), the hashes and contents of its
-    resource and scope, and whether the request gives none (``ResourceMissing``, ``ScopeMissing``). ``requests``
-    has the JSON text in ``value``; its other columns are kept. A text that isn't JSON, or is null, has no items; with ``unreadable``
-    it gives one row all the same, with ``Unreadable`` (null in the others): the text, or nothing for a null one."""
+    resource and scope, whether the request gives none (``ResourceMissing``, ``ScopeMissing``), and whether the
+    request may list items in several places (``Several``, told by its text, so that a filter by it comes before parsing).
+    ``requests`` has the JSON text in ``value``; its other columns are kept. A text that isn't JSON, or is null, has no items;
+    with ``unreadable`` it gives one row all the same, with ``Unreadable`` (null in the others): the text, or nothing for a null one."""
     outer, inner, items, schema = SIGNALS[signal]
     shape = f"struct<{outer}:array<struct<{_RESOURCE},{inner}:array<struct<{_SCOPE},{items}:array<struct<{schema}>>>>>>,__bad:string>"
     kept = [c for c in requests.columns if c != "value"]
-    read = plain_lists(requests).select(*kept, "value", F.from_json("value", shape, {"columnNameOfCorruptRecord": "__bad"}).alias("p"))
+    text, name = F.col("value"), f'"{items}"'
+    again = F.length(text) - F.length(F.replace(text, F.lit(name), F.lit(""))) > len(name)
+    several = F.coalesce(again | text.contains("\\u"), F.lit(False))  # a key may be written with escapes
+    read = plain_lists(requests).select(*kept, several.alias("Several"), "value", F.from_json("value", shape, {"columnNameOfCorruptRecord": "__bad"}).alias("p"))
+    kept.append("Several")
     explode = F.posexplode
     if unreadable:
         # what can be read in part has items and is no bad request
