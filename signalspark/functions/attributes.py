@@ -6,6 +6,8 @@ as a boolean; a value of another type, a missing one, and JSON that can't be rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,21 +43,36 @@ def has(attributes: Column, path: Path) -> Column:
     return attribute(attributes, path).isNotNull()
 
 
+def _number(value: Column) -> Column:
+    return F.when(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(*NUMBERS), F.try_variant_get(value, "$", "double"))
+
+
+def _text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _boolean(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+
+
+def _once(attributes: Column, path: Path, read: Callable[[Column], Column]) -> Column:
+    """``read`` of the value at a path. The value is named once: a filter is moved below what makes the attributes, which are then
+    made again for each time that it names them."""
+    return F.get(F.transform(F.array(attribute(attributes, path)), read), F.lit(0))
+
+
 def number_at(attributes: Column, path: Path) -> Column:
     """The number at a path as a double; null for anything else, texts of digits among it."""
-    value = attribute(attributes, path)
-    return F.when(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(*NUMBERS), F.try_variant_get(value, "$", "double"))
+    return _once(attributes, path, _number)
 
 
 def text_at(attributes: Column, path: Path) -> Column:
     """The text at a path; null for anything else."""
-    value = attribute(attributes, path)
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return _once(attributes, path, _text)
 
 
 def boolean_at(attributes: Column, path: Path) -> Column:
-    value = attribute(attributes, path)
-    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+    return _once(attributes, path, _boolean)
 
 
 def where(attributes: Column, path: Path, value: str | float | bool, comparison: str = "=") -> Column:

@@ -54,3 +54,9 @@ def test_collations(spark):
     t = SignalTables(metrics=names.withColumn("ResourceId", F.lit(1)), resources=spark.createDataFrame([], "Id long, AttributesJson string"))
     assert [r["Name"] for r in metrics.unique_metric_names(t, collation=LOOSE).collect()] == [None, "CAFE ", "cafes"]
     assert len(metrics.unique_metric_names(t).collect()) == 5
+
+
+def test_a_filter_names_the_attributes_once(spark):
+    rows = spark.createDataFrame([('{"a":5}',)], "v string").select(attributes.where(F.col("v"), ("a",), 3, ">").alias("x"))
+    assert rows.first()["x"] is True
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
