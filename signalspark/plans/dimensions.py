@@ -33,15 +33,20 @@ def with_scope_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("ScopeHash", content_hash(F.col("ScopeName"), F.col("ScopeVersion"), F.col("ScopeSchemaUrl"), F.col("ScopeAttributesJson")))
 
 
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key. Equal rows go first, by hash: keeping the first text of each key instead sorts all rows before the shuffle."""
+    return rows.distinct().dropDuplicates([key])
+
+
 def resources_of(df: DataFrame) -> DataFrame:
     """The distinct resources of rows with a resource hash."""
     rows = df.select("ResourceHash", F.col("ResourceSchemaUrl").alias("SchemaUrl"), F.col("ResourceAttributesJson").alias("AttributesJson"))
-    return rows.dropDuplicates(["ResourceHash"]).select(id_of(F.col("ResourceHash")).alias("Id"), "ResourceHash", "SchemaUrl", "AttributesJson")
+    return _one_each(rows, "ResourceHash").select(id_of(F.col("ResourceHash")).alias("Id"), "ResourceHash", "SchemaUrl", "AttributesJson")
 
 
 def scopes_of(df: DataFrame) -> DataFrame:
     rows = df.select("ScopeHash", F.col("ScopeName").alias("Name"), F.col("ScopeVersion").alias("Version"), F.col("ScopeSchemaUrl").alias("SchemaUrl"), F.col("ScopeAttributesJson").alias("AttributesJson"))
-    return rows.dropDuplicates(["ScopeHash"]).select(id_of(F.col("ScopeHash")).alias("Id"), "Name", "Version", "SchemaUrl", "ScopeHash", "AttributesJson")
+    return _one_each(rows, "ScopeHash").select(id_of(F.col("ScopeHash")).alias("Id"), "Name", "Version", "SchemaUrl", "ScopeHash", "AttributesJson")
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame | None, key: str | list[str]) -> DataFrame:
