@@ -577,9 +577,10 @@ def full_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_events_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalspark.functions.shared import written
     from signalspark.plans.ingest import ingest_traces
 
-    tables = ingest_traces(full_requests(spark, sf_dir)).tables
+    tables = ingest_traces(full_requests(spark, sf_dir), stage=lambda df: written(df, "ingest")).tables
     spans = tables["spans"].select(F.col("Id").alias("SpanId"), F.col("Name").alias("SpanName"))
     none = F.lit(None).cast("string")
     events_ = tables["span_events"].select("SpanId", "Name", F.col("TimeUnixNano"), none.alias("LinkedTraceId"), none.alias("LinkedSpanId"), none.alias("TraceState"))
