@@ -142,7 +142,9 @@ class Store:
         if not old:
             return
         with self.staging() as stage:
-            self._write(table, stage(rows.dropDuplicates(["Id"]).withColumn("Batch", F.lit(f"days-{uuid.uuid4().hex}"))))
+            twice = stage(rows.groupBy("Id").agg(F.count("*").alias("n")).where("n > 1").select("Id"))  # none, but for one that died
+            once = rows.join(twice, "Id", "left_anti").unionByName(rows.join(twice, "Id", "left_semi").dropDuplicates(["Id"]))
+            self._write(table, once.select(*rows.columns).withColumn("Batch", F.lit(f"days-{uuid.uuid4().hex}")))
         for day, batch in old:
             self._drop(f"{table}/Day={day}/Batch={batch}")
 
