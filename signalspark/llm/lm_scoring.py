@@ -11,7 +11,11 @@ where ``new`` is the share of words seen once (Good-Turing). The network is trai
 they are dealt to rounds that double in size, so that their number grows with the corpus; in a round every task
 trains a copy on its own part, the copies are averaged in Spark, and the next round goes on from there.
 
-Counts are those of all training texts. Those of the frequent words (a bounded number) are looked up where the text
+Texts are cut and encoded once: they are written in batches, each with its distinct words, their subwords' ids and the
+places of the texts' words among them. Counts, vectors, training and scoring read these, and work out what hangs on a word alone
+once for each distinct word of a batch.
+
+Counts are those of all training texts. Those of the frequent words (a bounded number) are looked up where a batch
 is read; the rare ones' are joined, with the same result, so that no task needs the whole vocabulary. What the driver
 and every task hold is bounded by the tokenizer's ids, whatever the corpus.
 """
@@ -19,20 +23,20 @@ and every task hold is bounded by the tokenizer's ids, whatever the corpus.
 from __future__ import annotations
 
 import math
-import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.llm import attention
-from signalspark.llm.shared import LOWER_TABLE, drop_written, written
+from signalspark.llm.shared import drop_written, slices, written
 from signalspark.llm.token_counts import OTHER_SPACE
 
 #: Stands for the end of a text among the words; no word holds white space.
@@ -41,16 +45,14 @@ END = b"\n"
 ENDING = attention.CLASSES - 1
 #: Characters of the first round of training, each further one twice as long.
 ROUND_CHARACTERS = 8_000_000
-#: Words whose counts are sent to every task at most; words a task remembers; characters it lays out at once.
+#: Words whose counts are sent to every task at most; words a task remembers; bytes of texts that make a batch.
 FREQUENT, REMEMBERED, GROUP = 200_000, 300_000, 1_000_000
+#: Rounds of the batches that teach counts only (null and empty texts) and of those that teach nothing.
+EMPTY, HELD_OUT = -1, -2
 #: Groups of the subwords by which a spelling goes on.
 SPELLERS = 12
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if text else []
-
-
 class Encoder:
     """Subword ids of words by a public tokenizer's ranks. The end of a text has the id after the last one."""
 
@@ -107,6 +109,135 @@ class Index(dict):
         return number
 
 
+class Met:
+    """Subword ids of the words that a worker process has met."""
+
+    def __init__(self, tokenizer: str):
+        self.encoder = encoder_of(tokenizer)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.flat, self.starts = Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Like :meth:`Encoder.ids`."""
+        if len(self.index) > REMEMBERED:
+            self.clear()
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            flat, sizes = self.encoder.ids(self.index.new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.index.new = []
+        first = self.starts[at]
+        sizes = self.starts[at + 1] - first
+        return self.flat[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
+
+
+@lru_cache(maxsize=1)
+def met_of(tokenizer: str) -> Met:
+    """Goes on from task to task: a word's ids do not depend on the task."""
+    return Met(tokenizer)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in two or four bytes each."""
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+
+
+def cut_up(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, joined by spaces, the first of them :data:`END`; the places among these of the texts'
+    words, each text followed by its end; and how many each text has. Words are runs of bytes other than white space, A-Z
+    lower-cased; a null text is empty."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = found.flatten()
+    own = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(found)))
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an edge of a text leaves an empty word
+    coded, own = words.filter(full).dictionary_encode(), own[np.asarray(full)]
+    sizes = np.bincount(own, minlength=len(texts)) + 1
+    places = np.zeros(sizes.sum(), np.int64)
+    places[np.arange(len(own)) + own] = np.asarray(coded.indices) + 1
+    distinct = coded.dictionary.cast(pa.binary())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), b" ")[0].as_py()
+    return END + b" " + joined if joined else END, places, sizes
+
+
+DOCS = pa.list_(pa.struct([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]))
+BATCH = "round int, docs array<struct<row:long,id:long,held_out:boolean,n_tokens:long>>, words binary, sizes binary, ids binary, places binary"
+
+
+def batched(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Batches of the texts of ``row``, ``id``, ``held_out``, ``text`` and ``round``, each of one round: ``docs``; the distinct
+    ``words``, joined by spaces; the ``sizes`` of their subwords and these ones' ``ids``; and the ``places`` of :func:`cut_up`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        filled: Counter[int] = Counter()
+
+        def batch_of(number: int) -> pa.RecordBatch:
+            filled.pop(number)
+            part = pa.Table.from_batches(held.pop(number)).combine_chunks()
+            row, i, out, texts = (part.column(k).combine_chunks() for k in range(4))
+            words, places, n = cut_up(texts)
+            ids, sizes = met_of(tokenizer).ids(words.split(b" "))
+            docs = pa.StructArray.from_arrays([row, i, out, pa.array(n)], fields=list(DOCS.value_type))
+            blobs = (words, packed(sizes), packed(ids), packed(places))
+            columns = [pa.array([number], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), docs), *(pa.array([x], pa.binary()) for x in blobs)]
+            return pa.RecordBatch.from_arrays(columns, names=["round", "docs", "words", "sizes", "ids", "places"])
+
+        for batch in batches:
+            for low, high in slices(batch.column(3), GROUP // 4):
+                part = batch.slice(low, high - low)
+                for number in pc.unique(part.column(4)).to_pylist():
+                    own = part.filter(pc.equal(part.column(4), number))
+                    held.setdefault(number, []).append(own)
+                    filled[number] += pc.sum(pc.binary_length(own.column(3))).as_py() or 0
+                    if filled[number] >= GROUP:
+                        yield batch_of(number)
+        for number in list(held):
+            yield batch_of(number)
+
+    return rows.select("row", "id", "held_out", "text", "round").mapInArrow(run, BATCH)
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    """Place of the first word of each text, and after the last."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def firsts(starts: np.ndarray) -> np.ndarray:
+    """For each word the place of its text's first word."""
+    return np.repeat(starts[:-1], np.diff(starts))
+
+
+def unpacked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For ``docs``, ``sizes``, ``ids`` and ``places`` first among the columns: the texts (a struct for each), the subwords' ids and sizes of the distinct
+    words, the texts' starts and the places of their words; and for every further column its value."""
+    for batch in batches:
+        for i in range(len(batch)):
+            docs, (sizes, ids, places, *more) = batch.column(0)[i].values, (column[i].as_py() for column in batch.columns[1:])
+            starts = starts_of(np.asarray(docs.field("n_tokens")))
+            places = unpacked(places, starts[-1])
+            sizes = unpacked(sizes, places.max() + 1)
+            yield docs, unpacked(ids, sizes.sum()), sizes, starts, places, *more
+
+
+def sums_by(vectors: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For every word (of so many subwords) the sum of its subwords' vectors, first to last. Subwords are added place by place,
+    and what a long word has beyond the eighth by itself."""
+    first = np.cumsum(sizes) - sizes
+    out, left = vectors.take(flat[first], axis=0), np.flatnonzero(sizes > 1)
+    for k in range(1, 8):
+        out[left] += vectors.take(flat[first[left] + k], axis=0)
+        left = left[sizes[left] > k + 1]
+    for i in left.tolist():
+        out[i] += vectors.take(flat[first[i] + 8 : first[i] + sizes[i]], axis=0).sum(axis=0)
+    return out
+
 
 class Subwords:
     """What is known of the tokenizer's ids: their ``vectors``, the ``centers`` of the classes, the group of each for
@@ -119,10 +250,16 @@ class Subwords:
         """Vector and class of words given by their subwords' ids."""
         if not len(sizes):
             return np.zeros((0, attention.WIDTH), np.float32), np.zeros(0, np.int64)
-        sums = np.add.reduceat(self.vectors[flat], np.cumsum(sizes) - sizes)
+        sums = sums_by(self.vectors, flat, sizes)
         length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
         return (sums / np.maximum(1.0, length)).astype(np.float32), (sums @ self.centers.T).argmax(axis=1)
 
+    def of_batch(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a batch's words, whose first is the end."""
+        vectors, classes = self.words(flat, sizes)
+        vectors[0], classes[0] = 0, ENDING
+        return vectors, classes
+
     def spelled(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the words' spellings."""
         if not len(sizes):
@@ -135,101 +272,23 @@ class Subwords:
         return logs + self.spelling[self.group[flat[last]], -1]
 
 
-class Vocabulary:
-    """Words that a task has met: vector and class; with ``counts`` also spelling, and the count if they are frequent (else
-    -1)."""
-
-    def __init__(self, tokenizer: str, subwords: Subwords, counts: dict[bytes, int] | None = None):
-        self.encoder, self.subwords, self.counts = encoder_of(tokenizer), subwords, counts
-        self.clear()
-
-    def clear(self) -> None:
-        self.index = Index()
-        self.names: list[bytes] = []
-        self.vectors, self.classes, self.known, self.spells = array("f"), array("q"), array("q"), array("d")
-        self.index[END]
-        self.add()
-
-    def add(self) -> None:
-        """Learns what there is to know about the new words."""
-        words, self.index.new = self.index.new, []
-        if not words:
-            return
-        flat, sizes = self.encoder.ids(words)
-        vectors, classes = self.subwords.words(flat, sizes)
-        spells = np.zeros(len(words)) if self.counts is None else self.subwords.spelled(flat, sizes)  # training needs neither
-        if not self.names:  # the end
-            vectors[0], classes[0], spells[0] = 0, ENDING, 0
-        self.names += words
-        self.vectors.frombytes(np.ascontiguousarray(vectors).tobytes())
-        self.classes.frombytes(classes.astype(np.int64).tobytes())
-        self.spells.frombytes(spells.tobytes())
-        self.known.extend(map((self.counts or {}).get, words, repeat(-1)))
-
-    def places(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Places of the words of some texts, each text followed by its end."""
-        if len(self.names) > REMEMBERED:
-            self.clear()
-        get = self.index.__getitem__
-        found = np.fromiter(chain.from_iterable(x for t in texts for x in (map(get, t), (0,))), np.int64, sum(map(len, texts)) + len(texts))
-        self.add()
-        return found
-
-    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors and classes of words."""
-        return np.frombuffer(self.vectors, np.float32).reshape(-1, attention.WIDTH)[places], np.frombuffer(self.classes, np.int64)[places]
-
-
-#: The vocabulary that a worker process goes on with in its next task: what it says of a word does not depend on the task.
-_HELD: dict[str, Vocabulary] = {}
-
-
-def vocabulary_of(key: str, tokenizer: str, subwords: Subwords, counts: dict[bytes, int] | None = None) -> Vocabulary:
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Vocabulary(tokenizer, subwords, counts)
-    return _HELD[key]
-
-
-def groups(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Texts as words, in groups of about :data:`GROUP` characters, each with the number of its first text."""
-    start, held, chars = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(words_of(text))
-        chars += len(text or "")
-        if chars >= GROUP:
-            yield start, held
-            start, held, chars = i + 1, [], 0
-    if held:
-        yield start, held
-
-
-def starts_of(texts: list[list[bytes]]) -> np.ndarray:
-    """Place of the first word of each text, and after the last."""
-    return np.cumsum([0, *(len(t) + 1 for t in texts)])
-
-
-def firsts(starts: np.ndarray) -> np.ndarray:
-    """For each word the place of its text's first word."""
-    return np.repeat(starts[:-1], np.diff(starts))
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``w``, ``n``: how often each word stands in column ``text``, and :data:`END` once for each row."""
+    """``w``, ``n``: how often each word stands in the batches, and :data:`END` once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, int] = {}
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                held[END] += 1
+            for words, places, docs in zip(*(column.to_pylist() for column in batch.columns[:2]), batch.column(2), strict=True):
+                found = np.bincount(unpacked(places, sum(docs.values.field("n_tokens").to_pylist()))).tolist()
+                words = words.split(b" ")
+                held.update(zip(words, map(add, found, map(held.get, words, repeat(0))), strict=True))
                 if len(held) > REMEMBERED:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
-                    held = Counter()
+                    held = {}
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
 
-    return texts.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return texts.select("words", "places", "docs").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def vectors_of(texts: DataFrame, tokenizer: str, width: int = attention.WIDTH) -> np.ndarray:
@@ -240,25 +299,23 @@ def vectors_of(texts: DataFrame, tokenizer: str, width: int = attention.WIDTH) -
     directions = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (total, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sums, seen = encoder_of(tokenizer), np.zeros((total, width)), np.zeros(total)
-        for batch in batches:
-            for _, group in groups(batch.column(0).to_pylist()):
-                kept = [t for t in group if t]
-                if not kept:
-                    continue
-                flat, sizes = encoder.ids([w for t in kept for w in t])
-                starts = np.cumsum([0, *map(len, kept)])
-                opening = flat[np.cumsum(sizes) - sizes]
-                of_text = np.add.reduceat(directions[opening], starts[:-1]) / np.diff(starts)[:, None]
-                pairs, n = np.unique(np.repeat(np.repeat(np.arange(len(kept)), np.diff(starts)), sizes) * total + flat, return_counts=True)
-                text, ids = pairs // total, pairs % total
-                for k in range(width):
-                    sums[:, k] += np.bincount(ids, of_text[text, k] * n, total)
-                seen += np.bincount(ids, n, total)
+        sums, seen = np.zeros((total, width)), np.zeros(total)
+        for _, flat, sizes, starts, places in unpacked_batches(batches):
+            n = np.diff(starts) - 1  # without the ends
+            opening = directions.take(flat[np.cumsum(sizes) - sizes], axis=0)
+            opening[0] = 0
+            of_text = np.add.reduceat(opening.take(places, axis=0), starts[:-1]) / np.maximum(1, n)[:, None]
+            counts = np.bincount(places)
+            counts[0] = 0
+            for k in range(width):
+                of_word = np.bincount(places, np.repeat(of_text[:, k], n + 1))
+                of_word[0] = 0
+                sums[:, k] += np.bincount(flat, np.repeat(of_word, sizes), total)
+            seen += np.bincount(flat, np.repeat(counts, sizes), total)
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held]), pa.array(list(sums[held]), pa.list_(pa.float64()))], names=["id", "n", "v"])
 
-    each = texts.select("text").mapInArrow(run, "id long, n double, v array<double>").groupBy("id")
+    each = texts.select("docs", "sizes", "ids", "places").mapInArrow(run, "id long, n double, v array<double>").groupBy("id")
     found = each.agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(width)]).collect()
     out = np.zeros((total, width))
     if found:
@@ -359,38 +416,36 @@ def frequent(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return chosen, least
 
 
-def trained(texts: DataFrame, tokenizer: str, subwords: Subwords, bias: np.ndarray) -> np.ndarray:
-    """Attention weights learned from all of ``text``; ``h`` is even between 0 and 2**20 and deals the texts to rounds."""
-    spark, flat = texts.sparkSession, attention.start()
+def rounds_of(texts: DataFrame) -> tuple[int, Column]:
+    """How many rounds of training ``text`` makes, and which one takes a row: ``h`` is even between 0 and 2**20."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    if not chars:
-        return flat
     rounds = max(1, (chars // ROUND_CHARACTERS + 1).bit_length())
-    bound = lambda k: ((1 << k) - 1 << 20) // ((1 << rounds) - 1)
     number = F.lit(0)
     for k in range(1, rounds):
-        number = number + (F.col("h") >= bound(k)).cast("int")
-    held = written(texts.select("text", number.alias("round")), "training", "round")
-    sent, key = spark.sparkContext.broadcast(subwords), uuid.uuid4().hex
+        number = number + (F.col("h") >= ((1 << k) - 1 << 20) // ((1 << rounds) - 1)).cast("int")
+    return rounds, number
+
+
+def trained(texts: DataFrame, rounds: int, subwords: Subwords, bias: np.ndarray) -> np.ndarray:
+    """Attention weights learned from all batches, round by round."""
+    flat, sent = attention.start(), texts.sparkSession.sparkContext.broadcast(subwords)
     for k in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], begun=flat, rate=1e-2 / (1 + k)) -> Iterator[pa.RecordBatch]:
-            vocabulary, adam, own, seen = vocabulary_of(key, tokenizer, sent.value), attention.Adam(rate), begun.copy(), 0
-            for batch in batches:
-                for _, group in groups(batch.column(0).to_pylist()):
-                    places = vocabulary.places(group)
-                    attention.train(own, bias, *vocabulary.of(places), firsts(starts_of(group)), adam)
-                    seen += len(places)
+            adam, own, seen = attention.Adam(rate), begun.copy(), 0
+            for _, flat, sizes, starts, places in unpacked_batches(batches):
+                vectors, classes = sent.value.of_batch(flat, sizes)
+                attention.train(own, bias, vectors.take(places, axis=0), classes.take(places), firsts(starts), adam)
+                seen += len(places)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.astype(float).tolist()], pa.list_(pa.float64()))], names=["weight", "own"])
 
-        each = held.where(F.col("round") == k).select("text").mapInArrow(run, "weight double, own array<double>")
+        each = texts.where(F.col("round") == k).select("docs", "sizes", "ids", "places").mapInArrow(run, "weight double, own array<double>")
         mean = each.select("weight", F.posexplode("own").alias("at", "x")).groupBy("at").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
         rows = mean.collect()  # as many as the model has weights
         if rows:
             flat = np.zeros(attention.SIZE, np.float32)
             flat[[r["at"] for r in rows]] = [r["x"] for r in rows]
-    drop_written(held)
     return flat
 
 
@@ -398,56 +453,59 @@ SCORED = "row long, id long, held_out boolean, n_tokens long, logs double, known
 
 
 class Model:
-    """What scoring needs: weights, class shares, subwords, counts of the frequent words and of the classes, and the logs of
-    the shares of known and new words."""
+    """What scoring needs: weights, class shares, subwords, counts of the classes, and the logs of the shares of known and
+    new words."""
 
-    def __init__(self, flat: np.ndarray, bias: np.ndarray, subwords: Subwords, counts: dict[bytes, int], classes: np.ndarray, once: int, total: int):
-        self.flat, self.bias, self.subwords, self.counts = flat, bias, subwords, counts
+    def __init__(self, flat: np.ndarray, bias: np.ndarray, subwords: Subwords, classes: np.ndarray, once: int, total: int):
+        self.flat, self.bias, self.subwords = flat, bias, subwords
         self.in_class = -np.log(np.maximum(classes, 1))
+        self.in_class[ENDING] = 0
         new = (once + 1) / (total + 2)
         self.known, self.new = math.log(1 - new), math.log(new)
 
-    def logs(self, vocabulary: Vocabulary, places: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs of each word's probability without its count, if it has one, and if it has none."""
-        vectors, classes = vocabulary.of(places)
-        logs = attention.score(self.flat, self.bias, vectors, classes, first)
-        seen = logs + self.known + np.where(classes == ENDING, 0.0, self.in_class[classes])
-        return seen, self.new + np.frombuffer(vocabulary.spells)[places]
-
-
-def scored(rows: DataFrame, tokenizer: str, model: Model) -> DataFrame:
-    """For ``row``, ``id``, ``held_out`` and ``text``: the number of tokens; over the frequent words and the end, the sum of log10(c+1),
+    def logs(self, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of each word's probability without its count, if it has one, and of each distinct word's if it has none.
+        Every text begins a block, so that its windows do not depend on the texts beside it."""
+        vectors, classes = self.subwords.of_batch(flat, sizes)
+        n = np.diff(starts)
+        begins = starts_of(-(-n // attention.BLOCK) * attention.BLOCK)
+        at = np.arange(len(places)) + np.repeat(begins[:-1] - starts[:-1], n)
+        laid = np.zeros(begins[-1], np.int64)
+        laid[at] = places
+        logs = attention.score(self.flat, self.bias, vectors.take(laid, axis=0), classes.take(laid), firsts(begins))[at]
+        return logs + (self.known + self.in_class[classes])[places], self.new + self.subwords.spelled(flat, sizes)
+
+
+def scored(texts: DataFrame, near: dict[bytes, int], model: Model) -> DataFrame:
+    """For each text of the batches: the number of tokens; over the frequent words (those ``near``) and the end, the sum of log10(c+1),
     how many have a count, and the model's log10 probability; and the other words with their frequencies and
     the sums of natural logs that count if the training texts have them or not."""
-    sent, key = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent = texts.sparkSession.sparkContext.broadcast((near, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        vocabulary = vocabulary_of(key, tokenizer, model.subwords, model.counts)
-        for batch in batches:
-            for low, texts in groups(batch.column(3).to_pylist()):
-                places, starts = vocabulary.places(texts), starts_of(texts)
-                seen, unseen = model.logs(vocabulary, places, firsts(starts))
-                known = np.frombuffer(vocabulary.known, np.int64)[places]
-                far, ending = known < 0, places == 0
-                logs = np.where(ending, seen, np.where(known > 0, seen + np.log(np.maximum(known, 1)), unseen))
-                own = np.repeat(np.arange(len(texts)), np.diff(starts))
-                pairs, where, tf = np.unique(own[far] << 32 | places[far], return_inverse=True, return_counts=True)
-                offsets = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)).astype(np.int32)
-                names = pa.array([vocabulary.names[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.binary())
-                sums = [pa.array(np.bincount(where, x[far], len(pairs))) for x in (seen, unseen)]
-                rare = pa.StructArray.from_arrays([names, pa.array(tf.astype(np.int32)), *sums], names=["w", "tf", "seen", "unseen"])
-                columns = [
-                    *(batch.column(i).slice(low, len(texts)) for i in range(3)),
-                    pa.array(np.diff(starts)),
-                    pa.array(np.add.reduceat(np.where(far, 0.0, np.log10(np.maximum(known, 0) + 1.0)), starts[:-1])),
-                    pa.array(np.add.reduceat((known > 0).astype(np.int64), starts[:-1])),
-                    pa.array(np.add.reduceat(np.where(far, 0.0, logs), starts[:-1]) / math.log(10)),
-                    pa.ListArray.from_arrays(pa.array(offsets), rare),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "n_tokens", "logs", "known", "score", "rare"])
-
-    return rows.select("row", "id", "held_out", "text").mapInArrow(run, SCORED)
+        near, model = sent.value
+        for docs, flat, sizes, starts, places, words in unpacked_batches(batches):
+            names = words.split(b" ")
+            seen, unseen = model.logs(flat, sizes, starts, places)
+            counts = np.fromiter(map(near.get, names, repeat(-1)), np.int64, len(names))
+            log10s, logs, far = np.log10(np.maximum(counts, 0) + 1.0), np.log(np.maximum(counts, 1)), counts[places] < 0
+            logs[0] = 0  # the end is all of its class
+            own = np.repeat(np.arange(len(docs)), np.diff(starts))
+            near_logs = np.where(far, 0.0, seen + logs[places])
+            pairs, where, tf = np.unique(own[far] << 32 | places[far], return_inverse=True, return_counts=True)
+            offsets = np.searchsorted(pairs >> 32, np.arange(len(docs) + 1)).astype(np.int32)
+            at = pairs & 0xFFFFFFFF
+            each = [pa.array([names[i] for i in at.tolist()], pa.binary()), pa.array(tf.astype(np.int32)), pa.array(np.bincount(where, seen[far], len(pairs)).astype(float)), pa.array(unseen[at] * tf)]
+            columns = [
+                *(docs.field(k) for k in ("row", "id", "held_out", "n_tokens")),
+                pa.array(np.add.reduceat(log10s[places], starts[:-1])),
+                pa.array(np.add.reduceat((counts > 0).astype(np.int64)[places], starts[:-1])),
+                pa.array(np.add.reduceat(near_logs, starts[:-1]) / math.log(10)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(each, names=["w", "tf", "seen", "unseen"])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "n_tokens", "logs", "known", "score", "rare"])
+
+    return texts.select("docs", "sizes", "ids", "places", "words").mapInArrow(run, SCORED)
 
 
 def score(df: DataFrame, held_out: Column, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", most: int = FREQUENT, train: bool = True) -> DataFrame:
@@ -464,18 +522,21 @@ def score(df: DataFrame, held_out: Column, tokenizer: str, id_column: str = "doc
     """
     hashed = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 20))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), hashed.alias("h"))
-    learned = rows.where(~F.col("held_out"))
+    rounds, number = rounds_of(rows.where(~F.col("held_out")))
+    number = F.when(F.col("held_out"), HELD_OUT).when(F.length("text") > 0, number).otherwise(EMPTY)
+    texts = written(batched(rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text", number.alias("round")), tokenizer), "batches", "round")
+    learned = texts.where(F.col("round") != HELD_OUT)
     counts = written(word_counts(learned), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     subwords, classes = designed(learned, counts, tokenizer)
     bias = attention.prior(classes)
-    flat = trained(learned.where(F.length("text") > 0), tokenizer, subwords, bias) if train else attention.start()
+    flat = trained(learned, rounds, subwords, bias) if train else attention.start()
     near, least = frequent(counts, most)
     ends = counts.where(F.col("w") == F.lit(END)).first() if total["n"] else None
     near[END] = ends["n"] if ends else 0
-    model = Model(flat, bias, subwords, near, classes, total["once"], total["n"])
 
-    kept = written(scored(rows.withColumn("row", F.monotonically_increasing_id()), tokenizer, model), "scored")
+    kept = written(scored(texts, near, Model(flat, bias, subwords, classes, total["once"], total["n"])), "scored")
+    drop_written(texts)
     far = counts.where(F.floor(F.log2("n") * 12).cast("long") < least)
     rare = kept.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.tf", "r.seen", "r.unseen").join(far, "w", "left")
     found = F.col("n").isNotNull()
